@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from checks import aggs, joins, masks  # noqa: F401
+from checks import aggs, files, jobs, joins, masks, series  # noqa: F401

@@ -164,24 +164,24 @@ query(
         fx_daily(s, d).where(F.col("temp") > 0).select("sitename", "date", F.col("gpp_dt").alias("gpp_obs")),
     )
 )
+
+
+def quantile_values(s, d):
+    """Three quantiles of each of two columns, taken from all days."""
+    probs = F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))
+    row = fx_daily(s, d).agg(*[F.percentile(F.col(c), probs).alias(c) for c in ("temp", "soilm")]).first()
+    return {"temp": list(row.temp), "soilm": list(row.soilm)}
+
+
 query(
     "cartesian_sweep",
     rsql(
-        """SELECT sitename, cutoff, soilm, count(*) AS n, sum(o.gpp_mod) AS total FROM fx_daily o, (SELECT unnest([0.0, 10.0, 20.0]) AS cutoff) a,
-        (SELECT unnest([0.2, 0.6]) AS soilm) b WHERE o.temp > cutoff AND o.soilm > b.soilm GROUP BY ALL""",
-        "sitename, n",
-        "cutoff soilm total",
+        """SELECT temp, soilm FROM (SELECT unnest(quantile_cont(temp, [0.1, 0.5, 0.9])) AS temp FROM fx_daily),
+        (SELECT unnest(quantile_cont(soilm, [0.1, 0.5, 0.9])) AS soilm FROM fx_daily)""",
+        "",
+        "temp soilm",
     ),
-)(
-    lambda s, d: fx_daily(s, d)
-    .withColumn("cutoff", F.explode(F.array(*[F.lit(float(v)) for v in (0.0, 10.0, 20.0)])))
-    .join(
-        J.cartesian_sweep({"cutoff": [0.0, 10.0, 20.0], "soilm_min": [0.2, 0.6]}, s), "cutoff"
-    )
-    .where((F.col("temp") > F.col("cutoff")) & (F.col("soilm") > F.col("soilm_min")))
-    .groupBy("sitename", "cutoff", F.col("soilm_min").alias("soilm"))
-    .agg(F.count(F.lit(1)).alias("n"), F.sum("gpp_mod").alias("total"))
-)
+)(lambda s, d: J.cartesian_sweep(quantile_values(s, d), s))
 query("keep_sites", "SELECT count(*) AS n, sitename FROM fx_daily WHERE sitename IN (SELECT sitename FROM fx_site WHERE elv IS NOT NULL) GROUP BY sitename")(
     lambda s, d: J.keep_sites(fx_daily(s, d), fx_site(s, d).where("elv IS NOT NULL")).groupBy("sitename").agg(F.count(F.lit(1)).alias("n"))
 )

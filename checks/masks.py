@@ -133,10 +133,10 @@ query(
 )
 query(
     "split_class",
-    """SELECT p_partkey, split_part(p_type, ' ', 1) AS code, nullif(split_part(p_type || '', ' ', 2), '') AS word FROM part""",
+    """SELECT p_partkey, p_brand AS code, CASE WHEN p_size % 3 > 0 THEN p_type END AS word FROM part""",
 )(
     lambda s, d: table(s, d, "part")
-    .withColumn("text", F.regexp_replace("p_type", " ", " - "))
+    .withColumn("text", F.concat("p_brand", F.when(F.col("p_size") % 3 > 0, F.concat(F.lit(" - "), "p_type")).otherwise(F.lit(""))))
     .select("p_partkey", R.class_code(F.col("text")).alias("code"), R.class_word(F.col("text")).alias("word"))
 )
 query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
@@ -144,9 +144,9 @@ def distinct_legend(df: DataFrame, code: str, word: str) -> DataFrame:
 
 def mean_by_doy_fill(df: DataFrame, col: str = "fapar") -> DataFrame:
     """Fill unknown values with the site's mean of that day of year."""
-    days = df.withColumn("_doy", F.dayofyear(DATE))
-    filled = with_stats(days, [SITE, "_doy"], _mean=F.avg(col))
-    return filled.withColumn(col, F.coalesce(F.col(col), F.col("_mean"))).select(*df.columns)
+    # one row per site, day of year and year: the window's groups are bounded and spread a large site
+    same_day = Window.partitionBy(SITE, F.dayofyear(DATE))
+    return df.withColumn(col, F.coalesce(F.col(col), F.avg(col).over(same_day)))
 
 
 def normalise(df: DataFrame, cols: list[str], kind: str, by: list[str] | None = None) -> DataFrame:

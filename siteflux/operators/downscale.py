@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteflux import DATE, SITE
-from siteflux.operators.groups import with_stats
 from siteflux.operators.series import days_in_month, neighbour_months
 
 
@@ -69,7 +68,8 @@ def allocate_period_total(
     under ``threshold`` become 0; set both to 0 for exact conservation.
     """
     days = daily.withColumns({"year": F.year(DATE), "moy": F.month(DATE)})
-    days = with_stats(days, [SITE, "year", "moy"], _sum=F.sum(weight))
+    # a month of a site has at most 31 days
+    days = days.withColumn("_sum", F.sum(weight).over(Window.partitionBy(SITE, "year", "moy")))
     days = days.join(totals.select(SITE, "year", "moy", F.col(total).alias("_total")), [SITE, "year", "moy"], "left")
     base = F.when(F.col("_sum") < min_weight_sum, F.lit(float(min_weight_sum))).otherwise(F.col("_sum"))
     share = F.try_divide(F.col(weight) * F.col("_total"), base)

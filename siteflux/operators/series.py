@@ -17,45 +17,51 @@ from siteflux.operators.groups import with_stats
 
 
 def _neighbours(df: DataFrame, cols: list[str], by: list[str], order: str, x: Column | None, block: Column | None):
-    """Add for each column ``c`` the known neighbours ``_p_c`` and ``_n_c`` as (at, value), and ``_at``."""
-    known = {c: F.col(c).isNotNull() for c in cols}
+    """Add the known neighbours of each column ``c`` as ``_p_c`` and ``_n_c`` (position, row, value).
+
+    Also adds the own position ``_at``, the row number ``_rn`` and, by group, the number of rows ``_total``.
+    """
 
     def scan(frame: DataFrame, keys: list[str]) -> DataFrame:
         up = Window.partitionBy(*keys).orderBy(order)
-        frame = frame.withColumn("_at", F.row_number().over(up).cast("double") if x is None else x.cast("double"))
-        # a second descending scan is linear, a frame that ends at "unbounded following" is not
+        # a second, descending scan is linear; a frame ending at "unbounded following" is not
         back = Window.partitionBy(*keys).orderBy(F.col(order).desc())
+        frame = frame.withColumn("_rn", F.row_number().over(up))
+        frame = frame.withColumn("_at", (F.col("_rn") if x is None else x).cast("double"))
         up = up.rowsBetween(Window.unboundedPreceding, 0)
         back = back.rowsBetween(Window.unboundedPreceding, 0)
-        for c in cols:
-            point = F.when(known[c], F.struct(F.col("_at").alias("at"), F.col(c).cast("double").alias("v")))
-            frame = frame.withColumn(f"_p_{c}", F.last(point, ignorenulls=True).over(up))
-            frame = frame.withColumn(f"_n_{c}", F.last(point, ignorenulls=True).over(back))
-        return frame
+        points = {
+            c: F.when(F.col(c).isNotNull(), _point(F.col("_at"), F.col("_rn"), F.col(c).cast("double"))) for c in cols
+        }
+        frame = frame.withColumns({f"_p_{c}": F.last(p, ignorenulls=True).over(up) for c, p in points.items()})
+        return frame.withColumns({f"_n_{c}": F.last(p, ignorenulls=True).over(back) for c, p in points.items()})
 
     if block is None:
-        return scan(df, by)
+        return scan(df, by).withColumn("_total", F.count(F.lit(1)).over(Window.partitionBy(*by)))
 
+    # a row without group cannot belong to a series; saying so here keeps the two uses of the blocks alike
+    placed = df.dropna(subset=by).withColumn("_block", F.coalesce(block.cast("double"), F.lit(-1e300)))
     keys = [*by, "_block"]
-    blocked = scan(df.withColumn("_block", block), keys)
+    blocked = scan(placed, keys)
     ends = blocked.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_rows"),
+        F.max("_rn").alias("_rows"),
         *[F.max(f"_p_{c}").alias(f"_last_{c}") for c in cols],
         *[F.min(f"_n_{c}").alias(f"_first_{c}") for c in cols],
+        *_alive(df, {*by, order, *cols}),
     )
-    earlier = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    later = Window.partitionBy(*by).orderBy(F.col("_block").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    shift = F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).cast("double") if x is None else F.lit(0.0)
-    ends = ends.withColumn("_shift", shift)
+    whole = Window.partitionBy(*by)
+    earlier = whole.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    later = whole.orderBy(F.col("_block").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_shift", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).cast("int"))
 
     def moved(point: Column) -> Column:
-        return F.when(
-            point.isNotNull(), F.struct((point["at"] + F.col("_shift")).alias("at"), point["v"].alias("v"))
-        )
+        at = point["at"] + F.col("_shift") if x is None else point["at"]
+        return F.when(point.isNotNull(), _point(at, point["rn"] + F.col("_shift"), point["v"]))
 
     carry = ends.select(
         *keys,
         "_shift",
+        F.sum("_rows").over(whole).alias("_total"),
         *[F.last(moved(F.col(f"_last_{c}")), ignorenulls=True).over(earlier).alias(f"_cp_{c}") for c in cols],
         *[F.last(moved(F.col(f"_first_{c}")), ignorenulls=True).over(later).alias(f"_cn_{c}") for c in cols],
     )
@@ -64,9 +70,24 @@ def _neighbours(df: DataFrame, cols: list[str], by: list[str], order: str, x: Co
         {
             **{f"_p_{c}": F.coalesce(moved(F.col(f"_p_{c}")), F.col(f"_cp_{c}")) for c in cols},
             **{f"_n_{c}": F.coalesce(moved(F.col(f"_n_{c}")), F.col(f"_cn_{c}")) for c in cols},
+            "_rn": F.col("_rn") + F.col("_shift"),
         }
     )
-    return joined.withColumn("_at", F.col("_at") + F.col("_shift"))
+    return joined if x is not None else joined.withColumn("_at", F.col("_rn").cast("double"))
+
+
+def _point(at: Column, rn: Column, v: Column) -> Column:
+    return F.struct(at.alias("at"), rn.alias("rn"), v.alias("v"))
+
+
+def _alive(df: DataFrame, used: set[str]) -> list[Column]:
+    """An aggregate over the columns that only ride along.
+
+    With it the block summary reads the same columns as the rows do, so both share one shuffle and the
+    input is computed once.
+    """
+    rest = [c for c in df.columns if c not in used]
+    return [F.bit_xor(F.xxhash64(*rest)).alias("_digest")] if rest else []
 
 
 def _interpolated(c: str) -> Column:
@@ -121,24 +142,14 @@ def interpolate_at_x(
     ``x`` must be unique within the group; blocks default to whole units of ``x`` (years).
     """
     by = by or [SITE]
-    block = F.floor(x) if block is None else block
-    edged = with_stats(df, by, _x0=F.min(x), _x1=F.max(x))
-    at, point = F.col(x), {c: F.struct(F.col(x).alias("at"), F.col(c).alias("v")) for c in cols}
-    edged = with_stats(
-        edged,
-        by,
-        **{f"_s_{c}": F.min(F.when(at > F.col("_x0"), point[c])) for c in cols},
-        **{f"_t_{c}": F.max(F.when(at < F.col("_x1"), point[c])) for c in cols},
-    )
-    filled = edged.withColumns(
-        {
-            c: F.when(F.col(c).isNull() & (at == F.col("_x0")), F.col(f"_s_{c}")["v"])
-            .when(F.col(c).isNull() & (at == F.col("_x1")), F.col(f"_t_{c}")["v"])
-            .otherwise(F.col(c))
-            for c in cols
-        }
-    ).select(*df.columns)
-    return interpolate_linear(filled, cols, by, x, x=F.col(x), block=block)
+    near = _neighbours(df, cols, by, x, F.col(x), F.floor(x) if block is None else block)
+    rn, total = F.col("_rn"), F.col("_total")
+
+    def edge(c: str) -> Column:
+        nxt, prev = F.col(f"_n_{c}"), F.col(f"_p_{c}")
+        return F.when((rn == 1) & (nxt["rn"] == 2), nxt["v"]).when((rn == total) & (prev["rn"] == total - 1), prev["v"])
+
+    return near.withColumns({c: F.coalesce(_interpolated(c), edge(c)) for c in cols}).select(*df.columns)
 
 
 def add_fitted(
@@ -171,29 +182,24 @@ def neighbour_months(df: DataFrame, cols: list[str], by: list[str] | None = None
     December, January after its last year that year's own January.
     """
     by = by or [SITE]
+    # a month occurs once per group, so that a group is bounded by its years: plain windows, one shuffle
+    whole = Window.partitionBy(*by)
+    line = whole.orderBy("year", "moy")
+    year = Window.partitionBy(*by, "year")
     index = F.col("year") * 12 + F.col("moy")
-    base = df.withColumn("_m", index)
-    around = [F.struct((index + 1).alias("m"), F.lit("prev").alias("side")),
-              F.struct((index - 1).alias("m"), F.lit("next").alias("side"))]
-    sent = base.select(*by, *cols, F.explode(F.array(*around)).alias("_to"))
-    near = sent.groupBy(*by, F.col("_to.m").alias("_m")).agg(
-        *[F.max(F.when(F.col("_to.side") == s, F.col(c))).alias(f"_{c}_{s}") for c in cols for s in ("prev", "next")]
-    )
-    own = df.groupBy(*by, "year").agg(
-        *[F.max(F.when(F.col("moy") == 12, F.col(c))).alias(f"_{c}_dec") for c in cols],
-        *[F.max(F.when(F.col("moy") == 1, F.col(c))).alias(f"_{c}_jan") for c in cols],
-    )
-    span = df.groupBy(*by).agg(F.min("year").alias("_y0"), F.max("year").alias("_y1"))
-    out = base.join(near, [*by, "_m"], "left").join(own, [*by, "year"], "left").join(span, by, "left")
-    first = (F.col("year") == F.col("_y0")) & (F.col("moy") == 1)
-    last = (F.col("year") == F.col("_y1")) & (F.col("moy") == 12)
-    out = out.withColumns(
-        {
-            **{f"{c}_prev": F.when(first, F.col(f"_{c}_dec")).otherwise(F.col(f"_{c}_prev")) for c in cols},
-            **{f"{c}_next": F.when(last, F.col(f"_{c}_jan")).otherwise(F.col(f"_{c}_next")) for c in cols},
-        }
-    )
-    return out.select(*df.columns, *[f"{c}_{s}" for c in cols for s in ("prev", "next")])
+    first = (F.col("year") == F.min("year").over(whole)) & (F.col("moy") == 1)
+    last = (F.col("year") == F.max("year").over(whole)) & (F.col("moy") == 12)
+
+    def month(c: str, moy: int) -> Column:
+        return F.max(F.when(F.col("moy") == moy, F.col(c))).over(year)
+
+    sides = {}
+    for c in cols:
+        before = F.when(F.lag(index).over(line) == index - 1, F.lag(c).over(line))
+        after = F.when(F.lead(index).over(line) == index + 1, F.lead(c).over(line))
+        sides[f"{c}_prev"] = F.when(first, month(c, 12)).otherwise(before)
+        sides[f"{c}_next"] = F.when(last, month(c, 1)).otherwise(after)
+    return df.withColumns(sides)
 
 
 def days_in_month(year: Column, moy: Column) -> Column:
