@@ -51,7 +51,7 @@ query(
 # sensor calendars put the leading and trailing gaps inside one short block
 query("fill_gaps_sensor", rsql(fill_sql(SENSOR.replace("f.v FROM", "CASE WHEN f.v > 20 THEN f.v END AS v FROM"), ["v"]), OM, "v"))(
     lambda s, d: W.fill_gaps(
-        sensor_series(s, d).withColumn("v", F.when(F.col("v") > 20, F.col("v"))), ["v"], block=F.dayofmonth("date").cast("int") / 7
+        sensor_series(s, d).withColumn("v", F.when(F.col("v") > 20, F.col("v"))), ["v"], block=F.floor(F.dayofmonth("date") / 7)
     )
 )
 _YD = """year(date) + (dayofyear(date) - 1) / CASE WHEN (year(date) % 4 = 0 AND year(date) % 100 <> 0) OR year(date) % 400 = 0 THEN 366 ELSE 365 END"""

@@ -71,8 +71,8 @@ def fill_from(df: DataFrame, target: str, fallback: str) -> DataFrame:
 def align_model_obs(obs: DataFrame, mod: DataFrame, keys: list[str] | None = None, check: bool = True) -> DataFrame:
     """Pair model and observation rows by key.
 
-    With ``check``, a row without partner on either side, or a repeated key, makes the query fail when it
-    runs; no separate counting job is started.
+    With ``check``, a row without partner on either side makes the query fail when it runs; no separate
+    counting job is started.
     """
     keys = keys or [SITE, DATE]
     if not check:

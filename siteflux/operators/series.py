@@ -40,14 +40,16 @@ def _neighbours(df: DataFrame, cols: list[str], by: list[str], order: str, x: Co
         return scan(df, by).withColumn("_total", F.count(F.lit(1)).over(Window.partitionBy(*by)))
 
     # a row without group cannot belong to a series; saying so here keeps the two uses of the blocks alike
-    placed = df.dropna(subset=by).withColumn("_block", F.coalesce(block.cast("double"), F.lit(-1e300)))
+    placed = df
+    for key in by:
+        placed = placed.where(F.col(key).isNotNull())
+    placed = placed.withColumn("_block", F.coalesce(block.cast("long"), F.lit(-(2**62))))
     keys = [*by, "_block"]
     blocked = scan(placed, keys)
     ends = blocked.groupBy(*keys).agg(
         F.max("_rn").alias("_rows"),
         *[F.max(f"_p_{c}").alias(f"_last_{c}") for c in cols],
         *[F.min(f"_n_{c}").alias(f"_first_{c}") for c in cols],
-        *_alive(df, {*by, order, *cols}),
     )
     whole = Window.partitionBy(*by)
     earlier = whole.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -80,16 +82,6 @@ def _point(at: Column, rn: Column, v: Column) -> Column:
     return F.struct(at.alias("at"), rn.alias("rn"), v.alias("v"))
 
 
-def _alive(df: DataFrame, used: set[str]) -> list[Column]:
-    """An aggregate over the columns that only ride along.
-
-    With it the block summary reads the same columns as the rows do, so both share one shuffle and the
-    input is computed once.
-    """
-    rest = [c for c in df.columns if c not in used]
-    return [F.bit_xor(F.xxhash64(*rest)).alias("_digest")] if rest else []
-
-
 def _interpolated(c: str) -> Column:
     prev, nxt, at = F.col(f"_p_{c}"), F.col(f"_n_{c}"), F.col("_at")
     share = F.try_divide(at - prev["at"], nxt["at"] - prev["at"])

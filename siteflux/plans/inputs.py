@@ -17,7 +17,7 @@ from siteflux.operators.joins import calendar_spine, on_calendar
 from siteflux.operators.masks import coalesce_sources
 from siteflux.operators.series import fill_gaps
 from siteflux.settings import InputSettings
-from siteflux.sources.sinks import write_site_year_text
+from siteflux.sources.sinks import stored, write_site_year_text
 
 FORCING = ("temp", "prec", "nrad", "ppfd", "vpd", "ccov")
 
@@ -93,12 +93,12 @@ def station_at_sites(
 
 
 def prepare_climate(
-    sites: DataFrame, sources: dict[str, DataFrame], settings: InputSettings = InputSettings()
+    sites: DataFrame, sources: dict[str, DataFrame], settings: InputSettings = InputSettings(), store: bool = True
 ) -> DataFrame:
     """One gap-free forcing table from ready-made source tables keyed by site and date.
 
     ``sources`` maps a source name of the settings to its table. All joins use (site, date), so the spine is
-    shuffled once.
+    shuffled once. Gap filling looks at the merged table twice; with ``store`` it is written once in between.
     """
     out = calendar_spine(sites, noleap=settings.noleap)
     for source, table in sources.items():
@@ -107,6 +107,8 @@ def prepare_climate(
     for target, order in settings.sources().items():
         out = coalesce_sources(out, target, [f"{target}_{s}" for s in order if s in sources])
     out = out.select(SITE, DATE, "year_dec", *FORCING)
+    if store:
+        out = stored(out, "merged_forcing")
     return fill_gaps(out, ["temp", "ccov", "vpd", "ppfd"], zero=["prec"])
 
 
