@@ -20,6 +20,7 @@ from siteflux.plans import inputs as I
 from siteflux.plans import learn as L
 from siteflux.plans import lightuse as U
 from siteflux.plans import observations as B
+from siteflux.sources.sinks import stored
 from siteflux.settings import CalibSettings, EvalSettings, InputSettings
 
 OM = "sitename, date"
@@ -66,7 +67,8 @@ METRICS = " UNION ALL ".join(
 
 
 def evaluation(s, d, store=True):
-    daily = fx_daily(s, d)
+    # an evaluation reads finished tables: write the daily series once
+    daily = stored(fx_daily(s, d).select("sitename", "date", "gpp_nt", "gpp_mod"), "daily")
     obs = daily.select("sitename", "date", F.col("gpp_nt").alias("gpp_obs"))
     mod = daily.where(F.col("sitename") % 11 > 0).select("sitename", "date", "gpp_mod")
     annual = obs.groupBy("sitename", F.year("date").alias("year")).agg(F.sum("gpp_obs").alias("gpp_obs"))

@@ -3,10 +3,15 @@
 Each day maps the store ``s`` to ``clip(a * s + b, lo, hi)``. Such maps compose into maps of the same form,
 so a block (a year) reduces to four numbers; the blocks of a site are then chained, and each block rebuilds
 its own days from its start state. A long site is worked on block by block, in parallel.
+
+A running composition is not a window aggregate, so the two passes over the days of a block are Arrow
+functions that step through the days of all blocks of a batch at once.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,40 +23,68 @@ SPINUP_ROWS = 365
 DRAINAGE = 0.01
 RUNOFF_SHARE = 6e-5
 
+KINDS = ("bucket", "keenan")
+MAP = "a DOUBLE, b DOUBLE, lo DOUBLE, hi DOUBLE"
 
-def _daily_map(inflow: Column, outflow: Column, cap: float, kind: str) -> Column:
-    if kind == "bucket":
-        a, b = F.lit(1.0), inflow - outflow
-        hi = F.least(F.greatest(F.lit(0.0), F.lit(cap) - outflow), F.lit(cap))
-    elif kind == "keenan":
-        a, b, hi = F.lit(1.0 - DRAINAGE), inflow * (1.0 - RUNOFF_SHARE) - outflow, F.lit(cap)
-    else:
-        raise ValueError("kind must be 'bucket' or 'keenan'")
-    return F.struct(a.alias("a"), b.alias("b"), F.lit(0.0).alias("lo"), hi.alias("hi"))
-
-
-def _identity(cap: float) -> Column:
-    return F.struct(
-        F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("lo"), F.lit(float(cap)).alias("hi")
-    )
 
+def _padded(arrays: pd.Series, width: int) -> np.ndarray:
+    """Rows of different length as one matrix; positions past a row's end are not a number."""
+    out = np.full((len(arrays), width), np.nan)
+    for i, values in enumerate(arrays):
+        out[i, : len(values)] = values
+    return out
 
-def _clip(x: Column, m: Column) -> Column:
-    return F.least(F.greatest(x, m["lo"]), m["hi"])
 
-
-def _then(f: Column, g: Column) -> Column:
-    """The map that applies ``f`` first and ``g`` second."""
-    return F.struct(
-        (g["a"] * f["a"]).alias("a"),
-        (g["a"] * f["b"] + g["b"]).alias("b"),
-        _clip(g["a"] * f["lo"] + g["b"], g).alias("lo"),
-        _clip(g["a"] * f["hi"] + g["b"], g).alias("hi"),
-    )
+def _daily_map(inflow: np.ndarray, outflow: np.ndarray, cap: float, kind: str):
+    """Slope, shift and upper bound of a day's map; the lower bound is 0."""
+    if kind == "bucket":
+        return 1.0, inflow - outflow, np.clip(cap - outflow, 0.0, cap)
+    return 1.0 - DRAINAGE, inflow * (1.0 - RUNOFF_SHARE) - outflow, np.full_like(inflow, cap)
+
+
+def _fold(cap: float, kind: str):
+    """Arrow function: the map of a block's first ``head`` days (unknown days change nothing)."""
+
+    @F.pandas_udf(MAP)
+    def fold(inflow: pd.Series, outflow: pd.Series, head: pd.Series) -> pd.DataFrame:
+        width = int(max((len(v) for v in inflow), default=0))
+        days_in, days_out = _padded(inflow, width), _padded(outflow, width)
+        heads = head.to_numpy()
+        a, b = np.ones(len(inflow)), np.zeros(len(inflow))
+        lo, hi = np.zeros(len(inflow)), np.full(len(inflow), float(cap))
+        for t in range(width):
+            slope, shift, top = _daily_map(days_in[:, t], days_out[:, t], cap, kind)
+            use = ~np.isnan(shift) & (t < heads)
+            a = np.where(use, slope * a, a)
+            b = np.where(use, slope * b + shift, b)
+            lo = np.where(use, np.clip(slope * lo + shift, 0.0, top), lo)
+            hi = np.where(use, np.clip(slope * hi + shift, 0.0, top), hi)
+        return pd.DataFrame({"a": a, "b": b, "lo": lo, "hi": hi})
+
+    return fold
+
+
+def _states(cap: float, kind: str):
+    """Arrow function: the store after each day of a block, not a number from the first unknown day on."""
+
+    @F.pandas_udf("array<double>")
+    def states(inflow: pd.Series, outflow: pd.Series, start: pd.Series, gap: pd.Series) -> pd.Series:
+        lengths = [len(v) for v in inflow]
+        width = int(max(lengths, default=0))
+        days_in, days_out = _padded(inflow, width), _padded(outflow, width)
+        s = np.where(gap.to_numpy(dtype=bool), np.nan, start.to_numpy(dtype=float))
+        out = np.empty((len(inflow), width))
+        for t in range(width):
+            slope, shift, top = _daily_map(days_in[:, t], days_out[:, t], cap, kind)
+            s = np.clip(slope * s + shift, 0.0, top)
+            out[:, t] = s
+        return pd.Series([row[:n] for row, n in zip(out, lengths)])
+
+    return states
 
 
 def _apply(m: Column, s: Column) -> Column:
-    return _clip(m["a"] * s + m["b"], m)
+    return F.least(F.greatest(m["a"] * s + m["b"], m["lo"]), m["hi"])
 
 
 def bounded_running_balance(
@@ -70,43 +103,47 @@ def bounded_running_balance(
 
     The first ``spinup`` rows of a site are run once from a full store to find its start state. An unknown
     input makes the store unknown from there on, and everywhere if it lies in the spin-up.
-    ``block`` (default: calendar year of ``order``) must not decrease along ``order``.
+    ``block`` (default: calendar year of ``order``) must not decrease along ``order``, and bounds what one
+    group of rows holds.
     """
+    if kind not in KINDS:
+        raise ValueError(f"kind must be one of {KINDS}")
     by = by or [SITE]
-    block = F.year(order) if block is None else block
-    known = F.col(inflow).isNotNull() & F.col(outflow).isNotNull()
-    step = F.when(
-        known, _daily_map(F.col(inflow).cast("double"), F.col(outflow).cast("double"), cap, kind)
-    ).otherwise(_identity(cap))
     keys = [*by, "_block"]
     rest = [c for c in df.columns if c not in by]
+    nan = F.lit(float("nan"))
+    day = F.struct(
+        F.col(order).alias("_o"),
+        F.coalesce(F.col(inflow).cast("double"), nan).alias("i"),
+        F.coalesce(F.col(outflow).cast("double"), nan).alias("e"),
+        F.struct(*rest).alias("row"),
+    )
+    known = F.col(inflow).isNotNull() & F.col(outflow).isNotNull()
     blocks = (
-        df.withColumn("_block", block)
+        df.withColumn("_block", F.year(order) if block is None else block)
         .groupBy(*keys)
         .agg(
-            F.array_sort(
-                F.collect_list(
-                    F.struct(F.col(order).alias("_o"), step.alias("m"), known.alias("known"), F.struct(*rest).alias("row"))
-                )
-            ).alias("_days")
+            F.array_sort(F.collect_list(day)).alias("_days"),
+            F.count(F.lit(1)).alias("_n"),
+            F.min(F.when(~known, F.col(order))).alias("_gap_at"),
         )
-        .withColumn("_n", F.size("_days"))
+        .select("*", F.col("_days.i").alias("_in"), F.col("_days.e").alias("_out"))
     )
 
-    def fold(days: Column) -> Column:
-        return F.aggregate(days, _identity(cap), lambda acc, d: _then(acc, d["m"]))
-
-    # rows before each block, then the part of the block that belongs to the spin-up
+    # rows of the group before each block, and how many of the block's own belong to the spin-up
     earlier = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = blocks.select(*keys, "_n").withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    head = F.greatest(F.lit(0), F.lit(spinup) - F.col("_before")).cast("int")
-    parts = blocks.join(sizes.drop("_n"), keys).select(
+    sizes = blocks.select(*keys, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    head = F.greatest(F.lit(0), F.lit(spinup) - F.col("_before"))
+    fold = _fold(cap, kind)
+    gap_row = F.array_position(F.transform("_days", lambda d: F.isnan(d["i"]) | F.isnan(d["e"])), F.lit(True))
+    parts = blocks.join(sizes, keys).select(
         *keys,
-        fold(F.slice("_days", F.lit(1), head)).alias("spin"),
-        fold(F.col("_days")).alias("full"),
-        F.exists(F.slice("_days", F.lit(1), head), lambda d: ~d["known"]).alias("spin_gap"),
-        F.exists("_days", lambda d: ~d["known"]).alias("gap"),
+        F.when(F.col("_gap_at").isNotNull(), gap_row <= head).otherwise(F.lit(False)).alias("spin_gap"),
+        F.col("_gap_at").isNotNull().alias("gap"),
+        fold("_in", "_out", head).alias("spin"),
+        fold("_in", "_out", F.col("_n")).alias("full"),
     )
+    # one small row per block from here on: the chain of a group is as long as it has blocks
     chain = parts.groupBy(*by).agg(
         F.array_sort(F.collect_list(F.struct("_block", "spin", "full", "gap"))).alias("_chain"),
         F.max("spin_gap").alias("_spin_gap"),
@@ -117,7 +154,7 @@ def bounded_running_balance(
         F.struct(
             F.col("_start").alias("s"),
             F.col("_spin_gap").alias("gap"),
-            F.array().cast(f"array<struct<_block:{_block_type(df, block)},s0:double,gap0:boolean>>").alias("out"),
+            F.array().cast(f"array<struct<_block:{_block_type(blocks)},s0:double,gap0:boolean>>").alias("out"),
         ),
         lambda acc, b: F.struct(
             _apply(b["full"], acc["s"]).alias("s"),
@@ -128,30 +165,13 @@ def bounded_running_balance(
             ).alias("out"),
         ),
     )
-    starts = (
-        chain.withColumn("_start", start)
-        .select(*by, F.inline(opened["out"]))
-    )
-
-    states = F.aggregate(
-        "_days",
-        F.struct(
-            F.col("s0").alias("s"), F.col("gap0").alias("gap"), F.array().cast("array<double>").alias("out")
-        ),
-        lambda acc, d: F.struct(
-            _apply(d["m"], acc["s"]).alias("s"),
-            (acc["gap"] | ~d["known"]).alias("gap"),
-            F.concat(
-                acc["out"], F.array(F.when(~(acc["gap"] | ~d["known"]), _apply(d["m"], acc["s"])))
-            ).alias("out"),
-        ),
-    )["out"]
+    starts = chain.withColumn("_start", start).select(*by, F.inline(opened["out"]))
     rebuilt = blocks.join(starts, keys).select(
-        *by, F.explode(F.arrays_zip(F.col("_days").alias("d"), states.alias("s"))).alias("_z")
+        *by, F.col("_days.row").alias("row"), _states(cap, kind)("_in", "_out", "s0", "gap0").alias("s")
     )
-    rows = rebuilt.select(*by, "_z.d.row.*", F.col("_z.s").alias(name))
-    return rows.select(*df.columns, name)
+    rows = rebuilt.select(*by, F.inline(F.arrays_zip("row", "s")))
+    return rows.select(*by, "row.*", F.when(~F.isnan("s"), F.col("s")).alias(name)).select(*df.columns, name)
 
 
-def _block_type(df: DataFrame, block: Column) -> str:
-    return df.select(block.alias("_block")).schema["_block"].dataType.simpleString()
+def _block_type(blocks: DataFrame) -> str:
+    return blocks.schema["_block"].dataType.simpleString()

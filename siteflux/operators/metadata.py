@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siteflux.sources.sinks import stored
+
 LONG_COLUMNS = ("SITE_ID", "GROUP_ID", "VARIABLE_GROUP", "VARIABLE", "DATAVALUE")
 
 # Groups and variables left out because they repeat freely.
@@ -99,11 +101,13 @@ def keep_maximum(df: DataFrame) -> DataFrame:
 
 
 def dedupe_eav(df: DataFrame) -> DataFrame:
-    """One row per (site, variable). ``df`` has the long columns and ``line``, the position in the file."""
-    out = keep_first_group(drop_noisy(df))
-    out = prefer_location(out)
-    out = prefer_flux_method(out)
-    return keep_maximum(out)
+    """One row per (site, variable). ``df`` has the long columns and ``line``, the position in the file.
+
+    A rule looks at its input several times, so the table is written between the rules.
+    """
+    out = stored(keep_first_group(drop_noisy(df)), "first_group")
+    out = stored(prefer_location(out), "location")
+    return keep_maximum(prefer_flux_method(out))
 
 
 def eav_to_wide(df: DataFrame, variables: list[str]) -> DataFrame:

@@ -1,22 +1,30 @@
 """Exact order statistics per group, with no group held in one task.
 
-Values are first counted per (group, value). A fixed number of equal-width cells per group then shows in
-which cell a wanted rank lies, and only the values of those cells are ranked. Ranks are exact whatever
-the distribution; the cells only bound the work of one task.
+Values are first counted per (group, value), so that a value repeated without end is one row. Groups with
+many distinct values are cut into equal-width cells; values are ranked within their cell, and a running
+total over the cells (at most ``MAX_CELLS`` rows per group) turns that into the rank in the group. Ranks are
+exact whatever the distribution; the cells only bound the work of one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CELLS = 4096
+VALUES_PER_CELL = 4096
+MAX_CELLS = 4096
 
 
 def values_at(
-    df: DataFrame, col: str, by: list[str], positions: dict[str, Callable[[Column], Column]], cells: int = CELLS
+    df: DataFrame,
+    col: str,
+    by: list[str],
+    positions: dict[str, Callable[[Column], Column]],
+    values_per_cell: int = VALUES_PER_CELL,
 ) -> DataFrame:
     """One row per group with the value at each 1-based, possibly fractional, position.
 
@@ -30,61 +38,35 @@ def values_at(
         .agg(F.count(F.lit(1)).alias("_c"))
     )
     extent = counts.groupBy(*by).agg(
-        F.sum("_c").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
-    )
-    width = F.col("_hi") - F.col("_lo")
-    share = F.when(width > 0, (F.col("_v") - F.col("_lo")) / width).otherwise(F.lit(0.0))
-    placed = _join(counts, extent, by).withColumn(
-        "_cell", F.least(F.floor(share * cells), F.lit(cells - 1)).cast("int")
+        F.sum("_c").alias("_n"),
+        F.min("_v").alias("_lo"),
+        F.max("_v").alias("_hi"),
+        F.least(F.ceil(F.count(F.lit(1)) / values_per_cell), F.lit(MAX_CELLS)).alias("_cells"),
     )
+    share = F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
+    cell = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * F.col("_cells")), F.col("_cells") - 1).cast("int")
+    placed = _join(counts, extent, by).select(*by, "_v", "_c", "_n", "_cells", cell.alias("_cell"))
 
-    ranks = []
-    for name, position in positions.items():
-        at = position(F.col("_n"))
-        ranks.append(F.struct(F.lit(name).alias("name"), F.floor(at).cast("long").alias("rank")))
-        ranks.append(F.struct(F.lit(name).alias("name"), F.ceil(at).cast("long").alias("rank")))
-    per_cell = placed.groupBy(*by, "_cell").agg(F.sum("_c").alias("_in"), F.max("_n").alias("_n"))
-    seen = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    wanted = (
-        per_cell.withColumn("_before", F.coalesce(F.sum("_in").over(seen), F.lit(0)))
-        .withColumn(
-            "_ranks",
-            F.filter(
-                F.array(*ranks),
-                lambda r: (r["rank"] > F.col("_before")) & (r["rank"] <= F.col("_before") + F.col("_in")),
-            ),
-        )
-        .where(F.size("_ranks") > 0)
-        .select(*by, "_cell", "_before", "_ranks", "_n")
-    )
+    per_cell = placed.where(F.col("_cells") > 1).groupBy(*by, "_cell").agg(F.sum("_c").alias("_in"))
+    lower_cells = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    before = per_cell.select(*by, "_cell", F.sum("_in").over(lower_cells).alias("_before"))
 
     inside = Window.partitionBy(*by, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    upto = F.col("_before") + F.sum("_c").over(inside)
-    hits = (
-        placed.select(*by, "_cell", "_v", "_c")
-        .join(wanted, [*by, "_cell"])
-        .withColumn("_upto", upto)
-        .select(
-            *by,
-            "_v",
-            "_n",
-            F.explode(
-                F.filter(
-                    "_ranks", lambda r: (r["rank"] <= F.col("_upto")) & (r["rank"] > F.col("_upto") - F.col("_c"))
-                )
-            ).alias("_hit"),
-        )
-    )
+    ranked = placed.withColumn("_in_cell", F.sum("_c").over(inside)).join(before, [*by, "_cell"], "left")
+    ranked = ranked.withColumn("_upto", F.col("_in_cell") + F.coalesce(F.col("_before"), F.lit(0)))
+
+    def holds(rank: Column) -> Column:
+        return (rank <= F.col("_upto")) & (rank > F.col("_upto") - F.col("_c"))
 
-    out = []
+    wanted, out = [], []
     for name, position in positions.items():
         at = position(F.col("_n"))
-        mine = F.col("_hit.name") == name
-        below = F.max(F.when(mine & (F.col("_hit.rank") == F.floor(at)), F.col("_v")))
-        above = F.max(F.when(mine & (F.col("_hit.rank") == F.ceil(at)), F.col("_v")))
-        share = F.max(at - F.floor(at))
-        out.append((below * (1.0 - share) + above * share).alias(name))
-    return hits.groupBy(*by).agg(*out)
+        low, high = holds(F.floor(at)), holds(F.ceil(at))
+        wanted += [low, high]
+        below, above = F.max(F.when(low, F.col("_v"))), F.max(F.when(high, F.col("_v")))
+        rest = F.max(at - F.floor(at))
+        out.append((below * (1.0 - rest) + above * rest).alias(name))
+    return ranked.where(reduce(or_, wanted)).groupBy(*by).agg(*out)
 
 
 def _join(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:

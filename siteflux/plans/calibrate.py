@@ -13,6 +13,7 @@ from siteflux.functions.rows import keep_not_c4
 from siteflux.operators.masks import calibration_filter, mask_flagged_days, threshold_filter
 from siteflux.operators.skill import cost_column
 from siteflux.settings import CalibSettings
+from siteflux.sources.sinks import stored
 
 
 def frange(start: float, stop: float, step: float) -> list[float]:
@@ -127,12 +128,15 @@ def calibrate_grid(
     rounds: int = 2,
     kind: str = "rmse",
     obs: str = "gpp_obs",
+    store: bool = True,
 ) -> DataFrame:
     """Search a parameter range on a grid and refine around the best value.
 
-    A round is one aggregate over the rows; only its ``steps`` costs reach the driver. Returns
-    ``round, value, cost`` for every value tried.
+    A round is one aggregate over the rows; only its ``steps`` costs reach the driver. The rows are written
+    once (``store``), so that a round does not repeat what led to them; pass only the columns ``model``
+    and ``obs`` need. Returns ``round, value, cost`` for every value tried.
     """
+    df = stored(df, "calibration_rows") if store else df
     low, high, tried = lower, upper, []
     for number in range(1, rounds + 1):
         gap = (high - low) / (steps - 1)

@@ -109,7 +109,8 @@ def prepare_climate(
     out = out.select(SITE, DATE, "year_dec", *FORCING)
     if store:
         out = stored(out, "merged_forcing")
-    return fill_gaps(out, ["temp", "ccov", "vpd", "ppfd"], zero=["prec"])
+    have = {c for table in sources.values() for c in table.columns}
+    return fill_gaps(out, [c for c in ("temp", "ccov", "vpd", "ppfd") if c in have], zero=["prec"])
 
 
 def prepare_vegetation(sites: DataFrame, index: DataFrame, noleap: bool = True) -> DataFrame:
