@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteflux import DATE, SITE
+from siteflux.sources.sinks import stored
 
 # Fixed values.
 CAPACITY = 220.0  # mm
@@ -27,33 +28,35 @@ KINDS = ("bucket", "keenan")
 MAP = "a DOUBLE, b DOUBLE, lo DOUBLE, hi DOUBLE"
 
 
-def _padded(arrays: pd.Series, width: int) -> np.ndarray:
-    """Rows of different length as one matrix; positions past a row's end are not a number."""
-    out = np.full((len(arrays), width), np.nan)
-    for i, values in enumerate(arrays):
-        out[i, : len(values)] = values
-    return out
+def _day_functions(cap: float, kind: str):
+    """The two Arrow functions. Everything they use is local, so that workers need not import this package."""
+    slope = 1.0 if kind == "bucket" else 1.0 - DRAINAGE
+    kept = 1.0 if kind == "bucket" else 1.0 - RUNOFF_SHARE
+    bucket = kind == "bucket"
 
+    def padded(arrays, width):
+        """Blocks of different length as one matrix; positions past a block's end are not a number."""
+        out = np.full((len(arrays), width), np.nan)
+        for i, values in enumerate(arrays):
+            out[i, : len(values)] = values
+        return out
 
-def _daily_map(inflow: np.ndarray, outflow: np.ndarray, cap: float, kind: str):
-    """Slope, shift and upper bound of a day's map; the lower bound is 0."""
-    if kind == "bucket":
-        return 1.0, inflow - outflow, np.clip(cap - outflow, 0.0, cap)
-    return 1.0 - DRAINAGE, inflow * (1.0 - RUNOFF_SHARE) - outflow, np.full_like(inflow, cap)
-
-
-def _fold(cap: float, kind: str):
-    """Arrow function: the map of a block's first ``head`` days (unknown days change nothing)."""
+    def steps(inflow, outflow):
+        """Shift and upper bound of every day's map, by day; slope and lower bound are the same for all."""
+        width = int(max((len(v) for v in inflow), default=0))
+        days_in, days_out = padded(inflow, width), padded(outflow, width)
+        shift = days_in * kept - days_out
+        top = np.clip(cap - days_out, 0.0, cap) if bucket else np.full_like(shift, cap)
+        return shift.T, top.T
 
     @F.pandas_udf(MAP)
     def fold(inflow: pd.Series, outflow: pd.Series, head: pd.Series) -> pd.DataFrame:
-        width = int(max((len(v) for v in inflow), default=0))
-        days_in, days_out = _padded(inflow, width), _padded(outflow, width)
+        """The map of a block's first ``head`` days; unknown days change nothing."""
         heads = head.to_numpy()
-        a, b = np.ones(len(inflow)), np.zeros(len(inflow))
-        lo, hi = np.zeros(len(inflow)), np.full(len(inflow), float(cap))
-        for t in range(width):
-            slope, shift, top = _daily_map(days_in[:, t], days_out[:, t], cap, kind)
+        a, b = np.ones(len(heads)), np.zeros(len(heads))
+        lo, hi = np.zeros(len(heads)), np.full(len(heads), float(cap))
+        shifts, tops = steps(inflow, outflow)
+        for t, (shift, top) in enumerate(zip(shifts, tops)):
             use = ~np.isnan(shift) & (t < heads)
             a = np.where(use, slope * a, a)
             b = np.where(use, slope * b + shift, b)
@@ -61,26 +64,18 @@ def _fold(cap: float, kind: str):
             hi = np.where(use, np.clip(slope * hi + shift, 0.0, top), hi)
         return pd.DataFrame({"a": a, "b": b, "lo": lo, "hi": hi})
 
-    return fold
-
-
-def _states(cap: float, kind: str):
-    """Arrow function: the store after each day of a block, not a number from the first unknown day on."""
-
     @F.pandas_udf("array<double>")
     def states(inflow: pd.Series, outflow: pd.Series, start: pd.Series, gap: pd.Series) -> pd.Series:
-        lengths = [len(v) for v in inflow]
-        width = int(max(lengths, default=0))
-        days_in, days_out = _padded(inflow, width), _padded(outflow, width)
+        """The store after each day of a block, not a number from the first unknown day on."""
         s = np.where(gap.to_numpy(dtype=bool), np.nan, start.to_numpy(dtype=float))
-        out = np.empty((len(inflow), width))
-        for t in range(width):
-            slope, shift, top = _daily_map(days_in[:, t], days_out[:, t], cap, kind)
+        shifts, tops = steps(inflow, outflow)
+        out = np.empty((len(s), len(shifts)))
+        for t, (shift, top) in enumerate(zip(shifts, tops)):
             s = np.clip(slope * s + shift, 0.0, top)
             out[:, t] = s
-        return pd.Series([row[:n] for row, n in zip(out, lengths)])
+        return pd.Series([row[: len(v)] for row, v in zip(out, inflow)])
 
-    return states
+    return fold, states
 
 
 def _apply(m: Column, s: Column) -> Column:
@@ -98,13 +93,14 @@ def bounded_running_balance(
     by: list[str] | None = None,
     order: str = DATE,
     block: Column | None = None,
+    store: bool = True,
 ) -> DataFrame:
     """Store after each row: in minus out minus runoff, kept between 0 and ``cap``.
 
     The first ``spinup`` rows of a site are run once from a full store to find its start state. An unknown
     input makes the store unknown from there on, and everywhere if it lies in the spin-up.
     ``block`` (default: calendar year of ``order``) must not decrease along ``order``, and bounds what one
-    group of rows holds.
+    group of rows holds. The blocks are looked at three times; with ``store`` they are written once.
     """
     if kind not in KINDS:
         raise ValueError(f"kind must be one of {KINDS}")
@@ -118,28 +114,36 @@ def bounded_running_balance(
         F.coalesce(F.col(outflow).cast("double"), nan).alias("e"),
         F.struct(*rest).alias("row"),
     )
-    known = F.col(inflow).isNotNull() & F.col(outflow).isNotNull()
     blocks = (
         df.withColumn("_block", F.year(order) if block is None else block)
         .groupBy(*keys)
         .agg(
             F.array_sort(F.collect_list(day)).alias("_days"),
             F.count(F.lit(1)).alias("_n"),
-            F.min(F.when(~known, F.col(order))).alias("_gap_at"),
         )
-        .select("*", F.col("_days.i").alias("_in"), F.col("_days.e").alias("_out"))
+        .select(
+            *keys,
+            "_n",
+            F.col("_days.row").alias("_rows"),
+            F.col("_days.i").alias("_in"),
+            F.col("_days.e").alias("_out"),
+            F.array_position(
+                F.transform("_days", lambda d: F.isnan(d["i"]) | F.isnan(d["e"])), F.lit(True)
+            ).alias("_gap_row"),
+        )
     )
+    if store:
+        blocks = stored(blocks, "blocks")
 
     # rows of the group before each block, and how many of the block's own belong to the spin-up
     earlier = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     sizes = blocks.select(*keys, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     head = F.greatest(F.lit(0), F.lit(spinup) - F.col("_before"))
-    fold = _fold(cap, kind)
-    gap_row = F.array_position(F.transform("_days", lambda d: F.isnan(d["i"]) | F.isnan(d["e"])), F.lit(True))
+    fold, states = _day_functions(float(cap), kind)
     parts = blocks.join(sizes, keys).select(
         *keys,
-        F.when(F.col("_gap_at").isNotNull(), gap_row <= head).otherwise(F.lit(False)).alias("spin_gap"),
-        F.col("_gap_at").isNotNull().alias("gap"),
+        ((F.col("_gap_row") > 0) & (F.col("_gap_row") <= head)).alias("spin_gap"),
+        (F.col("_gap_row") > 0).alias("gap"),
         fold("_in", "_out", head).alias("spin"),
         fold("_in", "_out", F.col("_n")).alias("full"),
     )
@@ -167,7 +171,7 @@ def bounded_running_balance(
     )
     starts = chain.withColumn("_start", start).select(*by, F.inline(opened["out"]))
     rebuilt = blocks.join(starts, keys).select(
-        *by, F.col("_days.row").alias("row"), _states(cap, kind)("_in", "_out", "s0", "gap0").alias("s")
+        *by, F.col("_rows").alias("row"), states("_in", "_out", "s0", "gap0").alias("s")
     )
     rows = rebuilt.select(*by, F.inline(F.arrays_zip("row", "s")))
     return rows.select(*by, "row.*", F.when(~F.isnan("s"), F.col("s")).alias(name)).select(*df.columns, name)

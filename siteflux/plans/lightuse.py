@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteflux import DATE, SITE
-from siteflux.functions.nulls import finite
 from siteflux.functions.atmosphere import BASE_TEMPERATURE_SCORING, STANDARD_PRESSURE, air_pressure
 
 # Fixed values of the scoring model.
@@ -60,15 +59,14 @@ OUTPUTS = (
     "rd_unitiabs", "actnv", "actnv_unitfapar", "actnv_unitiabs", "transp", "transp_unitfapar", "transp_unitiabs",
 )
 METHODS = ("approx", "simpl", "full")
-NAN = float("nan")
 
 
 def _poly(coefficients, x):
     """Horner form without the zero terms; works on numbers and on columns."""
     terms = list(coefficients)
-    while isinstance(terms[-1], float) and terms[-1] == 0.0:
+    while _is_zero(terms[-1]):
         terms.pop()
-    return reduce(lambda acc, c: acc * x + c if not _is_zero(c) else acc * x, reversed(terms[:-1]), terms[-1])
+    return reduce(lambda acc, c: acc * x if _is_zero(c) else acc * x + c, reversed(terms[:-1]), terms[-1])
 
 
 def _is_zero(c) -> bool:
@@ -79,19 +77,16 @@ def _density(tc, pressure):
     return 1e3 / (_poly(DENSITY_VINF, tc) + _poly(DENSITY_LAMBDA, tc) / (_poly(DENSITY_P0, tc) + pressure * 1e-5))
 
 
-def _viscosity(inv, excess, sqrt, exp):
-    """Viscosity from the inverse reduced temperature and the reduced density minus 1."""
+def _viscosity(inv, warm, excess, sqrt, exp):
+    """Viscosity from the inverse reduced temperature, that minus 1, and the reduced density minus 1."""
     mu0 = 100.0 / (sqrt(inv) * _poly(VISCOSITY_MU0, inv))
     by_temperature = [_poly([row[i] for row in VISCOSITY_H], excess) for i in range(6)]
-    return mu0 * exp((excess + 1.0) * _poly(by_temperature, inv - 1.0)) * VISCOSITY_MU
+    return mu0 * exp((excess + 1.0) * _poly(by_temperature, warm)) * VISCOSITY_MU
 
 
 def reference_viscosity(tc: float = 25.0, pressure: float = STANDARD_PRESSURE) -> float:
-    return _viscosity(VISCOSITY_T / (tc + 273.15), _density(tc, pressure) / VISCOSITY_RHO - 1.0, math.sqrt, math.exp)
-
-
-def _arrhenius(tc: Column, energy: float) -> Column:
-    return F.exp((tc - 25.0) * energy / _nonzero((tc + 273.15) * (298.15 * GAS_R)))
+    inv = VISCOSITY_T / (tc + 273.15)
+    return _viscosity(inv, inv - 1.0, _density(tc, pressure) / VISCOSITY_RHO - 1.0, math.sqrt, math.exp)
 
 
 def score_light_use(
@@ -116,118 +111,113 @@ def score_light_use(
         raise ValueError(f"method must be one of {METHODS}")
     kphio = F.lit(kphio) if isinstance(kphio, float) else kphio
     beta = F.lit(beta) if isinstance(beta, float) else beta
-
-    def number(c: Column) -> Column:
-        return F.coalesce(c.cast("double"), F.lit(NAN))
-
-    # Unknown inputs travel as NaN through the formulas and become null at the end. Columns that cannot be null
-    # need no null checks, which keeps the generated code small enough to be compiled.
+    t, d = F.col(tc), F.col(vpd)
+    alpha = F.col(cpalpha) if cpalpha else F.lit(1.0)
+    # All stages of a row end up in one generated method, and the JVM compiles only methods of limited size:
+    # shared pieces are columns of their own, and constants are folded here.
     out = df.withColumns(
         {
-            "_t": number(F.col(tc)),
-            "_d": number(F.when(F.col(vpd) >= 0, F.col(vpd))),
-            "_z": number(F.col(elv)),
-            "_light": number(F.col(ppfd)),
-            "_iabs": number(F.col(fapar) * F.col(ppfd)),
-            "_co2": number(F.col(co2)),
-            "_fa": F.pow(number(F.col(cpalpha) if cpalpha else F.lit(1.0)) / MAX_ALPHA, F.lit(0.25)),
-            "_kphio": number(kphio),
-            "_beta": number(beta),
-        }
-    )
-    t, d = F.col("_t"), F.col("_d")
-    out = out.withColumns(
-        {
-            "_patm": air_pressure(F.col("_z"), BASE_TEMPERATURE_SCORING),
-            "gstar": _arrhenius(t, GSTAR_ENERGY) * GSTAR25,
-            "_kc": _arrhenius(t, KC_ENERGY) * KC25,
-            "_ko": _arrhenius(t, KO_ENERGY) * KO25,
-            "_root_d": F.sqrt(d),
-            "factor25_vcmax": _arrhenius(t, -VCMAX_ENERGY),
-            "_inv": F.lit(VISCOSITY_T) / _nonzero(t + 273.15),
+            "_kelvin": t + 273.15,
+            "_fa": F.pow(alpha / MAX_ALPHA, F.lit(0.25)),
+            "_patm": air_pressure(F.col(elv), BASE_TEMPERATURE_SCORING),
+            "_root_d": F.when(d >= 0, F.sqrt(d)),
+            "_iabs": F.col(fapar) * F.col(ppfd),
+            "_kphio": kphio,
+            "_beta": beta,
         }
     )
+    # exp(energy * _heat) is the temperature response relative to 25 degrees
     out = out.withColumns(
         {
-            "ca": F.col("_co2") * F.col("_patm") * 1e-6,
-            "kmm": F.col("_kc") * (1.0 + F.col("_patm") * OXYGEN / _nonzero(F.col("_ko"))),
-            "_excess": _density(t, F.col("_patm")) / VISCOSITY_RHO - 1.0,
+            "_heat": F.try_divide((t - 25.0) * (1.0 / (298.15 * GAS_R)), F.col("_kelvin")),
+            "_inv": F.try_divide(F.lit(VISCOSITY_T), F.col("_kelvin")),
         }
     )
-    out = out.withColumn("ns_star", _viscosity(F.col("_inv"), F.col("_excess"), F.sqrt, F.exp) / reference_viscosity())
+
+    def response(energy: float) -> Column:
+        return F.exp(F.col("_heat") * energy)
+
     out = out.withColumns(
         {
-            "_gamma": F.col("gstar") / _nonzero(F.col("ca")),
-            "_kappa": F.col("kmm") / _nonzero(F.col("ca")),
+            "gstar": response(GSTAR_ENERGY) * GSTAR25,
+            "factor25_vcmax": response(-VCMAX_ENERGY),
+            "ca": F.col(co2) * F.col("_patm") * 1e-6,
+            "kmm": response(KC_ENERGY) * (F.col("_patm") * response(-KO_ENERGY) * (KC25 * OXYGEN / KO25) + KC25),
+            "_excess": _density(t, F.col("_patm")) * (1.0 / VISCOSITY_RHO) - 1.0,
+            "_warm": F.col("_inv") - 1.0,
         }
     )
-    out = _chi_m_n(out, method, t, d)
+    scale = 1.0 / reference_viscosity()
+    ns_star = _viscosity(F.col("_inv"), F.col("_warm"), F.col("_excess"), F.sqrt, F.exp) * scale
+    out = out.withColumn("ns_star", ns_star)
+    out = _chi_m_n(out, method, t, d, F.col(elv))
 
     m = F.col("m")
     squared = m * m - JMAX_COST ** (2.0 / 3.0) * F.pow(m, F.lit(4.0 / 3.0))
-    out = out.withColumn("_mp", squared)
-    # a difference that is not positive is used as it is
+    out = out.withColumn("_mp", F.when(m >= 0, squared))
     out = out.withColumn("mprime", F.when(F.col("_mp") > 0, F.sqrt("_mp")).otherwise(F.col("_mp")))
-    k, fa, iabs, n, light = F.col("_kphio"), F.col("_fa"), F.col("_iabs"), F.col("_n"), F.col("_light")
+    iabs, light = F.col("_iabs"), F.col(ppfd)
     out = out.withColumns(
         {
-            "lue": k * fa * F.col("mprime"),
+            "_kf": F.col("_kphio") * F.col("_fa"),
             "ci": F.col("chi") * F.col("ca"),
-            "vcmax_unitiabs": k * n,
+            "vcmax_unitiabs": F.col("_kphio") * F.col("_n"),
+        }
+    )
+    # per unit of absorbed light first; the other forms are multiples of light
+    out = out.withColumns(
+        {
+            "lue": F.col("_kf") * F.col("mprime"),
+            "_drop": F.col("ca") - F.col("ci"),
+            "vcmax25_unitiabs": F.col("factor25_vcmax") * F.col("vcmax_unitiabs"),
+            "rd_unitiabs": F.col("vcmax_unitiabs") * RD_TO_VCMAX,
         }
     )
     out = out.withColumns(
         {
             "gpp": iabs * F.col("lue") * CARBON,
-            "vcmax": iabs * F.col("vcmax_unitiabs"),
-            "vcmax_unitfapar": light * F.col("vcmax_unitiabs"),
-            "_pull": _nonzero(F.col("ca") - F.col("ci")),
+            "actnv_unitiabs": F.col("vcmax25_unitiabs") * NITROGEN,
+            "transp_unitiabs": F.try_divide(F.col("_kf") * m * d * 1.6, F.col("_drop")),
         }
     )
-    out = out.withColumn("transp_unitiabs", k * fa * m * d * 1.6 / F.col("_pull"))
-    units = ("", "_unitfapar", "_unitiabs")
+    names = ("vcmax", "vcmax25", "rd", "actnv", "transp")
     out = out.withColumns(
         {
-            "gs": F.col("gpp") / F.col("_pull"),
-            "transp": iabs * F.col("transp_unitiabs"),
-            "transp_unitfapar": light * F.col("transp_unitiabs"),
-            **{f"vcmax25{s}": F.col("factor25_vcmax") * F.col(f"vcmax{s}") for s in units},
-            **{f"rd{s}": F.col(f"vcmax{s}") * RD_TO_VCMAX for s in units},
+            "gs": F.try_divide(F.col("gpp"), F.col("_drop")),
+            **{n: iabs * F.col(f"{n}_unitiabs") for n in names},
+            **{f"{n}_unitfapar": light * F.col(f"{n}_unitiabs") for n in names},
         }
     )
-    out = out.withColumns({f"actnv{s}": F.col(f"vcmax25{s}") * NITROGEN for s in units})
-    return out.select(*[c for c in df.columns if c not in OUTPUTS], *[finite(F.col(c)).alias(c) for c in OUTPUTS])
-
-
-def _nonzero(x: Column) -> Column:
-    """A divisor: not a number in place of zero, so that a division is never an error."""
-    return F.when(x == 0, F.lit(NAN)).otherwise(x)
+    return out.select(*[c for c in df.columns if c not in OUTPUTS], *OUTPUTS)
 
 
-def _chi_m_n(out: DataFrame, method: str, t: Column, d: Column) -> DataFrame:
-    gamma, kappa, ca, gstar = F.col("_gamma"), F.col("_kappa"), F.col("ca"), F.col("gstar")
+def _chi_m_n(out: DataFrame, method: str, t: Column, d: Column, elv: Column) -> DataFrame:
+    gamma = F.try_divide(F.col("gstar"), F.col("ca"))
     root, beta, visc = F.col("_root_d"), F.col("_beta"), F.col("ns_star")
     if method == "approx":
         a, b, c, e = WANG_HAN
-        odds = F.exp((t - 25.0) * b + a - F.coalesce(F.ln(d), F.lit(NAN)) * c - F.col("_z") * e)
-        out = out.withColumn("_odds", odds)
+        odds = F.exp((t - 25.0) * b + a - F.ln(d) * c - elv * e)
+        out = out.withColumns({"_gamma": gamma, "_odds": odds})
         out = out.withColumn("chi", F.col("_odds") / (F.col("_odds") + 1.0))
-        m = (F.col("chi") - gamma) / _nonzero(F.col("chi") + gamma * 2.0)
-        return out.withColumns({"m": m, "_n": F.lit(NAN)})
-    cost = F.col("kmm") + gstar if method == "full" else F.col("kmm")
-    out = out.withColumn("_xi", F.sqrt(beta * cost / (visc * 1.6)))
-    x = F.col("_xi")
-    out = out.withColumn("_ratio", x / _nonzero(x + root))
+        m = F.try_divide(F.col("chi") - F.col("_gamma"), F.col("chi") + F.col("_gamma") * 2.0)
+        return out.withColumns({"m": m, "_n": F.lit(None).cast("double")})
+    cost = F.col("kmm") + F.col("gstar") if method == "full" else F.col("kmm")
+    out = out.withColumns({"_gamma": gamma, "_kappa": F.try_divide(F.col("kmm"), F.col("ca")), "_bk": beta * cost})
+    # a cost that is not positive has no solution
+    positive = F.when(F.col("_bk") > 0, F.col("_bk"))
+    out = out.withColumn("_xi", F.sqrt(F.try_divide(positive * (1.0 / 1.6), visc)))
+    x, g, ca, gstar = F.col("_xi"), F.col("_gamma"), F.col("ca"), F.col("gstar")
+    ratio = F.try_divide(x, x + root)
     if method == "simpl":
-        chi = F.col("_ratio")
-        m = (x * (ca - gstar) - gstar * root) / _nonzero(x * (ca + gstar * 2.0) + gstar * root * 2.0)
+        chi = ratio
+        m = F.try_divide(x * (ca - gstar) - gstar * root, x * (ca + gstar * 2.0) + gstar * root * 2.0)
     else:
-        chi = gamma + (1.0 - gamma) * F.col("_ratio")
-        vbkg = beta * (F.col("kmm") + gstar)
-        pull = F.sqrt(visc * d * 1.6 / F.when(vbkg > 0, vbkg).otherwise(F.lit(NAN)))
-        m = (ca - gstar) / _nonzero(ca + gstar * 2.0 + gstar * 3.0 * pull)
+        chi = g + (1.0 - g) * ratio
+        # sqrt(1.6 * viscosity * vpd / (beta * cost)) is root / xi
+        m = F.try_divide(ca - gstar, ca + gstar * 2.0 + gstar * 3.0 * F.try_divide(root, x))
     out = out.withColumns({"chi": chi, "m": m})
-    return out.withColumn("_n", (F.col("chi") + kappa) / _nonzero(F.col("chi") + gamma * 2.0))
+    n = F.try_divide(F.col("chi") + F.col("_kappa"), F.col("chi") + F.col("_gamma") * 2.0)
+    return out.withColumn("_n", n)
 
 
 def light_use_forcing(daily: DataFrame, sites: DataFrame, co2: DataFrame) -> DataFrame:
