@@ -167,6 +167,29 @@ def test_quantiles_do_not_depend_on_distribution(series):
         assert got[name] == pytest.approx(tuple(np.quantile(x, [0.025, 0.5, 0.97]))), name
 
 
+@pytest.mark.parametrize("per_cell", [3, 16])
+def test_quantiles_over_many_cells(spark, per_cell):
+    import numpy as np
+
+    from siteflux.operators.quantiles import values_at
+
+    rng = np.random.default_rng(7)
+    sets = {
+        "hot": np.round(rng.normal(0, 5, 3000), 2),
+        "far": np.r_[rng.random(300), [-1e9, 1e12]],
+        "tiny": np.array([1.0, 2.0]),
+        "same": np.full(200, -4.25),
+    }
+    rows = [(k, float(v)) for k, x in sets.items() for v in x] + [("hot", None)]
+    df = spark.createDataFrame(rows, "g STRING, x DOUBLE").repartition(5)
+    probs = {"a": 0.0, "b": 0.025, "c": 0.5, "d": 0.975, "e": 1.0}
+    positions = {n: (lambda n_, p=p: F.lit(1.0) + (n_ - 1) * p) for n, p in probs.items()}
+    got = {r.g: (r.a, r.b, r.c, r.d, r.e) for r in values_at(df, "x", ["g"], positions, per_cell).collect()}
+    assert set(got) == set(sets)
+    for name, x in sets.items():
+        assert got[name] == pytest.approx(tuple(np.quantile(x, list(probs.values())))), name
+
+
 def test_outliers_use_hinges(series):
     values = [1.0, 2.0, 3.0, 4.0, 100.0, None]
     assert column(C.mask_outliers(series({"a": values}, "x"), "x"), "x") == [1.0, 2.0, 3.0, 4.0, None, None]
