@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.base import fx_daily, fx_eav, fx_grid, fx_sensor, fx_site, obs_mod, query, rsql, table
-from siteflux.functions.calendar import decimal_year, is_leap_day
 from siteflux.operators import grid as G
 from siteflux.operators import joins as J
 from siteflux.operators import metadata as E
-from siteflux.operators import series as W
 from siteflux.operators.aggregate import monthly_mean
 from siteflux.operators.groups import with_stats
 from siteflux.sources.readers import union_sites
@@ -367,5 +365,3 @@ def _pick(files):
 
     return pick_site_files(files, "d")
 
-
-__all__ = ["SENSOR", "W", "decimal_year", "is_leap_day", "sensor_series"]

@@ -9,7 +9,7 @@ from pyspark.sql.types import NumericType
 from siteflux import DATE, SITE
 from siteflux.functions.calendar import week_of_year, xday_bin
 from siteflux.functions.nulls import strict_mean, strict_sum
-from siteflux.functions.rows import hemisphere, zone_label
+from siteflux.functions.rows import hemisphere
 from siteflux.operators.groups import with_stats
 from siteflux.operators.quantiles import quantiles
 from siteflux.operators.series import interpolate_linear
@@ -189,9 +189,3 @@ def response_quantiles(df: DataFrame, step: str, predictions: dict[str, str]) ->
     ]
     return df.groupBy(step).agg(*aggs)
 
-
-__all__ = [
-    "annual_sum", "distinct_legend", "mean_by_doy_fill", "mean_seasonal_cycle_doy", "mean_seasonal_cycle_xoy",
-    "monthly_mean", "monthly_mean_all", "multiyear_mean", "normalise", "response_quantiles", "roll_up",
-    "run_years", "total_run_years", "valid_count", "xday_aggregate", "zone_label", "zone_seasonal_cycle",
-]
