@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 from collections.abc import Callable
 
@@ -54,19 +54,30 @@ def materialise_or_load(
     return spark.read.parquet(path)
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder for intermediate tables below the cluster's checkpoint folder.
+def scratch_dir(spark: SparkSession, folder: str | None = None) -> str:
+    """The name of a new folder for intermediate tables, below a folder that all executors share.
 
-    ``spark.checkpoint.dir`` names the folder all executors share. Only where it is unset, as in tests on
-    one machine, a local temporary folder stands in.
+    That is ``folder``, else the one in ``spark.checkpoint.dir``, else the warehouse. Where neither of the
+    first two is given and the warehouse lies on the local disk of a cluster's machines, executors could
+    not read each other's files, so this is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = folder or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="siteflux-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        warehouse = spark._jvm.org.apache.hadoop.fs.Path(spark.conf.get("spark.sql.warehouse.dir"))
+        files = warehouse.getFileSystem(spark._jsc.hadoopConfiguration())
+        base = files.makeQualified(warehouse).toString()
+        master = spark.sparkContext.master
+        if files.getUri().getScheme() == "file" and not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a shared folder: {base} is local and the master is {master}")
     return f"{base.rstrip('/')}/siteflux-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of intermediate tables once their results have been consumed."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def stored(df: DataFrame, name: str = "table", directory: str | None = None) -> DataFrame:
     """Write the table once to the shared folder and read it back.
 
