@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from siteflux.llm import mixing
+from siteflux.llm import mixing, rules, topk
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op3_top_k": topk.op3_top_k,
+    "op10_quality_rules": rules.op10_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_top_k": topk.OP3_SQL,
+    "op10_quality_rules": rules.OP10_SQL,
+}
