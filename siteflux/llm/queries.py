@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from siteflux.llm import mixing, rules, topk
+from siteflux.llm import mixing, packing, rules, topk
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op3_top_k": topk.op3_top_k,
+    "op4_packing": packing.op4_packing,
     "op10_quality_rules": rules.op10_quality_rules,
 }
 

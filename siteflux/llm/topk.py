@@ -63,6 +63,24 @@ def _paired(blocks: DataFrame, queries: DataFrame, fn, schema: str) -> DataFrame
     return left.cogroup(queries.groupBy("block", "group")).applyInArrow(fn, schema)
 
 
+def _histogram(width: int, exact: bool):
+    """Counts per query and bin of one block's scores, of the bins that may hold the kth score of all."""
+
+    def count(block: pa.Table, queries: pa.Table) -> pa.Table:
+        found = [(np.zeros(0, np.int64),) * 3]
+        for part, scores, own in _scores(block, queries, exact):
+            low, high, missing = (part[c].to_numpy() for c in ("low", "high", "missing"))
+            inside = (scores >= low[:, None]) & (scores < high[:, None]) & ~own
+            for i, row in enumerate(part["row"].to_pylist()):
+                bins, n = np.unique((scores[i, inside[i]] - low[i]) // width, return_counts=True)
+                # a bin below the block's own best ones cannot hold the kth of all
+                near = n[::-1].cumsum()[::-1] - n < missing[i]
+                found.append((np.full(near.sum(), row), bins[near], n[near]))
+        return pa.table(dict(zip(("row", "bin", "n"), map(np.concatenate, zip(*found)))))
+
+    return count
+
+
 def top_k(
     df: DataFrame,
     is_query,
@@ -104,21 +122,8 @@ def top_k(
     while span > 1:
         width = -(-span // BINS)
 
-        def count(block: pa.Table, queries: pa.Table, width=width) -> pa.Table:
-            found = []
-            for part, scores, own in _scores(block, queries, exact):
-                low, high, missing = (part[c].to_numpy()[:, None] for c in ("low", "high", "missing"))
-                inside = (scores >= low) & (scores < high) & ~own
-                # no score below this block's own best ones can be the kth of all
-                for i in range(part.num_rows):
-                    bins, n = np.unique((scores[i, inside[i]] - low[i]) // width, return_counts=True)
-                    enough = n[::-1].cumsum()[::-1] - n < missing[i]
-                    found.append((np.full(enough.sum(), part["row"][i].as_py()), bins[enough], n[enough]))
-            rows, bins, n = (np.concatenate(c).astype(np.int64) if found else np.zeros(0, np.int64) for c in (zip(*found) if found else ((),) * 3))
-            return pa.table({"row": rows, "bin": bins, "n": n})
-
         ready = asked.join(state, "row").withColumn("block", every_block)
-        bins = _paired(blocks, ready, count, "row long, bin long, n long").groupBy("row", "bin").agg(F.sum("n").alias("n"))
+        bins = _paired(blocks, ready, _histogram(width, exact), "row long, bin long, n long").groupBy("row", "bin").agg(F.sum("n").alias("n"))
         above = F.sum("n").over(Window.partitionBy("row").orderBy(F.desc("bin"))) - F.col("n")
         bins = bins.withColumn("above", above).join(state, "row")
         # the last bin that starts with scores missing: it holds the kth, or the lowest score if there are fewer than k
