@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from siteflux.llm import mixing, packing, rules, topk
+from siteflux.llm import jaccard, mixing, packing, rules, topk
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op3_top_k": topk.op3_top_k,
     "op4_packing": packing.op4_packing,
+    "op5_jaccard_join": jaccard.op5_jaccard_join,
     "op10_quality_rules": rules.op10_quality_rules,
 }
 
