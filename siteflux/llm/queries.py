@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from siteflux.llm import jaccard, mixing, packing, rules, topk
+from siteflux.llm import jaccard, lines, mixing, packing, rules, topk
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_line_dedup": lines.op2_line_dedup,
     "op3_top_k": topk.op3_top_k,
     "op4_packing": packing.op4_packing,
     "op5_jaccard_join": jaccard.op5_jaccard_join,
