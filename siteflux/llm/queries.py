@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siteflux.llm import jaccard, lines, mixing, packing, rules, topk
+from siteflux.llm import chat, jaccard, licenses, lines, mixing, packing, rules, topk
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -10,10 +10,13 @@ QUERIES = {
     "op3_top_k": topk.op3_top_k,
     "op4_packing": packing.op4_packing,
     "op5_jaccard_join": jaccard.op5_jaccard_join,
+    "op7_chat": chat.op7_chat,
+    "op8_licenses": licenses.op8_licenses,
     "op10_quality_rules": rules.op10_quality_rules,
 }
 
 ORACLES: dict[str, str] = {
+    "op7_chat": chat.OP7_SQL,
     "op3_top_k": topk.OP3_SQL,
     "op10_quality_rules": rules.OP10_SQL,
 }
