@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteflux.llm.common import SPACE, keep, n_words, text_of
+from siteflux.llm.common import keep, n_words, text_of
 
 #: Rows that costs and selectivities are estimated on. The order of the rules depends on them, their verdict does not.
 SAMPLE_ROWS = 500
@@ -25,16 +25,16 @@ def words_of(text: Column) -> Column:
 
 
 def word_chars(text: Column) -> Column:
-    return F.length(F.translate(text, SPACE, "")).cast("long")
+    return F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")).cast("long")
 
 
 def n_symbols(text: Column) -> Column:
-    return (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long")
+    return F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long")
 
 
 def n_dup_lines(text: Column) -> Column:
     """Lines with a word that equal an earlier line."""
-    lines = F.filter(F.split(text, "\n"), lambda line: F.length(F.translate(line, SPACE, "")) > 0)
+    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     return F.transform(F.array(lines), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))[0]
 
 
@@ -89,33 +89,47 @@ def n_repeat_words(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects`` maps the text column to a boolean; it is asked only where no earlier rule has rejected."""
-
-    name: str
-    rejects: Callable[[Column], Column]
+    """``rejects`` maps a function from a count's name to its column to a boolean.
 
+    It is asked only where no earlier rule has rejected, and only then are the counts it names computed.
+    """
 
-def _ratio_over(part: Column, whole: Column, percent: int) -> Column:
-    return 100 * part > percent * whole
+    name: str
+    rejects: Callable[[Callable[[str], Column]], Column]
 
 
 def _alphabetic(text: Column) -> Column:
-    return F.length(F.translate(text, "0123456789.,;:!?()[]{}\"'-_/\\=+~^@`" + SYMBOLS + SPACE, ""))
-
-
+    """Characters that are no ASCII control, digit, space or punctuation."""
+    return F.length(F.regexp_replace(text, r"[\x00-\x40\x5B-\x60\x7B-\x7F]+", ""))
+
+
+COUNTS: dict[str, Callable[[Column], Column]] = {
+    "n_words": n_words,
+    "word_chars": word_chars,
+    "n_symbols": n_symbols,
+    "n_dup_lines": n_dup_lines,
+    "n_repeat_words": n_repeat_words,
+    "n_lines": lambda text: F.size(F.split(text, "\n")),
+    "n_letters": _alphabetic,
+    "n_capitals": lambda text: F.regexp_count(text, F.lit("[A-Z]")),
+}
 #: Rules of the base and the method's own. Thresholds are wide of ordinary prose in any language with spaces.
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 RULES = (
-    Rule("few_words", lambda t: n_words(t) < MIN_WORDS),
-    Rule("repeated_words", lambda t: _ratio_over(n_repeat_words(t), n_words(t), REPEAT_PERCENT)),
-    Rule("symbols", lambda t: _ratio_over(n_symbols(t), n_words(t), 25)),
-    Rule("repeated_lines", lambda t: _ratio_over(n_dup_lines(t), F.size(F.split(t, "\n")), 50)),
-    Rule("word_length", lambda t: (word_chars(t) < 2 * n_words(t)) | (word_chars(t) > 25 * n_words(t))),
-    Rule("not_letters", lambda t: _ratio_over(word_chars(t) - _alphabetic(t), word_chars(t), 40)),
-    Rule("shouting", lambda t: _ratio_over(F.regexp_count(t, F.lit("[A-Z]")), _alphabetic(t), 60)),
+    Rule("few_words", lambda c: c("n_words") < MIN_WORDS),
+    Rule("repeated_words", lambda c: 100 * c("n_repeat_words") > REPEAT_PERCENT * c("n_words")),
+    Rule("symbols", lambda c: 100 * c("n_symbols") > 25 * c("n_words")),
+    Rule("repeated_lines", lambda c: 100 * c("n_dup_lines") > 50 * c("n_lines")),
+    Rule("word_length", lambda c: (c("word_chars") < 2 * c("n_words")) | (c("word_chars") > 25 * c("n_words"))),
+    Rule("not_letters", lambda c: 100 * (c("word_chars") - c("n_letters")) > 40 * c("word_chars")),
+    Rule("shouting", lambda c: 100 * c("n_capitals") > 60 * c("n_letters")),
 )
 
 
+def _of_text(text: Column) -> Callable[[str], Column]:
+    return lambda name: COUNTS[name](text)
+
+
 def measured_order(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """Rules by rejected share per second, each timed on one cached sample of at most ``sample_rows`` rows.
 
@@ -129,18 +143,18 @@ def measured_order(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS)
     merits = []
     for place, rule in enumerate(rules):
         began = time.perf_counter()
-        hits = sample.agg(F.sum(rule.rejects(F.col("text")).cast("int")).alias("n")).first()["n"] or 0
+        hits = sample.agg(F.sum(rule.rejects(_of_text(F.col("text"))).cast("int")).alias("n")).first()["n"] or 0
         seconds = max(time.perf_counter() - began, 1e-3)
         merits.append((-hits / rows / seconds, seconds if not hits else 0.0, place, rule))
     sample.unpersist()
     return [m[-1] for m in sorted(merits, key=lambda m: m[:3])]
 
 
-def cascade(text: Column, rules) -> Column:
+def cascade(count: Callable[[str], Column], rules) -> Column:
     """The name of the first rule that rejects, null where none does. Later rules are not evaluated."""
     out = F.lit(None).cast("string")
     for rule in reversed(rules):
-        out = F.when(F.coalesce(rule.rejects(text), F.lit(False)), F.lit(rule.name)).otherwise(out)
+        out = F.when(F.coalesce(rule.rejects(count), F.lit(False)), F.lit(rule.name)).otherwise(out)
     return out
 
 
@@ -153,25 +167,24 @@ def quality_rules(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS)
     """
     if "rejected_by" in docs.columns:
         raise ValueError("the input has a column rejected_by")
-    return docs.withColumn("rejected_by", cascade(text_of(), measured_order(docs, rules, sample_rows)))
+    return docs.withColumn("rejected_by", cascade(_of_text(text_of()), measured_order(docs, rules, sample_rows)))
+
 
+def quality_counts(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The counts the base rules rest on, one row per input row, and the verdict of all rules.
 
-def quality_counts(docs: DataFrame) -> DataFrame:
-    """The counts the base rules rest on, one row per input row, and the verdict of all rules."""
+    The counts that are returned are there for every row, so the cascade takes them from their columns; what only
+    its other rules need is computed where they are asked.
+    """
+    given = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    order = measured_order(docs, rules, sample_rows)
     text = text_of()
-    out = quality_rules(docs.select("doc_id", "text"))
-    out = out.select(
-        "doc_id",
-        n_words(text).alias("n_words"),
-        word_chars(text).alias("word_chars"),
-        n_symbols(text).alias("n_symbols"),
-        n_dup_lines(text).alias("n_dup_lines"),
-        n_repeat_words(text).alias("n_repeat_words"),
-        "rejected_by",
-    )
+    out = docs.select("doc_id", F.struct(text.alias("text"), *[COUNTS[c](text).alias(c) for c in given]).alias("row"))
+    # a generator between keeps the counts from being written into every rule that names them
+    out = out.select("doc_id", F.explode(F.array("row")).alias("row")).select("doc_id", "row.*")
+    rejected = cascade(lambda c: F.col(c) if c in given else COUNTS[c](F.col("text")), order)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    out = out.withColumn("base_failed", failed)
-    return out.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull()).drop("rejected_by")
+    return out.select("doc_id", *given, failed.alias("base_failed"), (~failed & rejected.isNull()).alias("kept"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,8 +214,7 @@ o AS (
   SELECT w.doc_id, len(words) AS n_words, word_chars, n_symbols,
     len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(p.n, 0) AS n_repeat_words, t,
     len(string_split(t, chr(10))) AS n_lines,
-    length(translate(t, '0123456789.,;:!?()[]{{}}"''-_/\=+~^@`#*$%&|<>' || chr(32) || chr(9) || chr(10) || chr(11) || chr(12)
-      || chr(13), '')) AS letters,
+    length(regexp_replace(t, '[\x00-\x40\x5B-\x60\x7B-\x7F]', '', 'g')) AS letters,
     length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS capitals
   FROM w LEFT JOIN p ON p.doc_id = w.doc_id)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
