@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siteflux.llm import chat, jaccard, licenses, lines, mixing, packing, rules, topk
+from siteflux.llm import chat, jaccard, lattice, licenses, lines, mixing, packing, rules, topk
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_jaccard_join": jaccard.op5_jaccard_join,
     "op7_chat": chat.op7_chat,
     "op8_licenses": licenses.op8_licenses,
+    "op9_lattice": lattice.op9_lattice,
     "op10_quality_rules": rules.op10_quality_rules,
 }
 
