@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siteflux.llm import chat, jaccard, lattice, licenses, lines, mixing, packing, rules, topk
+from siteflux.llm import chat, cotrain, jaccard, lattice, licenses, lines, mixing, packing, rules, topk
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_top_k": topk.op3_top_k,
     "op4_packing": packing.op4_packing,
     "op5_jaccard_join": jaccard.op5_jaccard_join,
+    "op6_quality_classifier": cotrain.op6_quality_classifier,
     "op7_chat": chat.op7_chat,
     "op8_licenses": licenses.op8_licenses,
     "op9_lattice": lattice.op9_lattice,
