@@ -83,21 +83,27 @@ def _prefix_length(n: int, percent: int) -> int:
     return n - (n * percent + 99) // 100 + 1
 
 
+def _text_hash():
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def _texts(docs: DataFrame, fn, schema: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(fn, schema)
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """One row per document: ``doc_id, node`` (null where the set is empty) and ``n_shingles``."""
+    """One row per document: ``doc_id, text_hash, node`` (null where the set is empty) and ``n``, the set's size."""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
         for batch in batches:
             sets = [shingle(t) for t in batch.column(1).to_pylist()]
             node = pa.array([_name(h) if len(h) else None for h in sets], pa.binary())
-            yield pa.record_batch([batch.column(0), node, pa.array([len(h) for h in sets], pa.int64())], ["doc_id", "node", "n"])
+            columns = [batch.column(0), batch.column(2), node, pa.array([len(h) for h in sets], pa.int64())]
+            yield pa.record_batch(columns, ["doc_id", "text_hash", "node", "n"])
 
-    return _texts(docs, name, "doc_id long, node binary, n long")
+    own = docs.select("doc_id", "text", _text_hash().alias("text_hash"))
+    return own.mapInArrow(name, "doc_id long, text_hash long, node binary, n long")
 
 
 def _slot_counts(docs: DataFrame, words: int) -> np.ndarray:
@@ -234,8 +240,8 @@ def _tile_pairs(rest: DataFrame, percent: int) -> DataFrame:
 def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Link documents whose n-gram sets have 100 * |intersection| >= ``percent`` * |union|, and group them.
 
-    Returns one row per input row: ``doc_id, n_shingles, node, component, component_id``. ``node`` names the set,
-    ``component`` the group of sets, ``component_id`` is the smallest doc_id of the group.
+    Returns one row per input row: ``doc_id, text_hash, n_shingles, node, component, component_id``. ``node`` names
+    the set, ``component`` the group of sets, ``component_id`` is the smallest doc_id of the group.
 
     Every text is read whole. Documents with one set are one node, so exact copies are never compared. Of each set its
     rarest n-grams, in one order for all, are keys: sets that link share a key. Each key's documents are first compared
@@ -283,7 +289,30 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     named = named.select("node", "component").join(smallest, "component")
     out = sets.join(named, "node", "left")
     own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "node", "component", own)
+    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "node", "component", own)
+
+
+def one_per_group(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one document of each group of :func:`near_groups`: the one of the smallest doc_id, null last.
+
+    Of a group's documents that share the smallest id, the one whose set has the smallest name stays. Rows that repeat
+    both id and text are one document, of which one row stays. Documents with an empty set stay.
+    """
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node", "text_hash")
+    found = near_groups(docs, words, percent).select("component", place.alias("place"))
+    found = keep(found.groupBy("component", "place").agg(F.count("*").alias("rows")), "jaccard_places")
+    best = found.where("component IS NOT NULL").groupBy("component").agg(F.min("place").alias("best"))
+    marked = found.join(best, "component", "left").withColumn("gone", F.coalesce(F.col("place") != F.col("best"), F.lit(False)))
+    marked = marked.where("gone OR rows > 1").select(
+        F.col("place.doc_id").alias("_doc"), F.col("place.text_hash").alias("_hash"), "gone", (F.col("rows") > 1).alias("repeated")
+    )
+    marked = keep(marked, "jaccard_marked")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (_text_hash() == F.col("_hash"))
+    if marked.where("NOT gone").isEmpty():
+        return docs.join(marked, same, "left_anti")
+    out = docs.join(marked, same, "left").where("gone IS NULL OR NOT gone")
+    once = out.where("repeated").dropDuplicates(["_doc", "_hash"])
+    return out.where("repeated IS NULL").unionByName(once).select(*docs.columns)
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
