@@ -20,6 +20,8 @@ SLOTS = 1 << 18
 SIGNATURE_BITS = 2048
 #: Documents of one block of a tile.
 BLOCK = 256
+#: Documents of a key that all its others are compared with, one after the other, before the tiles.
+PIVOTS = 3
 #: Ids of documents to read again that may be broadcast (8 bytes each); beyond that they are joined.
 WANTED_ROWS = 1_000_000
 
@@ -127,70 +129,91 @@ def _slot_counts(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def _features(docs: DataFrame, words: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """``doc_id, node, keys``: the rarest n-grams of each document's set, as many as its prefix has."""
+    """``doc_id, node``, ``keys``: the rarest n-grams of each set, as many as its prefix has, and ``signature``: a bitmap
+    of all its hashes."""
     # SLOTS numbers, whatever the input
     order = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, counts = Shingler(words), order.value
         for batch in batches:
-            names, keys, lengths = [], [], []
-            for text in batch.column(1).to_pylist():
+            names, keys, bitmaps = [], [], np.zeros((batch.num_rows, SIGNATURE_BITS), np.uint8)
+            for i, text in enumerate(batch.column(1).to_pylist()):
                 h = shingle(text)
                 rare = np.lexsort((h, counts[(h % np.uint64(SLOTS)).astype(np.int64)]))[: _prefix_length(len(h), percent)]
-                keys.append(h[rare].view(np.int64)), lengths.append(len(h) and len(rare)), names.append(_name(h) if len(h) else None)
-            flat = np.concatenate([k for k, n in zip(keys, lengths) if n] or [np.zeros(0, np.int64)])
-            arrays = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *lengths]), pa.int32()), pa.array(flat))
-            yield pa.record_batch([batch.column(0), pa.array(names, pa.binary()), arrays], ["doc_id", "node", "keys"])
+                keys.append(h[rare].view(np.int64) if len(h) else np.zeros(0, np.int64)), names.append(_name(h) if len(h) else None)
+                bitmaps[i, (h >> np.uint64(40)).astype(np.int64) % SIGNATURE_BITS] = 1
+            words_of_bits = np.packbits(bitmaps, axis=1).view(np.int64)
+            lists = [_lists(list(map(len, keys)), np.concatenate([np.zeros(0, np.int64), *keys]))]
+            lists.append(_lists([SIGNATURE_BITS // 64] * batch.num_rows, words_of_bits.ravel()))
+            yield pa.record_batch([batch.column(0), pa.array(names, pa.binary()), *lists], ["doc_id", "node", "keys", "signature"])
 
-    return _texts(docs, pick, "doc_id long, node binary, keys array<long>")
+    return _texts(docs, pick, "doc_id long, node binary, keys array<long>, signature array<long>")
 
 
-def _details(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """``node, signature, hashes`` of the nodes in ``wanted`` (``doc_id, node``: one document for each)."""
+def _lists(lengths: list[int], flat: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *lengths]), pa.int32()), pa.array(flat))
 
-    def detail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _only(rows: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+    """Rows whose ``on`` is among the stored ids, null included: these are broadcast up to ``WANTED_ROWS`` of them."""
+    ids = ids.select(F.col(on).alias("_wanted"))
+    ids = F.broadcast(ids) if ids.count() <= WANTED_ROWS else ids
+    return rows.join(ids, rows[on].eqNullSafe(F.col("_wanted")), "left_semi")
+
+
+def _hashes(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """``node, hashes`` of the sets in ``wanted`` (``node, doc_id, rows``: the one document that speaks for each)."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
         for batch in batches:
-            names, signatures, sets = [], [], []
-            for text in batch.column(1).to_pylist():
-                h = shingle(text)
-                bits = np.zeros(SIGNATURE_BITS, np.uint8)
-                bits[(h >> np.uint64(40)).astype(np.int64) % SIGNATURE_BITS] = 1
-                names.append(_name(h)), signatures.append(np.packbits(bits).tobytes()), sets.append(h.tobytes())
-            columns = [batch.column(0), *(pa.array(c, pa.binary()) for c in (names, signatures, sets))]
-            yield pa.record_batch(columns, ["doc_id", "node", "signature", "hashes"])
+            sets = [shingle(text) for text in batch.column(1).to_pylist()]
+            names = pa.array([_name(h) if len(h) else None for h in sets], pa.binary())
+            yield pa.record_batch([names, pa.array([h.tobytes() for h in sets], pa.binary())], ["node", "hashes"])
 
-    ids = keep(wanted.select("doc_id").distinct(), "jaccard_wanted")
-    small = ids.count() <= WANTED_ROWS
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    own = own.join(F.broadcast(ids) if small else ids, own["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-    out = own.mapInArrow(detail, "doc_id long, node binary, signature binary, hashes binary")
-    # texts that share an id with a wanted one, and repeats of a row, go again
-    return out.join(wanted.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).drop("doc_id")
+    wanted = keep(wanted, "jaccard_wanted")
+    own = _only(docs, keep(wanted.select("doc_id").distinct(), "jaccard_ids"), "doc_id").select("doc_id", "text")
+    out = own.mapInArrow(lambda it: whole(b.select(["doc_id", "text"]) for b in it), "node binary, hashes binary")
+    out = _only(out, wanted, "node")  # other texts under a wanted id go
+    return out if wanted.where("rows > 1").isEmpty() else out.dropDuplicates(["node"])
 
 
 def _links_at(overlap, n, m, percent: int):
     return 100 * overlap >= percent * (n + m - overlap)
 
 
-def _beside(pairs: DataFrame, details: DataFrame, column: str) -> DataFrame:
-    for end in ("a", "b"):
-        own = details.select(F.col("node").alias(end), F.col(column).alias(f"{column}_{end}"))
-        pairs = pairs.join(own, end)
-    return pairs
+def _bits_alone(x: str, y: str):
+    """Bits of signature ``x`` that ``y`` lacks: each is at least one n-gram of its own."""
+    alone = F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q))))
+    return F.aggregate(alone, F.lit(0), lambda acc, n: acc + n)
 
 
-def _verify(pairs: DataFrame, details: DataFrame, percent: int, name: str) -> DataFrame:
-    """The pairs ``a, b`` (with sizes ``n_a, n_b``) that link: bit counts first, then exact intersection."""
+def _may_link(x: str, y: str, percent: int):
+    """Whether the bit counts of both signatures leave room for a link."""
+    most = F.least(F.col(f"n_{x}") - _bits_alone(f"signature_{x}", f"signature_{y}"), F.col(f"n_{y}") - _bits_alone(f"signature_{y}", f"signature_{x}"))
+    return _links_at(most, F.col(f"n_{x}"), F.col(f"n_{y}"), percent)
 
-    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (4, 5))
-            n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            # each bit that one signature has alone is at least one n-gram of its own
-            most = np.minimum(n - np.bitwise_count(x & ~y).sum(1, np.int64), m - np.bitwise_count(y & ~x).sum(1, np.int64))
-            yield batch.select(["a", "b"]).filter(pa.array(_links_at(most, n, m, percent)))
+
+def _similar(x: str, y: str, percent: int):
+    return 100 * F.least(f"n_{x}", f"n_{y}") >= percent * F.greatest(f"n_{x}", f"n_{y}")
+
+
+def _named(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of short names ``x, y`` as distinct pairs of nodes ``a, b`` whose sizes and bit counts allow a link.
+
+    Two nodes with one short name are both meant.
+    """
+    pairs = pairs.where("x <> y").distinct()
+    for short, end in (("x", "a"), ("y", "b")):
+        own = nodes.select(F.col("short").alias(short), F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("signature").alias(f"signature_{end}"))
+        pairs = pairs.join(own, short)
+        pairs = pairs.where(_similar("a", "b", percent)) if end == "b" else pairs
+    return pairs.where(_may_link("a", "b", percent)).select("a", "b")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+    """The stored pairs ``a, b`` that link, by intersecting their sorted sets."""
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,40 +224,51 @@ def _verify(pairs: DataFrame, details: DataFrame, percent: int, name: str) -> Da
                 good.append(_links_at(overlap, len(x), len(y), percent))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    both = _beside(pairs, details, "signature").select("a", "b", "n_a", "n_b", "signature_a", "signature_b")
-    near = keep(both.mapInArrow(bounded, "a binary, b binary"), f"{name}_bounded")
-    both = _beside(near, details, "hashes").select("a", "b", "hashes_a", "hashes_b")
-    return keep(both.mapInArrow(exact, "a binary, b binary"), f"{name}_links")
+    ends = {end: keep(pairs.select(F.col(end).alias("node")).distinct(), f"jaccard_{end}") for end in ("a", "b")}
+    both = ends["a"].union(ends["b"]).distinct()
+    hashes = keep(_hashes(docs, both.join(nodes, "node").select("node", "doc_id", "rows"), words), "jaccard_hashes")
+    for end in ("b", "a"):
+        own = _only(hashes, ends[end], "node")
+        pairs = pairs.join(own.withColumnsRenamed({"node": end, "hashes": f"hashes_{end}"}), end)
+    pairs = pairs.select("a", "b", "hashes_a", "hashes_b")
+    return keep(pairs.mapInArrow(exact, "a binary, b binary"), "jaccard_links")
 
 
-def _named(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of short names ``x, y`` as distinct pairs of nodes whose sizes allow a link: ``a, b, n_a, n_b``.
+def _tile_pairs(rest: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of different groups that share a key and whose sizes and bit counts allow a link, each once.
 
-    Two nodes with one short name are both meant.
+    ``rest`` has ``key, short, component``. A tile is a key and a band of sizes; a document meets its own band and the
+    next. Large tiles are cut in blocks, each of which is visited by the tile's documents. A pair is drawn under the
+    first of its common keys alone.
     """
-    pairs = pairs.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    for short, end in (("x", "a"), ("y", "b")):
-        own = nodes.select(F.col("short").alias(short), F.col("node").alias(end), F.col("n").alias(f"n_{end}"))
-        pairs = pairs.join(own, short)
-    similar = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    return pairs.where(similar).select("a", "b", "n_a", "n_b")
+    tiles = rest.join(nodes.select("short", "node", "n", "keys", "signature"), "short")
+    tiles = keep(tiles.withColumn("band", F.floor(F.log("n") / float(np.log(100 / percent)))), "jaccard_tiles")
+    sizes = keep(tiles.groupBy("key", "band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "jaccard_blocks")
+    fields = ["node", "n", "component", "keys", "signature"]
+    stay = tiles.join(sizes, ["key", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    stay = stay.select("key", "band", "block", *[F.col(c).alias(f"{c}_x") for c in fields])
+    visit = tiles.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1))).join(sizes, ["key", "band"])
+    visit = visit.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    visit = visit.select("key", "band", "block", *[F.col(c).alias(f"{c}_y") for c in fields])
+    # of two documents in one band each visits the other: one of the visits counts
+    once = (F.floor(F.log("n_x") / float(np.log(100 / percent))) != F.floor(F.log("n_y") / float(np.log(100 / percent)))) | (F.col("node_x") < F.col("node_y"))
+    wanted = (F.col("component_x") != F.col("component_y")) & _similar("x", "y", percent) & once
+    wanted &= _may_link("x", "y", percent) & (F.get(F.array_intersect("keys_x", "keys_y"), F.lit(0)) == F.col("key"))
+    pairs = stay.join(visit, ["key", "band", "block"]).where(wanted)
+    return pairs.select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
 
 
-def _tile_pairs(rest: DataFrame, percent: int) -> DataFrame:
-    """Pairs under one key, in different groups and of sizes that allow a link: short names ``x, y``.
+def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
+    both = tried.union(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return pairs.join(both, ["a", "b"], "left_anti")
 
-    ``rest`` has ``key, short, n, component``. A tile is a key and a band of sizes; a document meets its own band and
-    the next. Large tiles are cut in blocks, each of which is visited by the tile's documents.
-    """
-    tiles = rest.withColumn("band", F.floor(F.log("n") / float(np.log(100 / percent))))
-    sizes = keep(tiles.groupBy("key", "band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "jaccard_tiles")
-    stay = tiles.join(sizes, ["key", "band"]).withColumn("block", F.pmod(F.xxhash64("short"), F.col("blocks")))
-    stay = stay.select("key", "band", "block", F.col("short").alias("x"), F.col("n").alias("n_x"), F.col("component").alias("c_x"))
-    visit = tiles.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1))).join(sizes, ["key", "band"])
-    visit = visit.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    visit = visit.select("key", "band", "block", F.col("short").alias("y"), F.col("n").alias("n_y"), F.col("component").alias("c_y"))
-    pairs = stay.join(visit, ["key", "band", "block"]).where("c_x <> c_y")
-    return pairs.where(100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")).select("x", "y")
+
+def _unsettled(rest: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame:
+    """``key, short, component`` of the keys whose documents are not all in one group."""
+    known = nodes.join(groups, "node", "left").select("short", F.coalesce("component", "node").alias("component"))
+    found = rest.select("key", "short").join(known, "short")
+    several = found.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low <> _high")
+    return found.join(several.select("key"), "key")
 
 
 def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -245,9 +279,10 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
 
     Every text is read whole. Documents with one set are one node, so exact copies are never compared. Of each set its
     rarest n-grams, in one order for all, are keys: sets that link share a key. Each key's documents are first compared
-    with one of them only, which connects groups of near copies in linear work; then what is still in different groups
-    under one key is compared in tiles of key and size band, whose blocks bound a task. No pair inside a group that is
-    already connected is looked at again, so the groups, not all links, are the result.
+    with one of them only, then what is unsettled with another, which connects groups of near copies in linear work;
+    then what is still in different groups under one key is compared in tiles of key and size band, whose blocks bound
+    a task. Sizes and bit counts of signatures bound the overlap from above; pairs that pass are intersected. No pair
+    inside a group that is already connected is looked at again, so the groups, not all links, are the result.
 
     A null or empty text, or one without words, has an empty set: it links with nothing and is its own group. A text of
     fewer words than ``words`` is one n-gram. Null doc_ids are nodes like others and do not count for the smallest id;
@@ -256,34 +291,43 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = keep(_sets(docs, words), "jaccard_sets")
-    nodes = sets.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
-    nodes = keep(nodes.withColumn("short", F.xxhash64("node")), "jaccard_nodes")
-    features = _features(docs, words, percent, _slot_counts(docs, words)).where("node IS NOT NULL")
+    nodes = sets.where("node IS NOT NULL").groupBy("node", "doc_id").agg(F.min("n").alias("n"), F.count("*").alias("rows"))
+    first_id = nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    speaks = nodes.withColumnsRenamed({"node": "_node", "doc_id": "_doc"})
+    speaks = first_id.join(speaks, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
+    speaks = keep(speaks.select("node", "doc_id", "n", "rows", F.xxhash64("node").alias("short")), "jaccard_speakers")
     # one document speaks for all copies of its set
-    own = features.withColumnsRenamed({"doc_id": "_doc_id", "node": "_node"})
-    speaks = own["_node"].eqNullSafe(nodes["node"]) & own["_doc_id"].eqNullSafe(nodes["doc_id"])
-    features = keep(own.join(nodes, speaks).select("short", "keys"), "jaccard_features")
-    keys = features.select("short", F.explode("keys").alias("key"))
+    features = _features(docs, words, percent, _slot_counts(docs, words)).where("node IS NOT NULL")
+    features = features.withColumnsRenamed({"doc_id": "_doc", "node": "_node"})
+    own = (F.col("_node") == F.col("node")) & F.col("_doc").eqNullSafe(F.col("doc_id"))
+    nodes = features.join(speaks, own).select("node", "doc_id", "n", "rows", "short", "keys", "signature")
+    repeated = not speaks.where("rows > 1").isEmpty()
+    nodes = keep(nodes.dropDuplicates(["node"]) if repeated else nodes, "jaccard_nodes")
+    keys = nodes.select("short", F.explode("keys").alias("key"))
     ends = keys.groupBy("key").agg(F.min("short").alias("x"), F.max("short").alias("y"), F.count("*").alias("docs"))
     ends = keep(ends.where("x <> y"), "jaccard_keys")
-    # first every document of a key with one of them, which connects groups of near copies
-    shared = keep(keys.join(ends.where("docs > 2").select("key", F.col("x").alias("pivot")), "key"), "jaccard_shared")
-    first = ends.select("x", "y").union(shared.select(F.col("pivot").alias("x"), F.col("short").alias("y")))
-    first = keep(_named(first, nodes, percent), "jaccard_first")
-    ids = first.select(F.col("a").alias("node")).union(first.select(F.col("b").alias("node")))
-    ids = ids.union(shared.select("short").distinct().join(nodes, "short").select("node")).distinct()
-    details = keep(_details(docs, ids.join(nodes, "node"), words), "jaccard_details")
-    links = _verify(first, details, percent, "jaccard_first")
-    groups = components(links, "jaccard_groups")
-    # then what one key still holds in different groups
-    known = nodes.join(groups, "node", "left").select("short", "n", F.coalesce("component", "node").alias("component"))
-    found = shared.select("key", "short").join(known, "short")
-    split = found.groupBy("key").agg(F.count_distinct(F.xxhash64("component")).alias("_groups")).where("_groups > 1")
-    rest = keep(found.join(split.select("key"), "key"), "jaccard_rest")
-    more = _named(_tile_pairs(rest, percent), nodes, percent)
-    more = keep(more.join(first.select("a", "b"), ["a", "b"], "left_anti"), "jaccard_more")
-    links = links.union(_verify(more, details, percent, "jaccard_more"))
-    groups = components(links, "jaccard_components")
+    shared = keys.join(ends.where("docs > 2").select("key", F.col("x").alias("pivot")), "key")
+    shared = keep(shared, "jaccard_shared")
+    # every document of a key with one of them, which connects most of a group of near copies
+    pairs = ends.where("docs = 2").select("x", "y").union(shared.select(F.col("pivot").alias("x"), F.col("short").alias("y")))
+    pairs = keep(_named(pairs, nodes, percent), "jaccard_pairs")
+    tried, links = pairs, _verified(pairs, docs, nodes, words, percent)
+    rest = shared.select("key", "short")
+    for turn in range(PIVOTS):
+        groups = components(links, "jaccard_groups")
+        rest = keep(_unsettled(rest, nodes, groups), "jaccard_rest")
+        if rest.isEmpty() or turn == PIVOTS - 1:
+            break
+        # what a key still holds in different groups, with another one of its documents
+        pivots = rest.groupBy("key").agg(F.min(F.struct(F.xxhash64("short", F.lit(turn)), "short", "component")).alias("p"))
+        pairs = rest.join(pivots, "key").where(F.col("component") != F.col("p.component"))
+        pairs = _named(pairs.select(F.col("p.short").alias("x"), F.col("short").alias("y")), nodes, percent)
+        pairs = keep(_untried(pairs, tried), "jaccard_pairs")
+        tried, links = tried.union(pairs), links.union(_verified(pairs, docs, nodes, words, percent))
+    pairs = keep(_untried(_tile_pairs(rest, nodes, percent), tried), "jaccard_pairs")
+    if not pairs.isEmpty():
+        groups = components(links.union(_verified(pairs, docs, nodes, words, percent)), "jaccard_groups")
+    nodes = nodes.drop("keys", "signature")
     named = keep(nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")), "jaccard_named")
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = named.select("node", "component").join(smallest, "component")
