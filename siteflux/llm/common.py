@@ -34,6 +34,27 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def wrapped(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, source`` beside the whole row in ``given``, so that no column of the input can clash."""
+    own = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text")]
+    own += [F.col("source")] if "source" in docs.columns else []
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("given"), *own)
+
+
+def unwrapped(out: DataFrame, docs: DataFrame, text: Column, changed: Column) -> DataFrame:
+    """The given columns; where ``changed``, with the new text and, if there, ``n_chars`` that follows it."""
+    columns = []
+    for c in docs.columns:
+        old = F.col("given").getField(c)
+        if c == "text":
+            columns.append(F.when(changed, text).otherwise(old).alias(c))
+        elif c == "n_chars":
+            columns.append(F.when(changed, F.length(text).cast(docs.schema[c].dataType)).otherwise(old).alias(c))
+        else:
+            columns.append(old.alias(c))
+    return out.select(*columns)
+
+
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -201,6 +201,7 @@ def classify(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
     than two classes of labels the scores are null and everything is kept. ``bounds`` are those of
     :func:`fitting_sample`. Repeated rows get equal scores; other columns are ignored.
     """
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
     sample = fitting_sample(docs, labels, **bounds)
     y = sample["y"].to_numpy()
     if len(set(y[~np.isnan(y)])) < 2:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteflux.llm.common import components, keep
+from siteflux.llm.common import components, keep, wrapped
 
 WORDS, PERCENT = 4, 85
 #: Slots of the table of hashed n-gram counts that fixes which n-grams count as rare. Its size does not grow with the
@@ -351,12 +351,13 @@ def one_per_group(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -
         F.col("place.doc_id").alias("_doc"), F.col("place.text_hash").alias("_hash"), "gone", (F.col("rows") > 1).alias("repeated")
     )
     marked = keep(marked, "jaccard_marked")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (_text_hash() == F.col("_hash"))
+    own = wrapped(docs)
+    same = own["doc_id"].eqNullSafe(marked["_doc"]) & (_text_hash() == marked["_hash"])
     if marked.where("NOT gone").isEmpty():
-        return docs.join(marked, same, "left_anti")
-    out = docs.join(marked, same, "left").where("gone IS NULL OR NOT gone")
+        return own.join(marked, same, "left_anti").select("given.*")
+    out = own.join(marked, same, "left").where("gone IS NULL OR NOT gone")
     once = out.where("repeated").dropDuplicates(["_doc", "_hash"])
-    return out.where("repeated IS NULL").unionByName(once).select(*docs.columns)
+    return out.where("repeated IS NULL").unionByName(once).select("given.*")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siteflux.llm.common import join_small, keep, n_words, shuffle_partitions, text_of
+from siteflux.llm.common import join_small, keep, n_words, shuffle_partitions, text_of, unwrapped, wrapped
 
 #: Weights by the source's place in code-point order, repeating.
 CYCLE = (1, 2, 3)
@@ -109,23 +109,18 @@ def mix(docs: DataFrame, **settings) -> DataFrame:
     Returns the columns of ``docs``; a shortened text ends after its last taken word and ``n_chars``, if there,
     follows it. The cuts are one row per source, so the texts stay where they are read.
     """
-    columns = docs.columns
     _, cuts = mixing_cuts(docs, **settings)
     cuts = cuts.select("source", "epochs", "cut_key", "cut_words", "cut_size")
-    clash = {c: f"_{c}_given" for c in cuts.columns if c in columns and c != "source"}
-    out = join_small(docs.withColumnsRenamed(clash).withColumn("_key", mixing_key(settings.get("seed", SEED))), cuts, "source")
+    out = join_small(wrapped(docs).withColumn("_key", mixing_key(settings.get("seed", SEED))), cuts, "source")
     before, at = F.col("_key") < F.col("cut_key"), F.col("_key") == F.col("cut_key")
     extra = F.when(at, _extra(n_words(text_of())))
     whole = F.array_repeat(F.lit(-1).cast("long"), (F.col("epochs") + F.when(before, 1).otherwise(0)).cast("int"))
-    out = out.withColumn("_copy", F.explode(F.concat(whole, F.when(extra > 0, F.array(extra)).otherwise(F.array().cast("array<bigint>")))))
-    # an empty capture of the first n words would need a pattern per row; words are counted off in pieces
+    part = F.when(extra > 0, F.array(extra)).otherwise(F.array().cast("array<bigint>"))
+    out = out.withColumn("_copy", F.explode(F.concat(whole, part)))
+    # words are counted off in pieces, each with the white space before it
     pieces = F.regexp_extract_all(text_of(), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), 1)
-    cut_text = F.concat_ws("", F.slice(pieces, F.lit(1), F.col("_copy").cast("int")))
-    out = out.withColumn("text", F.when(F.col("_copy") < 0, F.col("text")).otherwise(cut_text))
-    if "n_chars" in columns:
-        chars = F.length("text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col("_copy") < 0, F.col("n_chars")).otherwise(chars))
-    return out.select(*[F.col(clash.get(c, c)).alias(c) for c in columns])
+    cut = F.when(F.col("_copy") >= 0, F.concat_ws("", F.slice(pieces, F.lit(1), F.col("_copy").cast("int"))))
+    return unwrapped(out.withColumn("_cut", cut), docs, F.col("_cut"), F.col("_copy") >= 0)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
