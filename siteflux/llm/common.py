@@ -12,13 +12,23 @@ from siteflux.sources.sinks import stored
 #: White space that separates words: the space and the controls tab to carriage return.
 SPACE = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows of a small table that may be broadcast; beyond this a join is dealt by salted keys.
 BROADCAST_ROWS = 100_000
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """Store a table in the shared folder and read it back: no later step recomputes it or loses it with an executor."""
-    return stored(df, name)
+    """Store a table in the shared folder and read it back: no later step recomputes it or loses it with an executor.
+
+    What was shuffled to make it is of no use any more, so Spark is asked to delete those files when the write ends.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        return stored(df, name)
+    finally:
+        conf.set(CLEANUP, before)
 
 
 def text_of(col: str = "text") -> Column:
