@@ -262,16 +262,17 @@ _COVER = "(1 - exp(-0.5 * (fapar * 6 + 0.1)))"
 query(
     "scale_leaf_columns",
     rsql(
-        f"""SELECT sitename, date, fapar * ppfd * lue AS dgpp, {_COVER} * ppfd / 86400 * rd / (fapar * ppfd) * 86400 AS drd,
-        {_COVER} * ppfd * transp / (fapar * ppfd) / 10 AS dtransp, {_COVER} * ppfd / 864 * vcmax / (fapar * ppfd) / (fapar * 6 + 0.1) AS leaf_vcmax,
-        {_COVER} * ppfd / 864 * actnv / (fapar * ppfd) / (fapar * 6 + 0.1) AS leaf_n, vcmax25 * 5.5e5 * 1.14e-2 * 14.0067 / (3.5 * 8) / 1000 AS n_rubisco_area
-        FROM ({score_sql('full')}) WHERE fapar > 0""",
+        f"""SELECT sitename, date, fapar * ppfd * lue AS dgpp, {_COVER} * ppfd / 86400 * 0.015 * vcmax_unitiabs * 86400 AS drd,
+        {_COVER} * ppfd * 1.6 * 0.0579 * fa * m * vpd / (ca - chi * ca) / 100 / 10 AS dtransp,
+        {_COVER} * ppfd / 864 * vcmax_unitiabs / (fapar * 6 + 0.1) AS leaf_vcmax,
+        {_COVER} * ppfd / 864 * factor25_vcmax * vcmax_unitiabs * 5.5e5 * 1.14e-2 / (2.33 * 8) / 100 / (fapar * 6 + 0.1) AS leaf_n,
+        vcmax25 * 5.5e5 * 1.14e-2 * 14.0067 / (3.5 * 8) / 1000 AS n_rubisco_area FROM ({score_sql('full')})""",
         OM,
         "dgpp drd dtransp leaf_vcmax leaf_n n_rubisco_area",
     ),
 )(
     lambda s, d: U.scale_leaf_columns(
-        U.score_light_use(light(s, d).where(F.col("fapar") > 0), cpalpha="cpalpha").withColumns(
+        U.score_light_use(light(s, d), cpalpha="cpalpha").withColumns(
             {
                 "lai": F.col("fapar") * 6 + 0.1,
                 "dppfd": F.col("ppfd"),
@@ -378,7 +379,7 @@ query("calibration_days", rsql(_DAYS, OM, "gpp_obs"))(
 # ---------------------------------------------------------------- inputs and observations
 _TOWER = "SELECT sitename, date, temp, et AS prec, gpp_mod AS vpd, gpp_nt AS ppfd, qc_nt * 150 AS ccov FROM fx_daily WHERE et > 300"
 _OTHER = "SELECT sitename, date, temp + 1.5 AS temp, et / 2.1 AS prec, gpp_dt AS vpd, gpp_dt * 2 AS ppfd FROM fx_daily"
-_SPINE = """SELECT sitename, date FROM (SELECT sitename, CAST(unnest(generate_series(DATE '1995-01-01', make_date(CAST(1998 + classid % 2 AS INTEGER), 12, 31),
+_SPINE = """SELECT sitename, date FROM (SELECT sitename, CAST(unnest(generate_series(DATE '1995-01-01', DATE '2001-12-31',
   INTERVAL 1 DAY)) AS DATE) AS date FROM fx_site) WHERE NOT (month(date) = 2 AND day(date) = 29)"""
 _MERGED = f"""SELECT sitename, date, coalesce(t.temp, o.temp) AS temp, coalesce(t.prec, o.prec) AS prec, coalesce(t.vpd, o.vpd) AS vpd,
   coalesce(t.ppfd, o.ppfd) AS ppfd FROM ({_SPINE}) LEFT JOIN ({_TOWER}) t USING (sitename, date) LEFT JOIN ({_OTHER}) o USING (sitename, date)"""
@@ -386,7 +387,7 @@ _FORCING = "temp prec vpd ppfd"
 
 
 def input_sites(s, d):
-    return fx_site(s, d).select("sitename", F.lit(1995).alias("year_start"), (F.lit(1998) + F.col("classid") % 2).alias("year_end"))
+    return fx_site(s, d).select("sitename", F.lit(1995).alias("year_start"), F.lit(2001).alias("year_end"))
 
 
 def input_sources(s, d):
@@ -641,7 +642,7 @@ def gappy(s, d):
 
 
 query("gapfill_regression")(
-    lambda s, d: L.gapfill_regression(gappy(s, d), "target", PREDICTORS, iterations=5, depth=4)
+    lambda s, d: L.gapfill_regression(gappy(s, d), "target", PREDICTORS)
 )
 
 
@@ -660,7 +661,7 @@ SUFFIXES = {"fit_obs": "", "fit_mod": "_mod", "fit_bias": "_bias"}
 def _additive_curve(s, d):
     days = response_days(s, d).cache()
     model = L.fit_additive(days, TARGETS)
-    return L.response_curve(days, model, "temp", SUFFIXES, steps=30, nsample=6)
+    return L.response_curve(days, model, "temp", SUFFIXES, steps=30)
 
 
 def _additive_skill(s, d):
@@ -671,8 +672,8 @@ def _additive_skill(s, d):
 def _tree_curve(s, d):
     days = response_days(s, d)
     targets = {"gpp_obs": "fit_obs", "gpp_mod": "fit_mod"}
-    model = L.fit_response(days, targets, iterations=5, depth=4)
-    return L.response_curve(days, model, "vpd", {"fit_obs": "", "fit_mod": "_mod"}, steps=50, nsample=6)
+    model = L.fit_response(days, targets)
+    return L.response_curve(days, model, "vpd", {"fit_obs": "", "fit_mod": "_mod"}, steps=50)
 
 
 def _soil_from_et(s, d):
@@ -688,7 +689,7 @@ def _soil_from_et(s, d):
         (F.when(F.col("et") % 3 > 0, F.col("et")) * 1e4).alias("le_f_mds"),
         (F.col("ppfd") * 2).alias("aet"),
     )
-    return L.soil_moisture_from_et(days, iterations=5, depth=4)
+    return L.soil_moisture_from_et(days)
 
 
 query("fit_additive_response_curve")(_additive_curve)

@@ -315,10 +315,20 @@ query(
 )(lambda s, d: E.eav_to_wide(E.dedupe_eav(eav(s, d)), ["ELEVATION", "REFERENCE_PAPER"]))
 
 
+def tower_code():
+    """A tower code of two letters and three digits, unlike for 676,000 keys."""
+    key = F.col("s_suppkey")
+    letters = [F.char((F.floor(key / n) % 26 + 65).cast("long")) for n in (26_000, 1000)]
+    return F.concat(*letters, F.lit("-"), F.lpad((key % 1000).cast("string"), 3, "0"))
+
+
+TOWER = """chr(CAST(65 + (s_suppkey // 26000) % 26 AS INTEGER)) || chr(CAST(65 + (s_suppkey // 1000) % 26 AS INTEGER)) || '-'
+  || lpad(CAST(s_suppkey % 1000 AS VARCHAR), 3, '0')"""
+
+
 def file_names(s, d):
     """Tower file names of every supplier, two versions for even keys."""
-    key = F.col("s_suppkey")
-    site = F.concat(F.lit("XX-"), F.lpad((key % 1000).cast("string"), 3, "0"))
+    key, site = F.col("s_suppkey"), tower_code()
     versions = F.when(key % 2 == 0, F.array(F.lit("1-2"), F.lit("1-3"))).otherwise(F.array(F.lit("1-1")))
     return table(s, d, "supplier").select(
         F.explode(versions).alias("v"), site.alias("site"), (F.lit(1990) + key % 20).alias("y")
@@ -329,7 +339,7 @@ def file_names(s, d):
     )
 
 
-FILES = """SELECT 'FLX_XX-' || lpad(CAST(s_suppkey % 1000 AS VARCHAR), 3, '0') || '_FLUXNET2015_FULLSET_DD_' || (1990 + s_suppkey % 20) || '-2014_' || v || '.csv'
+FILES = f"""SELECT 'FLX_' || {TOWER} || '_FLUXNET2015_FULLSET_DD_' || (1990 + s_suppkey % 20) || '-2014_' || v || '.csv'
   AS file_name FROM (SELECT s_suppkey, unnest(CASE WHEN s_suppkey % 2 = 0 THEN ['1-2', '1-3'] ELSE ['1-1'] END) AS v FROM supplier)"""
 query(
     "pick_site_files",
@@ -343,15 +353,14 @@ query(
 )(lambda s, d: E.years_from_filenames(file_names(s, d), "file_name"))
 query(
     "override_years",
-    f"""SELECT 'XX-' || lpad(CAST(s_suppkey AS VARCHAR), 3, '0') AS mysitename, coalesce(y, 1980 + s_nationkey) AS year_start, 2014 AS year_end
-    FROM (SELECT * FROM supplier WHERE s_suppkey < 1000) LEFT JOIN (SELECT substr(file_name, 5, 6) AS f, CAST(substr(file_name, 35, 4) AS INTEGER) AS y
-    FROM ({FILES}) WHERE file_name LIKE '%3.csv') ON f = 'XX-' || lpad(CAST(s_suppkey AS VARCHAR), 3, '0')""",
+    f"""SELECT {TOWER} AS mysitename, coalesce(y, 1980 + s_nationkey) AS year_start, 2014 AS year_end
+    FROM supplier LEFT JOIN (SELECT substr(file_name, 5, 6) AS f, CAST(substr(file_name, 35, 4) AS INTEGER) AS y
+    FROM ({FILES}) WHERE file_name LIKE '%3.csv') ON f = {TOWER}""",
 )(
     lambda s, d: E.override_years(
         table(s, d, "supplier")
-        .where("s_suppkey < 1000")
         .select(
-            F.concat(F.lit("XX-"), F.lpad(F.col("s_suppkey").cast("string"), 3, "0")).alias("mysitename"),
+            tower_code().alias("mysitename"),
             F.concat((F.lit(1980) + F.col("s_nationkey")).cast("string"), F.lit("07")).alias("year_start"),
             F.lit("20141231").alias("year_end"),
         ),

@@ -17,7 +17,7 @@ OM = "sitename, date"
 def flags(s, d):
     """Flagged days from orders: a day is covered if any order falls on it."""
     o = table(s, d, "orders").select(
-        (F.col("o_custkey") % 100 + 1).alias("sitename"),
+        F.col("o_custkey").alias("sitename"),
         F.col("o_orderdate").cast("date").alias("date"),
         (F.col("o_orderstatus") == "F").alias("is_flue_drought"),
         F.when(F.col("o_orderkey") % 9 > 0, F.lit("c")).alias("cluster"),
@@ -27,7 +27,7 @@ def flags(s, d):
     )
 
 
-FLAGS = """SELECT o_custkey % 100 + 1 AS sitename, CAST(o_orderdate AS DATE) AS date, max(o_orderstatus = 'F') AS flag,
+FLAGS = """SELECT o_custkey AS sitename, CAST(o_orderdate AS DATE) AS date, max(o_orderstatus = 'F') AS flag,
   max(CASE WHEN o_orderkey % 9 > 0 THEN 'c' END) AS cluster FROM orders GROUP BY ALL"""
 
 query(

@@ -99,19 +99,25 @@ MONTHLY_ET = """SELECT sitename, CAST(year(date) AS INTEGER) AS year, CAST(month
 
 
 def neighbours_sql(src: str, c: str) -> str:
-    return f"""SELECT m.sitename, m.year, m.moy, m.{c}, CASE WHEN m.year = s.y0 AND m.moy = 1 THEN d.{c} ELSE p.{c} END AS {c}_prev,
-  CASE WHEN m.year = s.y1 AND m.moy = 12 THEN j.{c} ELSE x.{c} END AS {c}_next FROM ({src}) m
+    return f"""SELECT m.sitename, m.year, m.moy, m.{c}, CASE WHEN m.moy = 1 AND b.year IS NULL THEN d.{c} ELSE p.{c} END AS {c}_prev,
+  CASE WHEN m.moy = 12 AND a.year IS NULL THEN j.{c} ELSE x.{c} END AS {c}_next FROM ({src}) m
   LEFT JOIN ({src}) p ON p.sitename = m.sitename AND p.year * 12 + p.moy = m.year * 12 + m.moy - 1
   LEFT JOIN ({src}) x ON x.sitename = m.sitename AND x.year * 12 + x.moy = m.year * 12 + m.moy + 1
   LEFT JOIN ({src}) d ON d.sitename = m.sitename AND d.year = m.year AND d.moy = 12
   LEFT JOIN ({src}) j ON j.sitename = m.sitename AND j.year = m.year AND j.moy = 1
-  JOIN (SELECT sitename, min(year) AS y0, max(year) AS y1 FROM ({src}) GROUP BY sitename) s ON s.sitename = m.sitename"""
+  LEFT JOIN (SELECT DISTINCT sitename, year FROM ({src})) b ON b.sitename = m.sitename AND b.year = m.year - 1
+  LEFT JOIN (SELECT DISTINCT sitename, year FROM ({src})) a ON a.sitename = m.sitename AND a.year = m.year + 1"""
 
 
 query("neighbour_months", rsql(neighbours_sql(MONTHLY_ET, "et"), "sitename, year, moy", "et et_prev et_next"))(
     lambda s, d: W.neighbour_months(monthly_et(s, d), ["et"])
 )
 
+query(
+    "neighbour_months_missing_year",
+    rsql(neighbours_sql(f"SELECT * FROM ({MONTHLY_ET}) WHERE year <> 1998", "et"), "sitename, year, moy", "et et_prev et_next"),
+)(lambda s, d: W.neighbour_months(monthly_et(s, d).where("year <> 1998"), ["et"]))
+
 
 def _dim(y: str, m: str) -> str:
     return f"day(last_day(make_date({y}, {m}, 1)))"

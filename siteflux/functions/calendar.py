@@ -39,17 +39,19 @@ def bins_per_year(k: int) -> int:
     return math.ceil(365 / k)
 
 
-def xday_bin(date: Column, k: int = 5, first_year: int = 1990, last_year: int = 2018) -> Column:
+def xday_bin(date: Column, k: int = 5, first_year: int | None = None, last_year: int | None = None) -> Column:
     """Start date of the k-day bin; bins restart every Jan 1 and the last one takes the rest of the year.
 
-    Dates before ``first_year``, and on or after the last bin start of ``last_year``, have no bin.
+    On request, dates before ``first_year``, and on or after the last bin start of ``last_year``, have no bin.
     """
     last = bins_per_year(k) - 1
     index = F.least(F.floor((F.dayofyear(date) - 1) / k), F.lit(last)).cast("int")
     jan1 = F.trunc(date, "year")
-    inside = (date >= F.lit(f"{first_year}-01-01").cast("date")) & (
-        date < F.date_add(F.lit(f"{last_year}-01-01").cast("date"), last * k)
-    )
+    inside = F.lit(True)
+    if first_year is not None:
+        inside &= date >= F.lit(f"{first_year}-01-01").cast("date")
+    if last_year is not None:
+        inside &= date < F.date_add(F.lit(f"{last_year}-01-01").cast("date"), last * k)
     return F.when(inside, F.date_add(jan1, index * k))
 
 
@@ -57,6 +59,8 @@ def noleap_to_date(days_since: Column, since: str = "2001-01-01", year_length: i
     """Date of a day count in a calendar whose years all have ``year_length`` (365 or 360) days."""
     if year_length not in (365, 360):
         raise ValueError("year_length must be 365 or 360")
+    if not since.endswith("-01-01"):
+        raise ValueError("since must be a first of January: the years of the calendar start there")
     start = F.add_months(F.lit(since).cast("date"), (F.floor(days_since / year_length) * 12).cast("int"))
     day = F.pmod(F.floor(days_since).cast("int"), F.lit(year_length))
     leap = is_leap_year(F.year(start))

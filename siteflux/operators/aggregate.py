@@ -32,9 +32,16 @@ def monthly_mean(df: DataFrame, col: str = "gpp_mod") -> DataFrame:
     )
 
 
-def xday_aggregate(df: DataFrame, col: str = "gpp_obs", k: int = 5, n: str = "n_obs") -> DataFrame:
-    """Mean, minimum, maximum and number of known values per k-day bin."""
-    return df.groupBy(SITE, xday_bin(F.col(DATE), k).alias("inbin")).agg(
+def xday_aggregate(
+    df: DataFrame,
+    col: str = "gpp_obs",
+    k: int = 5,
+    n: str = "n_obs",
+    first_year: int | None = None,
+    last_year: int | None = None,
+) -> DataFrame:
+    """Mean, minimum, maximum and number of known values per k-day bin, of all years or a range of them."""
+    return df.groupBy(SITE, xday_bin(F.col(DATE), k, first_year, last_year).alias("inbin")).agg(
         F.avg(col).alias(col),
         F.min(col).alias(f"{col}_min"),
         F.max(col).alias(f"{col}_max"),

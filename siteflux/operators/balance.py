@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteflux import DATE, SITE
+from siteflux.operators.groups import join_keys
 from siteflux.sources.sinks import stored
 
 # Fixed values.
@@ -115,7 +116,7 @@ def bounded_running_balance(
         F.struct(*rest).alias("row"),
     )
     blocks = (
-        df.withColumn("_block", F.year(order) if block is None else block)
+        df.withColumn("_block", F.coalesce((F.year(order) if block is None else block).cast("long"), F.lit(-(2**62))))
         .groupBy(*keys)
         .agg(
             F.array_sort(F.collect_list(day)).alias("_days"),
@@ -140,7 +141,7 @@ def bounded_running_balance(
     sizes = blocks.select(*keys, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     head = F.greatest(F.lit(0), F.lit(spinup) - F.col("_before"))
     fold, states = _day_functions(float(cap), kind)
-    parts = blocks.join(sizes, keys).select(
+    parts = join_keys(blocks, sizes, keys, "inner").select(
         *keys,
         ((F.col("_gap_row") > 0) & (F.col("_gap_row") <= head)).alias("spin_gap"),
         (F.col("_gap_row") > 0).alias("gap"),
@@ -170,7 +171,7 @@ def bounded_running_balance(
         ),
     )
     starts = chain.withColumn("_start", start).select(*by, F.inline(opened["out"]))
-    rebuilt = blocks.join(starts, keys).select(
+    rebuilt = join_keys(blocks, starts, keys, "inner").select(
         *by, F.col("_rows").alias("row"), states("_in", "_out", "s0", "gap0").alias("s")
     )
     rows = rebuilt.select(*by, F.inline(F.arrays_zip("row", "s")))

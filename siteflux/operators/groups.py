@@ -11,10 +11,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Equi join on ``keys`` in which an unknown key matches an unknown key, as grouping treats it."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = [left[k].eqNullSafe(renamed[f"_right_{k}"]) for k in keys]
+    return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def with_stats(df: DataFrame, by: list[str], **stats: Column) -> DataFrame:
-    """Add per-group aggregates as columns."""
+    """Add per-group aggregates as columns; rows with an unknown key are a group too."""
     table = df.groupBy(*by).agg(*[agg.alias(name) for name, agg in stats.items()])
-    return df.join(table, list(by), "left")
+    return join_keys(df, table, list(by))
 
 
 def first_per_key(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from siteflux import DATE, SITE
 from siteflux.functions.calendar import is_leap_year
-from siteflux.operators.groups import with_stats
+from siteflux.operators.groups import join_keys, with_stats
 
 
 def _neighbours(df: DataFrame, cols: list[str], by: list[str], order: str, x: Column | None, block: Column | None):
@@ -39,11 +39,7 @@ def _neighbours(df: DataFrame, cols: list[str], by: list[str], order: str, x: Co
     if block is None:
         return scan(df, by).withColumn("_total", F.count(F.lit(1)).over(Window.partitionBy(*by)))
 
-    # a row without group cannot belong to a series; saying so here keeps the two uses of the blocks alike
-    placed = df
-    for key in by:
-        placed = placed.where(F.col(key).isNotNull())
-    placed = placed.withColumn("_block", F.coalesce(block.cast("long"), F.lit(-(2**62))))
+    placed = df.withColumn("_block", F.coalesce(block.cast("long"), F.lit(-(2**62))))
     keys = [*by, "_block"]
     blocked = scan(placed, keys)
     ends = blocked.groupBy(*keys).agg(
@@ -67,7 +63,7 @@ def _neighbours(df: DataFrame, cols: list[str], by: list[str], order: str, x: Co
         *[F.last(moved(F.col(f"_last_{c}")), ignorenulls=True).over(earlier).alias(f"_cp_{c}") for c in cols],
         *[F.last(moved(F.col(f"_first_{c}")), ignorenulls=True).over(later).alias(f"_cn_{c}") for c in cols],
     )
-    joined = blocked.join(carry, keys, "left")
+    joined = join_keys(blocked, carry, keys)
     joined = joined.withColumns(
         {
             **{f"_p_{c}": F.coalesce(moved(F.col(f"_p_{c}")), F.col(f"_cp_{c}")) for c in cols},
@@ -170,8 +166,8 @@ def anomalies(
 def neighbour_months(df: DataFrame, cols: list[str], by: list[str] | None = None) -> DataFrame:
     """Previous and next month's value as ``<col>_prev`` and ``<col>_next`` on a (site, year, moy) table.
 
-    Within a year the neighbour must be present. December before a site's first year is that year's own
-    December, January after its last year that year's own January.
+    A neighbour in a year that the site has must be present. Where the site lacks the year before, January takes
+    its own year's December; where it lacks the year after, December takes its own year's January.
     """
     by = by or [SITE]
     # a month occurs once per group, so that a group is bounded by its years: plain windows, one shuffle
@@ -179,8 +175,12 @@ def neighbour_months(df: DataFrame, cols: list[str], by: list[str] | None = None
     line = whole.orderBy("year", "moy")
     year = Window.partitionBy(*by, "year")
     index = F.col("year") * 12 + F.col("moy")
-    first = (F.col("year") == F.min("year").over(whole)) & (F.col("moy") == 1)
-    last = (F.col("year") == F.max("year").over(whole)) & (F.col("moy") == 12)
+    # years as a window of months: the last row of an earlier year and the first of a later one
+    near = whole.orderBy("year")
+    year_before = F.max("year").over(near.rangeBetween(Window.unboundedPreceding, -1))
+    year_after = -F.max(-F.col("year")).over(whole.orderBy(-F.col("year")).rangeBetween(Window.unboundedPreceding, -1))
+    first = (F.col("moy") == 1) & ~F.coalesce(year_before == F.col("year") - 1, F.lit(False))
+    last = (F.col("moy") == 12) & ~F.coalesce(year_after == F.col("year") + 1, F.lit(False))
 
     def month(c: str, moy: int) -> Column:
         return F.max(F.when(F.col("moy") == moy, F.col(c))).over(year)

@@ -55,7 +55,7 @@ def observation_tables(
         daily = merge_alt_target(daily, alt, col, f"{col}_alt")
     if forcing is not None:
         daily = attach_forcing(daily, forcing)
-    return {"ddf": daily, "xdf": xday_aggregate(daily, col, settings.k), "mdf": monthly, "adf": annual}
+    return {"ddf": daily, "xdf": xday_aggregate(daily, col, **settings.bins()), "mdf": monthly, "adf": annual}
 
 
 def combine(mod: DataFrame, obs: dict[str, DataFrame], settings: EvalSettings = EvalSettings()) -> dict[str, DataFrame]:
@@ -65,7 +65,7 @@ def combine(mod: DataFrame, obs: dict[str, DataFrame], settings: EvalSettings =
     kept = {name: table.join(have, SITE, "left_semi") for name, table in obs.items()}
     return {
         "ddf": attach_model(kept["ddf"], mod, [SITE, DATE]),
-        "xdf": attach_model(kept["xdf"], xday_aggregate(mod, "gpp_mod", settings.k, "n_mod"), [SITE, "inbin"]),
+        "xdf": attach_model(kept["xdf"], xday_aggregate(mod, "gpp_mod", n="n_mod", **settings.bins()), [SITE, "inbin"]),
         "mdf": attach_model(kept["mdf"], monthly_mean(mod), [SITE, "year", "moy"]),
         "adf": attach_model(kept["adf"], annual_sum(mod, "gpp_mod", settings.min_days), [SITE, "year"]),
     }

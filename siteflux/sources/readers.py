@@ -103,14 +103,16 @@ def read_alt_gpp(spark: SparkSession, path: str, freq: str = "d", site: Column |
     """Second carbon flux product, daily only: mol CO2 to gC, NaN to null, common names."""
     if freq != "d":
         raise ValueError("the second product is available for daily time steps only")
-    schema = "Timestamp DATE, `GPP_mol.m2` DOUBLE, `GPP_err_mol.m2` DOUBLE"
-    raw = spark.read.option("header", True).option("nullValue", MISSING).schema(schema).csv(path)
+    # columns are found by the header's names; values are cast here, since a schema would go by position
+    raw = spark.read.option("header", True).option("nullValue", MISSING).csv(path)
     where = F.regexp_extract(file_name(), r"^(.*)_daily_GPP", 1) if site is None else site
     return raw.select(
         where.alias(SITE),
-        F.col("Timestamp").alias(DATE),
-        finite(mol_to_gram_carbon(F.col("`GPP_mol.m2`"))).alias("gpp_obs"),
-        mol_to_gram_carbon(F.col("`GPP_err_mol.m2`")).alias("gpp_err_obs"),
+        F.col("Timestamp").try_cast("date").alias(DATE),
+        *[
+            finite(mol_to_gram_carbon(F.col(f"`{name}`").try_cast("double"))).alias(out)
+            for name, out in (("GPP_mol.m2", "gpp_obs"), ("GPP_err_mol.m2", "gpp_err_obs"))
+        ],
     )
 
 
@@ -151,8 +153,11 @@ def union_sites(*frames: DataFrame) -> DataFrame:
 
 
 def merge_yearly_outputs(df: DataFrame, variables: list[str]) -> DataFrame:
-    """Yearly long outputs (site, date, variable, value) as one row per site and day, a column per variable."""
-    return df.groupBy(SITE, DATE).pivot("variable", variables).agg(F.first("value", ignorenulls=True))
+    """Yearly long outputs (site, date, variable, value) as one row per site and day, a column per variable.
+
+    Where yearly outputs overlap, a day takes the largest value, whatever the order of the files.
+    """
+    return df.groupBy(SITE, DATE).pivot("variable", variables).agg(F.max("value"))
 
 
 def read_yearly_outputs(spark: SparkSession, path: str, variables: list[str]) -> DataFrame:

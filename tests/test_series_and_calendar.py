@@ -37,7 +37,7 @@ def test_xday_bins_at_year_end(spark, k):
 
 
 def test_xday_bin_range(spark):
-    got = dates(spark, [D(1989, 12, 31), D(1990, 1, 1), D(2018, 12, 26), D(2018, 12, 27), D(2019, 1, 1)], lambda d: T.xday_bin(d, 5))
+    got = dates(spark, [D(1989, 12, 31), D(1990, 1, 1), D(2018, 12, 26), D(2018, 12, 27), D(2019, 1, 1)], lambda d: T.xday_bin(d, 5, 1990, 2018))
     assert got == [None, D(1990, 1, 1), D(2018, 12, 22), None, None]
 
 
