@@ -70,6 +70,26 @@ for _k in (5, 8):
     query(f"xday_aggregate_{_k}", rsql(xday_sql("gpp_obs", "n_obs", _k), "sitename, inbin, n_obs", "gpp_obs gpp_obs_min gpp_obs_max"))(
         lambda s, d, k=_k: A.xday_aggregate(obs_mod(s, d), "gpp_obs", k)
     )
+# the same days twenty years later, past any fixed range
+LATE = "SELECT sitename, CAST(date + INTERVAL 20 YEAR AS DATE) AS date, gpp_obs FROM obs_mod WHERE NOT (month(date) = 2 AND day(date) = 29)"
+query(
+    "xday_aggregate_late_years",
+    rsql(
+        f"""SELECT sitename, inbin, avg(gpp_obs) AS gpp_obs, min(gpp_obs) AS gpp_obs_min, max(gpp_obs) AS gpp_obs_max, count(gpp_obs) AS n_obs FROM (
+        SELECT *, CAST(date_trunc('year', date) AS DATE) + CAST(least(floor((dayofyear(date) - 1) / 5), 72) AS INTEGER) * 5 AS inbin FROM ({LATE}))
+        GROUP BY sitename, inbin""",
+        "sitename, inbin, n_obs",
+        "gpp_obs gpp_obs_min gpp_obs_max",
+    ),
+)(
+    lambda s, d: A.xday_aggregate(
+        obs_mod(s, d)
+        .where(~((F.month("date") == 2) & (F.dayofmonth("date") == 29)))
+        .select("sitename", F.add_months("date", 240).alias("date"), "gpp_obs"),
+        "gpp_obs",
+        5,
+    )
+)
 query("valid_count", "SELECT sitename, count(gpp_obs) AS ndailygpp FROM obs_mod GROUP BY sitename")(
     lambda s, d: A.valid_count(obs_mod(s, d))
 )

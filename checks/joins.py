@@ -252,6 +252,13 @@ query(
         G.locate(grid_sites(s, d), SPEC50).select("sitename", "lon_idx", "lat_idx"), fx_grid(s, d), 50
     )
 )
+# a regional grid: sites outside have no cell
+REGION = G.GridSpec(lon0=-19.75, lat0=-29.75, nlon=80, nlat=120)
+query(
+    "locate_in_region",
+    """SELECT sitename, CASE WHEN i BETWEEN 0 AND 79 THEN i END AS lon_idx, CASE WHEN j BETWEEN 0 AND 119 THEN j END AS lat_idx FROM (
+    SELECT sitename, CAST(sitename * 37 % 720 AS INTEGER) - 320 AS i, CAST(sitename * 53 % 360 AS INTEGER) - 120 AS j FROM fx_site)""",
+)(lambda s, d: G.locate(fx_site(s, d), REGION).select("sitename", "lon_idx", "lat_idx"))
 query(
     "locate_half_degree",
     """SELECT sitename, CAST(sitename * 37 % 720 AS INTEGER) AS lon_idx, CAST(sitename * 53 % 360 AS INTEGER) AS lat_idx FROM fx_site""",

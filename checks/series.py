@@ -30,6 +30,12 @@ query(
 )(lambda s, d: W.interpolate_linear(sensor_series(s, d), ["v"], ["sitename"]))
 
 
+def _null_first_site(df):
+    first = df.agg(F.min("sitename").alias("_first"))
+    out = df.join(first, F.col("sitename") == F.col("_first"), "left")
+    return out.withColumn("sitename", F.when(F.col("_first").isNull(), F.col("sitename"))).drop("_first")
+
+
 def fill_sql(src: str, cols: list[str], extra: str = "") -> str:
     inner = interpolate_sql(src, cols, "sitename", "date")
     out = ", ".join(f"coalesce({c}, nv_{c}, pv_{c}) AS {c}" for c in cols)
@@ -48,6 +54,15 @@ query(
         fx_daily(s, d).select("sitename", "date", "soilm", "temp", "gpp_nt"), ["soilm", "temp"], zero=["gpp_nt"]
     )
 )
+# one site's key unknown: its rows are a series too
+query(
+    "fill_gaps_null_site",
+    rsql(
+        fill_sql("SELECT nullif(sitename, (SELECT min(sitename) FROM fx_daily)) AS sitename, date, soilm FROM fx_daily", ["soilm"]),
+        OM,
+        "soilm",
+    ),
+)(lambda s, d: W.fill_gaps(_null_first_site(fx_daily(s, d).select("sitename", "date", "soilm")), ["soilm"]))
 # sensor calendars put the leading and trailing gaps inside one short block
 query("fill_gaps_sensor", rsql(fill_sql(SENSOR.replace("f.v FROM", "CASE WHEN f.v > 20 THEN f.v END AS v FROM"), ["v"]), OM, "v"))(
     lambda s, d: W.fill_gaps(
