@@ -182,6 +182,25 @@ def light(s, d):
     return U.light_use_forcing(daily, sites, co2)
 
 
+# Density of water (Fisher & Dial 1975, by temperature) and viscosity of water (Huber et al. 2009, rows by
+# power of density), written out here so that the SQL does not share the library's numbers.
+SQL_LAMBDA = (1788.316, 21.55053, -0.4695911, 3.096363e-3, -7.341182e-6)
+SQL_P0 = (5918.499, 58.05267, -1.1253317, 6.6123869e-3, -1.4661625e-5)
+SQL_VINF = (
+    0.6980547, -7.435626e-4, 3.704258e-5, -6.315724e-7, 9.829576e-9, -1.197269e-10, 1.005461e-12, -5.437898e-15,
+    1.69946e-17, -2.295063e-20,
+)
+SQL_H = (
+    (0.520094, 0.0850895, -1.08374, -0.289555, 0.0, 0.0),
+    (0.222531, 0.999115, 1.88797, 1.26613, 0.0, 0.120573),
+    (-0.281378, -0.906851, -0.772479, -0.489837, -0.257040, 0.0),
+    (0.161913, 0.257399, 0.0, 0.0, 0.0, 0.0),
+    (-0.0325372, 0.0, 0.0, 0.0698452, 0.0, 0.0),
+    (0.0, 0.0, 0.0, 0.0, 0.00872102, 0.0),
+    (0.0, 0.0, 0.0, -0.00435673, 0.0, -0.000593264),
+)
+
+
 def _poly_sql(coefficients, x):
     return " + ".join(f"({c!r}) * ({x}) ** {i}" for i, c in enumerate(coefficients))
 
@@ -191,15 +210,15 @@ def _arrh(energy: float) -> str:
 
 
 def _h(i: int) -> str:
-    return " + ".join(f"({row[i]!r}) * (rbar - 1) ** {j}" for j, row in enumerate(U.VISCOSITY_H))
+    return " + ".join(f"({row[i]!r}) * (rbar - 1) ** {j}" for j, row in enumerate(SQL_H))
 
 
 def _visc(t: str, src: str) -> str:
     """Viscosity as column ``mu`` of a relation with temperature ``t`` and pressure ``patm``."""
     mu1 = " + ".join(f"(1 / tbar - 1) ** {i} * ({_h(i)})" for i in range(6))
     return f"""SELECT *, 1e-6 * 100 * sqrt(tbar) / (1.67752 + 2.20462 / tbar + 0.6366564 / tbar ** 2 - 0.241605 / tbar ** 3) * exp(rbar * ({mu1})) AS mu
-      FROM (SELECT *, ({t} + 273.15) / 647.096 AS tbar, 1e3 / (({_poly_sql(U.DENSITY_VINF, t)}) + ({_poly_sql(U.DENSITY_LAMBDA, t)})
-      / (({_poly_sql(U.DENSITY_P0, t)}) + 1e-5 * patm)) / 322.0 AS rbar FROM ({src}))"""
+      FROM (SELECT *, ({t} + 273.15) / 647.096 AS tbar, 1e3 / (({_poly_sql(SQL_VINF, t)}) + ({_poly_sql(SQL_LAMBDA, t)})
+      / (({_poly_sql(SQL_P0, t)}) + 1e-5 * patm)) / 322.0 AS rbar FROM ({src}))"""
 
 
 _BASE = f"""SELECT *, ({PRESSURE.format(t0=298.15)}) AS patm, 4.22 * {_arrh(37830.0)} AS gstar, pow(cpalpha / 1.26, 0.25) AS fa FROM fx_light"""
@@ -631,6 +650,26 @@ query(
     ),
 )(lambda s, d: flat_tables(s, d)["mdf"])
 
+
+
+def _flat_sql(period: str, name: str) -> str:
+    keys = f"sitename, year(date) AS year{', ' + period + ' AS ' + name if period else ''}"
+    using = "sitename, year" + (f", {name}" if name else "")
+    return f"""SELECT i.*, o.gpp_obs, m.gpp, m.aet, m.wcont FROM (SELECT {keys}, min(date) AS date, {Q.strict('avg', 'temp')} AS temp,
+      avg(qc_nt) AS qc_nt FROM fx_daily GROUP BY sitename, year(date){', ' + period if period else ''}) i
+      LEFT JOIN (SELECT {keys}, {Q.strict('avg', 'gpp_nt')} AS gpp_obs FROM fx_daily GROUP BY sitename, year(date){', ' + period if period else ''}) o USING ({using})
+      LEFT JOIN (SELECT {keys}, sum(gpp_mod) AS gpp, sum(et) AS aet, avg(qc_dt) AS wcont FROM fx_daily WHERE et > 100
+      GROUP BY sitename, year(date){', ' + period if period else ''}) m USING ({using})"""
+
+
+_WEEK = "(CAST(floor((dayofyear(date) - 1) / 7) AS INTEGER) + 1)"
+query("flat_model_obs_weekly", rsql(_flat_sql(_WEEK, "week"), "sitename, year, week, date", "temp qc_nt gpp_obs gpp aet wcont"))(
+    lambda s, d: flat_tables(s, d)["wdf"]
+)
+query("flat_model_obs_annual", rsql(_flat_sql("", ""), "sitename, year, date", "temp qc_nt gpp_obs gpp aet wcont"))(
+    lambda s, d: flat_tables(s, d)["adf"]
+)
+
 # ---------------------------------------------------------------- learned responses (rows only)
 PREDICTORS = ["temp", "ppfd", "vpd"]
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import column
+from checks import jobs
 from siteflux.operators import aggregate as A
 from siteflux.operators import grid as G
 from siteflux.operators import metadata as E
@@ -211,14 +212,14 @@ def test_materialise_rebuilds_only_on_request(spark, series, tmp_path):
 def density(tc, p):
     lam = 1788.316 + 21.55053 * tc - 0.4695911 * tc**2 + 3.096363e-3 * tc**3 - 7.341182e-6 * tc**4
     po = 5918.499 + 58.05267 * tc - 1.1253317 * tc**2 + 6.6123869e-3 * tc**3 - 1.4661625e-5 * tc**4
-    v = sum(c * tc**i for i, c in enumerate(U.DENSITY_VINF))
+    v = sum(c * tc**i for i, c in enumerate(jobs.SQL_VINF))
     return 1e3 / (v + lam / (po + 1e-5 * p))
 
 
 def viscosity(tc, p):
     tb, rb = (tc + 273.15) / 647.096, density(tc, p) / 322.0
     mu0 = 100 * tb**0.5 / (1.67752 + 2.20462 / tb + 0.6366564 / tb**2 - 0.241605 / tb**3)
-    mu1 = sum((1 / tb - 1) ** i * sum(U.VISCOSITY_H[j][i] * (rb - 1) ** j for j in range(7)) for i in range(6))
+    mu1 = sum((1 / tb - 1) ** i * sum(jobs.SQL_H[j][i] * (rb - 1) ** j for j in range(7)) for i in range(6))
     return mu0 * np.exp(rb * mu1) * 1e-6
 
 
