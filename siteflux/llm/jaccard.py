@@ -242,7 +242,9 @@ def _tile_pairs(rest: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     first of its common keys alone.
     """
     tiles = rest.join(nodes.select("short", "node", "n", "keys", "signature"), "short")
-    tiles = keep(tiles.withColumn("band", F.floor(F.log("n") / float(np.log(100 / percent)))), "jaccard_tiles")
+    # bands a little wider than the ratio, so that rounding never puts two allowed sizes further apart than neighbours
+    band = lambda n: F.floor(F.log(n) / float(np.log(100 / percent) * (1 + 1e-9)))
+    tiles = keep(tiles.withColumn("band", band("n")), "jaccard_tiles")
     sizes = keep(tiles.groupBy("key", "band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "jaccard_blocks")
     fields = ["node", "n", "component", "keys", "signature"]
     stay = tiles.join(sizes, ["key", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
@@ -251,7 +253,7 @@ def _tile_pairs(rest: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     visit = visit.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     visit = visit.select("key", "band", "block", *[F.col(c).alias(f"{c}_y") for c in fields])
     # of two documents in one band each visits the other: one of the visits counts
-    once = (F.floor(F.log("n_x") / float(np.log(100 / percent))) != F.floor(F.log("n_y") / float(np.log(100 / percent)))) | (F.col("node_x") < F.col("node_y"))
+    once = (band("n_x") != band("n_y")) | (F.col("node_x") < F.col("node_y"))
     wanted = (F.col("component_x") != F.col("component_y")) & _similar("x", "y", percent) & once
     wanted &= _may_link("x", "y", percent) & (F.get(F.array_intersect("keys_x", "keys_y"), F.lit(0)) == F.col("key"))
     pairs = stay.join(visit, ["key", "band", "block"]).where(wanted)
@@ -324,7 +326,7 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
         pairs = _named(pairs.select(F.col("p.short").alias("x"), F.col("short").alias("y")), nodes, percent)
         pairs = keep(_untried(pairs, tried), "jaccard_pairs")
         tried, links = tried.union(pairs), links.union(_verified(pairs, docs, nodes, words, percent))
-    pairs = keep(_untried(_tile_pairs(rest, nodes, percent), tried), "jaccard_pairs")
+    pairs = links.limit(0) if rest.isEmpty() else keep(_untried(_tile_pairs(rest, nodes, percent), tried), "jaccard_pairs")
     if not pairs.isEmpty():
         groups = components(links.union(_verified(pairs, docs, nodes, words, percent)), "jaccard_groups")
     nodes = nodes.drop("keys", "signature")
