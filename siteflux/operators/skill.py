@@ -111,7 +111,8 @@ def cost(
 def anomaly_histogram(df: DataFrame, cols: list[str], bins: int = 20) -> DataFrame:
     """Density per equal-width bin, with the sample standard deviation, for each column.
 
-    The value range and spread come from one aggregate and return to the rows as a single row.
+    The value range and spread come from one aggregate and return to the rows as one row per named column, a number
+    fixed by the call, so that these few rows are broadcast and the values are not dealt by their series.
     """
     sides = F.array(*[F.struct(F.lit(c).alias("series"), F.col(c).cast("double").alias("v")) for c in cols])
     long = df.select(F.explode(sides).alias("_s")).select("_s.*").where(F.col("v").isNotNull())
@@ -120,7 +121,7 @@ def anomaly_histogram(df: DataFrame, cols: list[str], bins: int = 20) -> DataFra
     )
     width = F.col("hi") - F.col("lo")
     share = F.when(width > 0, (F.col("v") - F.col("lo")) / width).otherwise(F.lit(0.0))
-    placed = long.join(stats, "series").withColumn("bin", F.least(F.floor(share * bins), F.lit(bins - 1)).cast("int"))
+    placed = long.join(F.broadcast(stats), "series").withColumn("bin", F.least(F.floor(share * bins), F.lit(bins - 1)).cast("int"))
     # all other keys are functions of the series
     out = placed.groupBy("series", "bin").agg(
         F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("lo", "hi", "total", "sd")]

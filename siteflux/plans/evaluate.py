@@ -52,6 +52,8 @@ def observation_tables(
         monthly = monthly.withColumn(col, null_if(month < first, F.col(col)))
         daily = daily.withColumn(col, null_if(F.col(DATE) < first, F.col(col)))
     if alt is not None:
+        if settings.first_day is not None:
+            alt = alt.withColumn(col, null_if(F.col(DATE) < F.lit(settings.first_day).cast("date"), F.col(col)))
         daily = merge_alt_target(daily, alt, col, f"{col}_alt")
     if forcing is not None:
         daily = attach_forcing(daily, forcing)

@@ -134,7 +134,8 @@ def prepare_inputs(
 
 
 def write_inputs(df: DataFrame, path: str, variables: tuple[str, ...] = ("temp", "prec", "fsun", "vpd", "ppfd", "fapar")) -> None:
-    """One text directory per variable, split by site and year."""
-    for name in variables:
-        if name in df.columns:
-            write_site_year_text(df, name, f"{path.rstrip('/')}/d{name}")
+    """One text directory per variable, split by site and year; the plan runs once, into the shared folder."""
+    names = [name for name in variables if name in df.columns]
+    df = stored(df.select(SITE, DATE, *names), "inputs")
+    for name in names:
+        write_site_year_text(df, name, f"{path.rstrip('/')}/d{name}")

@@ -22,6 +22,12 @@ def file_name() -> Column:
     return F.col("_metadata.file_name")
 
 
+def line_order() -> Column:
+    """A sortable place of a line. Spark packs files into tasks in an order of its own, so the path and block lead."""
+    path, block = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    return F.struct(path.alias("file"), block.alias("block"), F.monotonically_increasing_id().alias("row"))
+
+
 def site_of_file(pattern: str = SITE_PATTERN) -> Column:
     return F.regexp_extract(file_name(), pattern, 1)
 
@@ -92,11 +98,11 @@ def read_site_csv(
 
 
 def read_site_meta_long(spark: SparkSession, path: str) -> DataFrame:
-    """Semicolon-separated long metadata with ``line``, an increasing position within and across files."""
+    """Semicolon-separated long metadata with ``line``, an order of rows by file path, block of the file and row."""
     fields = ["SITE_ID", "GROUP_ID", "VARIABLE_GROUP", "VARIABLE", "DATAVALUE"]
     schema = T.StructType([T.StructField(f, T.StringType()) for f in fields])
     df = spark.read.option("header", True).option("sep", ";").schema(schema).csv(path)
-    return df.withColumn("line", F.monotonically_increasing_id())
+    return df.withColumn("line", line_order())
 
 
 def read_alt_gpp(spark: SparkSession, path: str, freq: str = "d", site: Column | None = None) -> DataFrame:
@@ -141,7 +147,7 @@ def read_fixed_width(
     raw = spark.read.text(path)
     number = F.expr(f"try_cast(trim(substring(value, {begin}, {end - begin + 1})) AS DOUBLE)")
     cut = [F.regexp_extract(F.col("_metadata.file_path"), pattern, 1).alias(k) for k, pattern in (keys or {}).items()]
-    return raw.select(*cut, number.alias(name), F.monotonically_increasing_id().alias("line"))
+    return raw.select(*cut, number.alias(name), line_order().alias("line"))
 
 
 def union_sites(*frames: DataFrame) -> DataFrame:
