@@ -149,6 +149,22 @@ def word_scores(counts: DataFrame, lattice: Lattice) -> DataFrame:
     return counts.select("word", "trained", "seen").mapInArrow(score, "word binary, trained long, seen long, marginal double")
 
 
+def _frequent(words: DataFrame, most: int) -> DataFrame:
+    """The words seen oftenest, at most ``most`` of them: those above a count that a histogram of few steps gives.
+
+    Eight steps per doubling: no more than some hundred rows are collected, and nothing is sorted in one task.
+    """
+    step = F.floor(F.log2("seen") * 8)
+    sizes = {r["step"]: r["n"] for r in words.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()}
+    least, room = float("inf"), most
+    for at in sorted(sizes, reverse=True):
+        room -= sizes[at]
+        if room < 0:
+            break
+        least = at
+    return words.where(step >= F.lit(float(least)))
+
+
 def score_texts(docs: DataFrame, vocabulary: str = VOCABULARY, head_words: int = HEAD_WORDS) -> DataFrame:
     """Log10 probabilities of all texts, one row per row.
 
@@ -158,8 +174,8 @@ def score_texts(docs: DataFrame, vocabulary: str = VOCABULARY, head_words: int =
     all segmentations are summed. Words start pieces of their own, so a text's probability is the product of its
     words' and its end.
 
-    Words are counted over all training documents and each distinct word is scored once. The ``head_words`` most
-    frequent, a fixed number, are held by every task; the others are joined by word, none of which is frequent.
+    Words are counted over all training documents and each distinct word is scored once. The most
+    frequent, at most ``head_words``, are held by every task; the others are joined by word, none of which is frequent.
     A null text is empty and has its end alone; a null id counts as the empty string for the fold. Repeats count as
     often as they stand. Without training documents all counts are zero. Other columns are ignored.
     """
@@ -170,7 +186,7 @@ def score_texts(docs: DataFrame, vocabulary: str = VOCABULARY, head_words: int =
     ends = counts.where(F.col("word") == F.lit(END)).first()
     lattice = Lattice(piece_counts(counts, vocabulary), ends["trained"] if ends else 0, vocabulary)
     words = keep(word_scores(counts, lattice), "lm_words")
-    head = words.orderBy(F.desc("seen"), "word").limit(head_words).toArrow()
+    head = _frequent(words, head_words).toArrow()
     names = head["word"].to_pylist()
     known = dict(zip(map(bytes, names), zip(head["trained"].to_pylist(), head["marginal"].to_pylist())))
     known = docs.sparkSession.sparkContext.broadcast(known)  # head_words entries
