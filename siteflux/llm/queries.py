@@ -20,5 +20,6 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op7_chat": chat.OP7_SQL,
     "op3_top_k": topk.OP3_SQL,
+    "op5_jaccard_join": jaccard.OP5_SQL,
     "op10_quality_rules": rules.OP10_SQL,
 }
