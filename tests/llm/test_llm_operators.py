@@ -188,6 +188,25 @@ def test_block_masks_find_every_near_hash(n):
         assert any(not flip & m for m in masks)
 
 
+def changed(rng, text, n):
+    """``text`` with a run of about ``n`` characters in the middle replaced by others."""
+    at = int(rng.integers(len(text) // 4, len(text) // 2))
+    return text[:at] + "".join(rng.choice(list("klmnop"), n)) + text[at + n :]
+
+
+def test_line_dedup_finds_near_lines_of_every_similarity(spark):
+    rng = np.random.default_rng(11)
+    texts = []
+    for _ in range(60):
+        base = " ".join("".join(rng.choice(list("abcdefgh"), rng.integers(3, 9))) for _ in range(int(rng.integers(8, 40))))
+        texts += [base, changed(rng, base, max(1, int(len(base) * rng.choice([0.04, 0.1, 0.14, 0.18]))))]
+    near = 0
+    for a, b in zip(texts[::2], texts[1::2]):
+        near += 5 * edits(" ".join(a.split()), " ".join(b.split())) <= max(len(a), len(b))
+    gone = lines.removed_lines(frame(spark, make([(i, t, "a") for i, t in enumerate(texts)])), distance=None).collect()
+    assert near > 50 and {r.doc_id % 2 for r in gone} == {1} and 0.9 * near <= len(gone) <= near
+
+
 # --- top k ----------------------------------------------------------------------------------------------------------
 
 
