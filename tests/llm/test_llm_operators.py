@@ -207,6 +207,21 @@ def test_line_dedup_finds_near_lines_of_every_similarity(spark):
     assert near > 50 and {r.doc_id % 2 for r in gone} == {1} and 0.9 * near <= len(gone) <= near
 
 
+def test_long_lines_and_ties_are_compared_by_edits(spark):
+    rng = np.random.default_rng(12)
+    words = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(900)]
+    other = [("z" + w[1:]) if i % 4 == 0 else w for i, w in enumerate(words)]  # 225 edits in 6,299 characters
+    mixed = [words[i] for i in rng.permutation(900)]
+    assert len(" ".join(words)) > lines.EDIT_CHARS
+    tie = "abcd efgh ijkl mnop q r s"  # 25 characters; 5 edits are 0.8
+    texts = [" ".join(words), " ".join(mixed), " ".join(other), tie, tie[:-5] + "v w x", tie[:14] + "zzzzzz" + tie[20:]]
+    assert edits(tie, texts[4]) == 3 and len(tie) == 25
+    texts[4] = "abcd efgh ijkl mnop " + "vwxyz"
+    assert edits(tie, texts[4]) == 5 and edits(tie, texts[5]) == 6
+    gone = lines.removed_lines(frame(spark, make([(i, t, "a") for i, t in enumerate(texts)])), distance=None).collect()
+    assert {r.doc_id for r in gone} == {2, 4}
+
+
 # --- top k ----------------------------------------------------------------------------------------------------------
 
 
