@@ -222,6 +222,13 @@ def test_long_lines_and_ties_are_compared_by_edits(spark):
     assert {r.doc_id for r in gone} == {2, 4}
 
 
+def test_short_and_unspaced_lines_take_part(spark):
+    han = "".join(chr(0x4E00 + 37 * i % 5000) for i in range(60))
+    texts = ["ok", "OK.", "page one", "page one", han, han[:30] + "x" + han[31:], han, "abcdefghi", "abcdefgh", "abcd", "abce", "...", "..."]
+    gone = lines.removed_lines(frame(spark, make([(i, t, "a") for i, t in enumerate(texts)])), distance=None).collect()
+    assert {r.doc_id for r in gone} == {1, 3, 5, 6, 8}
+
+
 # --- top k ----------------------------------------------------------------------------------------------------------
 
 
