@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Share of a template's distinct words that a block must hold.
 PERCENT = 80
+#: Words of a window over line ends, in percent of a template's words.
+WINDOW = 150
 #: Phrases and their labels.
 PHRASES = {
     "gnu general public license": "gpl",
@@ -68,7 +70,7 @@ class TemplateIndex:
     """
 
     def __init__(self, templates, counts: dict[bytes, int], percent: int):
-        self.templates, self.percent = [], percent
+        self.templates, self.windows, self.percent = [], [], percent
         self.first: dict[bytes, list[int]] = {}
         for label, text in templates:
             words = sorted(set(normalised(text).split()), key=lambda w: (counts.get(w, 0), w))
@@ -76,6 +78,7 @@ class TemplateIndex:
             for word in words[: len(words) - need + 1]:
                 self.first.setdefault(word, []).append(len(self.templates))
             self.templates.append((label, words, need))
+            self.windows.append(-(-len(normalised(text).split()) * WINDOW // 100))
         self.starts = frozenset(self.first)
 
     def matches(self, block: bytes) -> list[tuple[int, int]]:
@@ -95,14 +98,75 @@ class TemplateIndex:
         return out
 
 
+    def runs(self, words: list[bytes], t: int) -> list[tuple[int, int, int]]:
+        """(first word, last word, overlap) of the windows that hold enough of template ``t``: the best of each cluster."""
+        _, template, need = self.templates[t]
+        own, size = frozenset(template), self.windows[t]
+        places = [i for i, w in enumerate(words) if w in own]
+        held: dict[bytes, int] = {}
+        out, left, reach = [], 0, -1
+        for place in places:
+            held[words[place]] = held.get(words[place], 0) + 1
+            while places[left] <= place - size or held[words[places[left]]] > 1:
+                old = words[places[left]]
+                held[old] -= 1
+                if not held[old]:
+                    del held[old]
+                left += 1
+            if len(held) >= need:
+                best = (places[left], place, len(held))
+                if places[left] > reach:
+                    out.append(best)
+                elif best[2] > out[-1][2]:
+                    out[-1] = best
+                reach = place
+        return out
+
+    def blocks(self, data: bytes, words: list[bytes]) -> list[tuple[int, int, int]]:
+        """(line, template, overlap): lines, then paragraphs and windows over line ends that hold no block found before.
+
+        A text that does not hold enough of a template as a whole has no block that does.
+        """
+        whole = self.matches(data)
+        if not whole:
+            return []
+        lines = data.split(b"\n")
+        out = [(i, t, n) for i, line in enumerate(lines) for t, n in self.matches(line)]
+        if len(lines) == 1:
+            return out
+        sizes = [len(line.split()) for line in lines]
+        known: dict[int, list[tuple[int, int]]] = {}
+        for i, t, _ in out:
+            known.setdefault(t, []).append((i, i))
+
+        def add(first: int, last: int, t: int, n: int) -> None:
+            if not any(a <= last and first <= b for a, b in known.get(t, ())):
+                out.append((first, t, n))
+                known.setdefault(t, []).append((first, last))
+
+        line_of = [i for i, n in enumerate(sizes) for _ in range(n)]
+        for t, _ in whole:
+            for start, end, n in self.runs(words, t):
+                add(line_of[start], line_of[end], t, n)
+        start = 0
+        for end in range(len(lines) + 1):
+            if end == len(lines) or not sizes[end]:
+                if end - start > 1:
+                    for t, n in self.matches(b" ".join(lines[start:end])):
+                        add(start, end - 1, t, n)
+                start = end + 1
+        return out
+
+
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases: dict[str, str] = PHRASES, percent: int = PERCENT) -> DataFrame:
     """Every licence text and phrase of every document.
 
     One row per row: ``doc_id, n_words, phrases`` (label and first word of every place where a phrase's words stand
-    one after the other), ``blocks`` (line number, template number, label, containment of every line that holds
+    one after the other), ``blocks`` (first line number, template number, label, containment of every block that holds
     ``percent`` of a template's distinct words) and ``score``: 1 if a phrase stands in the text, else the largest
     containment found, else 0. Words are maximal runs of a-z, 0-9 and characters beyond ASCII, after lower-casing
-    A-Z; blocks are lines. Phrases may run over line ends.
+    A-Z. Blocks are lines; where no line of them holds the template, also windows over line ends of ``WINDOW`` percent of
+    the template's words, and paragraphs between blank lines. Phrases may run over line ends.
 
     The templates are the bounded side of the join, given in the call; texts are read whole where they lie, repeats
     and nulls (empty: no words, score 0) each by themselves. The order of template words comes from counts over all
@@ -131,10 +195,9 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases: dict[str, str]
                             here.append({"label": label, "word": before})
                             at = joined.find(phrase, at + 1)
                 if not index.starts.isdisjoint(words):
-                    for line, part in enumerate(data.split(b"\n")):
-                        for t, overlap in index.matches(part):
-                            label, template, _ = index.templates[t]
-                            found.append({"line": line, "template": t, "label": label, "containment": overlap / len(template)})
+                    for line, t, overlap in index.blocks(data, words):
+                        label, template, _ = index.templates[t]
+                        found.append({"line": line, "template": t, "label": label, "containment": overlap / len(template)})
                 sizes.append(len(words)), places.append(here), blocks.append(found)
                 scores.append(1.0 if here else max((f["containment"] for f in found), default=0.0))
             columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(places, pa.list_(place))]

@@ -424,6 +424,25 @@ def test_licences_against_brute_force(spark, corpus):
     assert licenses.scan_licenses(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// "])
+def test_wrapped_licences_against_brute_force(spark, mark):
+    texts = []
+    for _, template in licenses.TEMPLATES:
+        words = template.split()
+        notice = [mark + " ".join(words[i : i + 7]) for i in range(0, len(words), 7)]
+        texts += ["\n".join(["code here", "", *notice, "", "more code"]), "\n".join(notice[: len(notice) // 2])]
+    rows = make([(i, t, "a") for i, t in enumerate(texts)])
+    for r in licenses.scan_licenses(frame(spark, rows)).collect():
+        got, want = {b.template: b.containment for b in r.blocks}, {}
+        words = re.findall(r"[a-z0-9]+", texts[r.doc_id])
+        for t, (_, template) in enumerate(licenses.TEMPLATES):
+            own, size = set(template.split()), math.ceil(len(template.split()) * licenses.WINDOW / 100)
+            best = max(len(own & set(words[k : k + size])) for k in range(len(words)))
+            if 100 * best >= licenses.PERCENT * len(own):
+                want[t] = best / len(own)
+        assert got.keys() == want.keys() and (r.doc_id % 2 or got[r.doc_id // 2] == 1)
+
+
 # --- language model -------------------------------------------------------------------------------------------------
 
 
