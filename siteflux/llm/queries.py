@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siteflux.llm import chat, cotrain, jaccard, lattice, licenses, lines, mixing, packing, rules, topk
+from siteflux.llm import alignment, chat, cotrain, infill, jaccard, lattice, licenses, lines, mixing, packing, rules, simhash, topk
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_licenses": licenses.op8_licenses,
     "op9_lattice": lattice.op9_lattice,
     "op10_quality_rules": rules.op10_quality_rules,
+    "op11_fill_in_middle": infill.op11_fill_in_middle,
+    "op12_token_alignment": alignment.op12_token_alignment,
+    "op13_simhash_dedup": simhash.op13_simhash_dedup,
 }
 
 ORACLES: dict[str, str] = {
@@ -22,4 +25,5 @@ ORACLES: dict[str, str] = {
     "op3_top_k": topk.OP3_SQL,
     "op5_jaccard_join": jaccard.OP5_SQL,
     "op10_quality_rules": rules.OP10_SQL,
+    "op11_fill_in_middle": infill.OP11_SQL,
 }
