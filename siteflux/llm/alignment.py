@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,71 +13,77 @@ from pyspark.sql import functions as F
 from siteflux.llm.common import keep
 
 VOCABULARY_A, VOCABULARY_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
+#: Characters whose class (letter, digit, space, other) all editions of Unicode agree on: Latin, Greek and Cyrillic
+#: letters, general punctuation, kana, ideographs, Hangul.
+SETTLED = "\\x00-\u0220\u0391-\u03a1\u03a3-\u03ce\u0400-\u0481\u2010-\u2027\u2030-\u203e\u3000-\u3020\u3041-\u3094\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
 #: Characters of texts that are aligned at once.
-CHUNK = 1 << 21
-#: Distinct words whose ids a task remembers at most.
-REMEMBERED = 200_000
+CHUNK = 1 << 19
 #: Id pairs that every task may hold (16 bytes each); links of other pairs are joined.
 FREQUENT = 500_000
 
-#: Texts to one list of ids each, the bytes of each id.
-Tokenizer = tuple[Callable[[list[str]], list[list[int]]], list[bytes]]
+
+class Tokenizer:
+    """Ids of texts, each with a space before it, and the bytes of each id."""
+
+    def __init__(self, ids_of: Callable[[list[str]], Iterable[list[int]]], table: list[bytes]):
+        self.ids_of, self.table = ids_of, table
+        self.sizes = np.array([len(x) for x in table], np.int64)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray | None]:
+        """The ids of each text; None for an empty one or where the tokens' bytes differ from the space and the text."""
+        out = []
+        for text, ids in zip(texts, self.ids_of(texts)):
+            same = text and b"".join(map(self.table.__getitem__, ids)) == (" " + text).encode("utf-8", "surrogatepass")
+            out.append(np.array(ids, np.int32) if same else None)
+        return out
 
 
 def byte_level(name: str = VOCABULARY_A) -> Tokenizer:
-    """A byte-level vocabulary file. Special strings are ordinary text.
+    """A byte-level vocabulary file, whose ids are in the order of its merges. Special strings are ordinary text.
 
-    Its pattern ends every token before a single space that follows another character, so a text is cut there and the
-    ids of words are remembered. Texts with runs of white space, which can form one token, are encoded whole.
+    The merges are made by the ranks' encoder, several times as fast as the file's own, which serves for texts with
+    characters whose class may depend on the libraries' edition of Unicode.
     """
+    import json
+
     import public_tokenizers
+    import tiktoken
     import tokenizers
 
-    loaded = tokenizers.Tokenizer.from_file(public_tokenizers.path(name))
-    loaded.encode_special_tokens = True
     # byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in shown]
     byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-    size = loaded.get_vocab_size()
-    special = {i for i, token in loaded.get_added_tokens_decoder().items() if token.special}
-    tokens = [loaded.id_to_token(i) or "" for i in range(size)]
-    table = [t.encode() if i in special else bytes(byte_of[c] for c in t) for i, t in enumerate(tokens)]
-    words: dict[str, list[int]] = {}
-    runs = re.compile(r"[\s᠎] [\s᠎]|[\s᠎] \Z").search
-
-    def whole(texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in loaded.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(texts: list[str]) -> list[list[int]]:
-        out = []
+    path = public_tokenizers.path(name)
+    loaded = tokenizers.Tokenizer.from_file(path)
+    loaded.encode_special_tokens = True
+    with open(path, encoding="utf-8") as file:
+        special = {x["id"]: x["content"] for x in json.load(file)["added_tokens"]}
+    names = [loaded.id_to_token(i) or "" for i in range(loaded.get_vocab_size())]
+    table = [n.encode() if i in special else bytes(byte_of[c] for c in n) for i, n in enumerate(names)]
+    ranks = {token: i for i, token in enumerate(table) if i not in special}
+    plain = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    unsure = re.compile(f"[^{SETTLED}]").search
+
+    def ids_of(texts: list[str]) -> Iterator[list[int]]:
         for text in texts:
-            if runs(text):
-                out.extend(whole([text]))
-                continue
-            first, *rest = text.split(" ")
-            new = [w for w in {*rest} if w not in words]
-            known = dict(zip(new, whole([" " + w for w in new]))) if new else {}
-            if len(words) + len(known) <= REMEMBERED:
-                words.update(known)
-            ids = list(whole([first])[0]) if first else []
-            for word in rest:
-                ids += words[word] if word in words else known[word]
-            out.append(ids)
-        return out
+            if unsure(text):
+                yield loaded.encode(" " + text, add_special_tokens=False).ids
+            else:
+                yield plain.encode_ordinary(" " + text)
 
-    return encode, table
+    return Tokenizer(ids_of, table)
 
 
 def pieces(name: str = VOCABULARY_B) -> Tokenizer:
-    """A piece model file, which puts a space before the text itself."""
+    """A piece model file, which itself puts a space before a text and writes spaces as U+2581."""
     import public_tokenizers
     import sentencepiece
 
     loaded = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(name))
     names = [loaded.id_to_piece(i) for i in range(loaded.get_piece_size())]
-    table = [bytes([int(n[3:5], 16)]) if loaded.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
-    return lambda texts: loaded.encode(texts, num_threads=1), table
+    table = [bytes([int(n[3:5], 16)]) if loaded.is_byte(i) else n.replace("\u2581", " ").encode() for i, n in enumerate(names)]
+    return Tokenizer(lambda texts: (loaded.encode(text) for text in texts), table)
 
 
 def group_tokens(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,15 +108,18 @@ def group_tokens(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np
     return group[:n], group[n:]
 
 
-def _written(a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, closing: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """All groups as text, ``a1,a2|b1;a3|b2``, and for each group the place after its text; ``closing`` ends a document."""
+def _written(
+    a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, closing: np.ndarray, names: list[bytes]
+) -> tuple[bytes, np.ndarray]:
+    """All groups as text, ``a1,a2|b1;a3|b2``, and for each group the place after its text; ``closing`` ends a
+    document and ``names`` are the ids in digits and a comma."""
     per_a, per_b = np.bincount(group_a), np.bincount(group_b)
     before_a, before_b = np.cumsum(per_a), np.cumsum(per_b)
     place_a = np.arange(len(a)) + (before_b - per_b)[group_a]
     place_b = np.arange(len(b)) + before_a[group_b]
     ids = np.empty(len(a) + len(b), np.int64)
     ids[place_a], ids[place_b] = a, b
-    text = np.frombuffer(bytearray((",".join(map(str, ids.tolist())) + ",").encode()), np.uint8)
+    text = np.frombuffer(bytearray(b"".join(map(names.__getitem__, ids.tolist()))), np.uint8)
     digits = np.searchsorted(10 ** np.arange(1, 12), ids, "right") + 1
     after = np.cumsum(digits + 1)
     text[after[before_a + before_b - per_b - 1] - 1] = ord("|")
@@ -118,27 +127,22 @@ def _written(a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndar
     return text.tobytes(), after[(before_a + before_b - 1)[closing]]
 
 
-def align_texts(texts: list[str], one: Tokenizer, two: Tokenizer) -> pa.RecordBatch:
+def align_texts(texts: list[str], one: Tokenizer, two: Tokenizer, names: list[bytes]) -> pa.RecordBatch:
     """Counts, groups and id pairs of each text; see ``align``."""
-    (encode_a, table_a), (encode_b, table_b) = one, two
-    wanted = [(" " + t).encode("utf-8", "surrogatepass") for t in texts]
-    ids_a, ids_b = encode_a([" " + t for t in texts]), encode_b(texts)
-    good = [
-        i for i, text in enumerate(texts)
-        if text and b"".join([table_a[x] for x in ids_a[i]]) == wanted[i] == b"".join([table_b[x] for x in ids_b[i]])
-    ]
+    ids_a, ids_b = one.encode(texts), two.encode(texts)
+    good = [i for i in range(len(texts)) if ids_a[i] is not None and ids_b[i] is not None]
     n_a, n_b, n_groups, n_links = np.zeros((4, len(texts)), np.int64)
     written, sizes = [""] * len(texts), np.zeros(len(texts), np.int64)
     pairs = links = np.zeros(0, np.int64)
     if good:
         n_a[good], n_b[good] = [len(ids_a[i]) for i in good], [len(ids_b[i]) for i in good]
-        a, b = [np.array([x for i in good for x in ids[i]], np.int64) for ids in (ids_a, ids_b)]
+        a, b = [np.concatenate([ids[i] for i in good]) for ids in (ids_a, ids_b)]
         # the documents' bytes follow one another: every document's end is an end in both rows
-        ends_a, ends_b = [np.cumsum(np.array([len(x) for x in t])[ids]) for t, ids in ((table_a, a), (table_b, b))]
+        ends_a, ends_b = [np.cumsum(tokens.sizes[ids]) for tokens, ids in ((one, a), (two, b))]
         group_a, group_b = group_tokens(ends_a, ends_b)
         closing = group_b[np.cumsum(n_b[good]) - 1]
         n_groups[good] = np.diff(closing, prepend=-1)
-        text, upto = _written(a, b, group_a, group_b, closing)
+        text, upto = _written(a, b, group_a, group_b, closing, names)
         for i, start, end in zip(good, [0, *upto[:-1].tolist()], upto.tolist()):
             written[i] = text[start : end - 1].decode()
         # a token of B is linked with the tokens of A from the one that holds its first byte to the one of its last
@@ -146,9 +150,9 @@ def align_texts(texts: list[str], one: Tokenizer, two: Tokenizer) -> pa.RecordBa
         many = np.searchsorted(ends_a, ends_b) - first + 1
         n_links[good] = np.add.reduceat(many, np.cumsum(n_b[good]) - n_b[good])
         place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
-        pair = np.repeat(b, many) * len(table_a) + a[place]
+        pair = np.repeat(b.astype(np.int64), many) * len(one.table) + a[place]
         doc = np.repeat(np.arange(len(good)), n_links[good])
-        every = len(table_a) * len(table_b)
+        every = len(one.table) * len(two.table)
         both, links = np.unique(doc * every + pair, return_counts=True)
         pairs = both % every
         sizes[good] = np.bincount(both // every, minlength=len(good))
@@ -173,6 +177,7 @@ def align(docs: DataFrame, vocabulary_a: str = VOCABULARY_A, vocabulary_b: str =
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = byte_level(vocabulary_a), pieces(vocabulary_b)
+        names = [b"%d," % i for i in range(max(len(one.table), len(two.table)))]
         for batch in batches:
             at = 0
             while at < batch.num_rows:
@@ -181,9 +186,8 @@ def align(docs: DataFrame, vocabulary_a: str = VOCABULARY_A, vocabulary_b: str =
                 while at + len(texts) < batch.num_rows and (not texts or chars < CHUNK):
                     texts.append(batch.column(1)[at + len(texts)].as_py() or "")
                     chars += len(texts[-1])
-                done = align_texts(texts, one, two)
-                names = ["doc_id", *done.schema.names]
-                yield pa.record_batch([batch.column(0).slice(at, len(texts)), *done.columns], names)
+                done = align_texts(texts, one, two, names)
+                yield pa.record_batch([batch.column(0).slice(at, len(texts)), *done.columns], ["doc_id", *done.schema.names])
                 at += len(texts)
 
     schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<long>, pair_links array<long>"

@@ -101,16 +101,19 @@ def vocabularies():
     return a, b
 
 
-def test_remembered_words_give_the_ids_of_whole_texts(vocabularies, rows):
+def test_ids_are_those_of_the_vocabulary_files(vocabularies, rows):
     import pyarrow.parquet as pq
 
-    encode, table = alignment.byte_level()
-    texts = [" " + (t or "") for _, t, *_ in rows]
-    texts += [" " + (t or "") for t in pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"])["text"].to_pylist()]
-    texts += ["", " ", "  ", "a b", "a  b", "a \n b", "᠎ ᠎ x", "don't  we'll 12 3"]
-    got = encode(texts)
-    assert got == [vocabularies[0].encode(t, add_special_tokens=False).ids for t in texts]
-    assert [b"".join(table[i] for i in ids) for ids in got] == [t.encode() for t in texts]
+    texts = [t or "" for _, t, *_ in rows]
+    texts += [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()]
+    texts += ["", " ", "  ", "a b", "a  b", "a \n b", "\u180e \u180e x", "don't  we'll 12 3", "x ", " x", "a\t b", "a \tb", "\u2581 a", "a \u2581", "\u00a0 \u3000 b", "\u0378\U0001f9ff\U00031350 \u0c5d", "q" * 9000]
+    one, two = alignment.byte_level(), alignment.pieces()
+    want_a = [vocabularies[0].encode(" " + t, add_special_tokens=False).ids for t in texts]
+    want_b = vocabularies[1].encode(texts)
+    for tokens, want in ((one, want_a), (two, want_b)):
+        joined = [b"".join(tokens.table[i] for i in ids) == (" " + t).encode() for ids, t in zip(want, texts)]
+        want = [ids if t and same else None for ids, t, same in zip(want, texts, joined)]
+        assert [None if x is None else x.tolist() for x in tokens.encode(texts)] == want
 
 
 def align_brute(text, vocabularies):
