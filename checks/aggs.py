@@ -71,7 +71,7 @@ for _k in (5, 8):
         lambda s, d, k=_k: A.xday_aggregate(obs_mod(s, d), "gpp_obs", k)
     )
 # the same days twenty years later, past any fixed range
-LATE = "SELECT sitename, CAST(date + INTERVAL 20 YEAR AS DATE) AS date, gpp_obs FROM obs_mod WHERE NOT (month(date) = 2 AND day(date) = 29)"
+LATE = "SELECT sitename, CAST(date + INTERVAL 20 YEAR AS DATE) AS date, gpp_obs FROM obs_mod"
 query(
     "xday_aggregate_late_years",
     rsql(
@@ -83,9 +83,7 @@ query(
     ),
 )(
     lambda s, d: A.xday_aggregate(
-        obs_mod(s, d)
-        .where(~((F.month("date") == 2) & (F.dayofmonth("date") == 29)))
-        .select("sitename", F.add_months("date", 240).alias("date"), "gpp_obs"),
+        obs_mod(s, d).select("sitename", F.add_months("date", 240).alias("date"), "gpp_obs"),
         "gpp_obs",
         5,
     )
@@ -375,6 +373,46 @@ query(
         "q025 q500 q975",
     ),
 )(lambda s, d: quantiles(fx_daily(s, d), "et", ["sitename"], {"q025": 0.025, "q500": 0.5, "q975": 0.975}))
+# most values in a small part of the range
+HEAVY = "SELECT sitename, CASE WHEN et > 900 THEN et * 1e4 WHEN et < 10 THEN -et * 1e4 ELSE et END AS et FROM fx_daily"
+query(
+    "site_quantiles_heavy_tail",
+    rsql(
+        f"""SELECT sitename, quantile_cont(et, 0.01) AS q010, quantile_cont(et, 0.25) AS q250, quantile_cont(et, 0.5) AS q500,
+        quantile_cont(et, 0.99) AS q990 FROM ({HEAVY}) GROUP BY sitename
+        UNION ALL SELECT -1, quantile_cont(et, 0.01), quantile_cont(et, 0.25), quantile_cont(et, 0.5), quantile_cont(et, 0.99) FROM ({HEAVY})""",
+        "sitename",
+        "q010 q250 q500 q990",
+    ),
+)(lambda s, d: heavy_tail(s, d))
+
+
+def heavy_tail(s, d):
+    """Quantiles of each site and, as site -1, of the whole table."""
+    et = F.col("et")
+    days = fx_daily(s, d).select(
+        "sitename", F.when(et > 900, et * 1e4).when(et < 10, -et * 1e4).otherwise(et).alias("et")
+    )
+    probs = {"q010": 0.01, "q250": 0.25, "q500": 0.5, "q990": 0.99}
+    whole = quantiles(days, "et", [], probs).select(F.lit(-1).cast("long").alias("sitename"), *probs)
+    return quantiles(days, "et", ["sitename"], probs, empty=True).union(whole)
+
+
+query(
+    "normalise_p97_unknown_site",
+    rsql(
+        """SELECT sitename, date, et / quantile_cont(et, 0.97) OVER w AS et, gpp_mod / quantile_cont(gpp_mod, 0.97) OVER w AS gpp_mod
+        FROM (SELECT * REPLACE (CASE WHEN sitename % 7 > 0 THEN sitename END AS sitename) FROM fx_daily) WINDOW w AS (PARTITION BY sitename)""",
+        "sitename, date",
+        "et gpp_mod",
+    ),
+)(
+    lambda s, d: A.normalise(
+        fx_daily(s, d).select(F.when(F.col("sitename") % 7 > 0, F.col("sitename")).alias("sitename"), "date", "et", "gpp_mod"),
+        ["et", "gpp_mod"],
+        "p97",
+    )
+)
 query(
     "response_quantiles",
     rsql(

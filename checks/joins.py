@@ -10,6 +10,7 @@ from siteflux.operators import joins as J
 from siteflux.operators import metadata as E
 from siteflux.operators.aggregate import monthly_mean
 from siteflux.operators.groups import with_stats
+from siteflux.operators.quantiles import probabilities, values_of
 from siteflux.sources.readers import union_sites
 
 OM = "sitename, date"
@@ -166,9 +167,9 @@ query(
 
 def quantile_values(s, d):
     """Three quantiles of each of two columns, taken from all days."""
-    probs = F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))
-    row = fx_daily(s, d).agg(*[F.percentile(F.col(c), probs).alias(c) for c in ("temp", "soilm")]).first()
-    return {"temp": list(row.temp), "soilm": list(row.soilm)}
+    probs = {"low": 0.1, "mid": 0.5, "high": 0.9}
+    table = values_of(fx_daily(s, d), ["temp", "soilm"], [], probabilities(probs))  # one row per named column
+    return {r.series: [r.low, r.mid, r.high] for r in table.collect()}
 
 
 query(

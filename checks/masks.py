@@ -220,6 +220,25 @@ HINGES = """SELECT sitename,
   (max(CASE WHEN rn = floor(n + 1 - n4) THEN v END) + max(CASE WHEN rn = ceil(n + 1 - n4) THEN v END)) / 2 AS h2
   FROM (SELECT sitename, v, row_number() OVER (PARTITION BY sitename ORDER BY v) AS rn, count(*) OVER (PARTITION BY sitename) AS n,
     floor((count(*) OVER (PARTITION BY sitename) + 3) / 2) / 2 AS n4 FROM ({src}) WHERE v IS NOT NULL) GROUP BY sitename"""
+# the days of every seventh site belong to no known site
+UNKNOWN = "SELECT CASE WHEN sitename % 7 > 0 THEN sitename END AS sitename, date, et, gpp_nt, gpp_dt, qc_nt, qc_dt FROM fx_daily"
+
+
+def unknown_site(s, d):
+    site = F.when(F.col("sitename") % 7 > 0, F.col("sitename")).alias("sitename")
+    return fx_daily(s, d).select(site, "date", "et", "gpp_nt", "gpp_dt", "qc_nt", "qc_dt")
+
+
+query(
+    "mask_outliers_unknown_site",
+    rsql(
+        f"""SELECT a.sitename, a.date, CASE WHEN et < h1 - 0.2 * (h2 - h1) OR et > h2 + 0.2 * (h2 - h1) THEN NULL ELSE et END AS et
+        FROM ({UNKNOWN}) a JOIN ({HINGES.format(src=f"SELECT sitename, et AS v FROM ({UNKNOWN})")}) h
+        ON a.sitename IS NOT DISTINCT FROM h.sitename""",
+        OM,
+        "et",
+    ),
+)(lambda s, d: C.mask_outliers(unknown_site(s, d).select("sitename", "date", "et"), "et", 0.2))
 query("hinges", rsql(HINGES.format(src="SELECT sitename, et AS v FROM fx_daily"), "sitename", "h1 h2"))(
     lambda s, d: hinges(fx_daily(s, d), "et", ["sitename"], "h1", "h2")
 )

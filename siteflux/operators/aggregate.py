@@ -10,8 +10,8 @@ from siteflux import DATE, SITE
 from siteflux.functions.calendar import week_of_year, xday_bin
 from siteflux.functions.nulls import strict_mean, strict_sum
 from siteflux.functions.rows import hemisphere
-from siteflux.operators.groups import with_stats
-from siteflux.operators.quantiles import quantiles
+from siteflux.operators.groups import join_keys, with_stats
+from siteflux.operators.quantiles import beside, probabilities, values_of
 from siteflux.operators.series import interpolate_linear
 
 PERIODS = ("week", "month", "year")
@@ -92,20 +92,15 @@ def zone_seasonal_cycle(
     keys = [code, "hemisphere", "doy"]
     # null-safe stand-ins keep sites without class or latitude as zones of their own
     days = days.withColumns({k: F.coalesce(F.col(k), F.lit("-")) for k in (code, "hemisphere")})
-    sides = F.array(
-        F.struct(F.lit("obs").alias("side"), F.col(obs).cast("double").alias("v")),
-        F.struct(F.lit("mod").alias("side"), F.col(mod).cast("double").alias("v")),
-    )
-    long = days.select(*keys, F.explode(sides).alias("_s")).select(*keys, "_s.side", "_s.v")
-    q = quantiles(long, "v", [*keys, "side"], {"mean": 0.5, "min": 0.33, "max": 0.66})
-    picked = q.groupBy(*keys).agg(
+    probs = probabilities({"mean": 0.5, "min": 0.33, "max": 0.66})
+    q = values_of(days.withColumnsRenamed({obs: "obs_", mod: "mod_"}), ["obs_", "mod_"], keys, probs, empty=True)
+    cycle = q.groupBy(*keys).agg(
         *[
-            F.max(F.when(F.col("side") == s, F.col(n))).alias(f"{s}_{n}")
+            F.max(F.when(F.col("series") == f"{s}_", F.col(n))).alias(f"{s}_{n}")
             for s in ("obs", "mod")
             for n in ("mean", "min", "max")
         ]
     )
-    cycle = days.select(*keys).distinct().join(picked, keys, "left")
     cycle = interpolate_linear(cycle, ["obs_mean", "obs_min", "obs_max"], [code, "hemisphere"], "doy")
     labelled = sites.select(
         F.coalesce(F.col(code), F.lit("-")).alias(code),
@@ -160,9 +155,8 @@ def normalise(df: DataFrame, cols: list[str], kind: str, by: list[str] | None =
     """Scale per site by the maximum, by the 97 percent quantile, or from minimum to maximum."""
     by = by or [SITE]
     if kind == "p97":
-        out = df
-        for c in cols:
-            out = out.join(quantiles(df, c, by, {f"_q_{c}": 0.97}), by, "left")
+        table = beside(values_of(df, cols, by, probabilities({"_q": 0.97})), by, {c: f"_{c}" for c in cols}, ["_q"])
+        out = join_keys(df, table, by)
         return out.withColumns({c: F.try_divide(F.col(c), F.col(f"_q_{c}")) for c in cols}).select(*df.columns)
     stats = {f"_hi_{c}": F.max(c) for c in cols}
     if kind == "minmax":
@@ -185,14 +179,9 @@ def total_run_years(sites: DataFrame, start: str = "year_start", end: str = "yea
 def response_quantiles(df: DataFrame, step: str, predictions: dict[str, str]) -> DataFrame:
     """Median and four quantiles of each prediction per step of one variable.
 
-    ``predictions`` maps a column to the suffix of its outputs, for example ``{"fit_obs": ""}``. Groups
-    are bounded by the response grid, so the built-in exact percentile is used.
+    ``predictions`` maps a column to the suffix of its outputs, for example ``{"fit_obs": ""}``. All columns come
+    from one table of counted values; a step may hold any number of rows. Steps without a known prediction have nulls.
     """
-    probs = [("median", 0.5), ("q33", 0.33), ("q66", 0.66), ("q25", 0.25), ("q75", 0.75)]
-    aggs = [
-        F.percentile(F.col(col), F.lit(p)).alias(f"{name}{suffix}")
-        for col, suffix in predictions.items()
-        for name, p in probs
-    ]
-    return df.groupBy(step).agg(*aggs)
-
+    probs = {"median": 0.5, "q33": 0.33, "q66": 0.66, "q25": 0.25, "q75": 0.75}
+    table = values_of(df, list(predictions), [step], probabilities(probs), empty=True)
+    return beside(table, [step], predictions, list(probs))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siteflux import SITE
 from siteflux.functions.nulls import null_where
+from siteflux.operators.groups import join_keys
 from siteflux.operators.masks import mask_if_no_qc_in_scope, mask_low_quality, mask_negative
 from siteflux.operators.quantiles import hinges, quantiles
 
@@ -40,7 +41,7 @@ def mask_repeated_values(
         F.max(F.when(F.col("_o") == 0, F.col("lo"))).alias("_own"),
         F.min(F.when(F.col("_o") == -1, F.col("lo"))).alias("_above"),
     )
-    rows = df.withColumn("_bin", bin_of(value)).join(near, [*by, "_bin"], "left")
+    rows = join_keys(df.withColumn("_bin", bin_of(value)), near, [*by, "_bin"])
 
     def within(s: str) -> Column:
         return F.coalesce(F.abs(value - F.col(s)) < eps, F.lit(False))
@@ -67,7 +68,7 @@ def clean_paired_fluxes(
     out = mask_low_quality(out, second, second_qc, cutoff)
     out = out.withColumn("_res", F.col(first) - F.col(second))
     bounds = quantiles(out, "_res", by, {"_q_low": 0.025, "_q_high": 0.975})
-    out = out.join(bounds, by, "left")
+    out = join_keys(out, bounds, by)
     outside = (F.col("_res") > F.col("_q_high")) | (F.col("_res") < F.col("_q_low"))
     out = out.withColumns({c: null_where(outside, F.col(c)) for c in (first, second)})
     return mask_negative(out, first, second).select(*df.columns)
@@ -95,7 +96,7 @@ def mask_outliers(df: DataFrame, col: str, coef: float = 1.5, by: list[str] | No
     """Null values more than ``coef`` hinge spreads outside Tukey's hinges of their site."""
     by = by or [SITE]
     bounds = hinges(df, col, by, "_h1", "_h2")
-    out = df.join(bounds, by, "left")
+    out = join_keys(df, bounds, by)
     reach = (F.col("_h2") - F.col("_h1")) * coef
     outside = (F.col(col) < F.col("_h1") - reach) | (F.col(col) > F.col("_h2") + reach)
     return out.withColumn(col, null_where(outside, F.col(col))).select(*df.columns)

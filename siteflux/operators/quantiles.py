@@ -1,9 +1,9 @@
 """Exact order statistics per group, with no group held in one task.
 
-Values are first counted per (group, value), so that a value repeated without end is one row. Groups with
-many distinct values are cut into equal-width cells; values are ranked within their cell, and a running
-total over the cells (at most ``MAX_CELLS`` rows per group) turns that into the rank in the group. Ranks are
-exact whatever the distribution; the cells only bound the work of one task.
+Values are first counted per (group, value), so that a value repeated without end is one row. These rows are dealt by
+ranges of (group, value) that Spark draws from a sample of them, so the ranges follow the data however it is
+distributed, and stored with the number of their range. One row per (group, range) is enough to tell which range holds
+a rank; only those ranges are read again and ranked inside. The sample decides how even the work is, never a result.
 """
 
 from __future__ import annotations
@@ -15,71 +15,96 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-VALUES_PER_CELL = 4096
-MAX_CELLS = 4096
+from siteflux.operators.groups import join_keys
+from siteflux.sources.sinks import stored, workspace
+
+#: Output name to a function of the group's number of known values: a 1-based, possibly fractional, position.
+Positions = dict[str, Callable[[Column], Column]]
+
+
+def ranged_counts(df: DataFrame, by: list[str], value: str, partitions: int | None = None) -> DataFrame:
+    """``by, _v, _c, _part``: how often each value of ``value`` occurs per group, and the number of its range.
+
+    Unknown values are a row of count 0, so that every group has a row. The number of ranges is that of shuffle
+    partitions unless ``partitions`` says otherwise; all rows of one range fit one task. Store the result before it is
+    used more than once: another evaluation may draw other ranges.
+    """
+    values = df.select(*by, F.col(value).cast("double").alias("_v"))
+    counts = values.groupBy(*by, "_v").agg(F.count("_v").alias("_c"))
+    ranges = [*by, "_v"]
+    dealt = counts.repartitionByRange(partitions, *ranges) if partitions else counts.repartitionByRange(*ranges)
+    return dealt.withColumn("_part", F.spark_partition_id())
 
 
 def values_at(
-    df: DataFrame,
-    col: str,
-    by: list[str],
-    positions: dict[str, Callable[[Column], Column]],
-    values_per_cell: int = VALUES_PER_CELL,
+    df: DataFrame, col: str, by: list[str], positions: Positions, empty: bool = False, partitions: int | None = None
 ) -> DataFrame:
-    """One row per group with the value at each 1-based, possibly fractional, position.
+    """One row per group with the value at each position; between two ranks it is interpolated linearly.
 
-    ``positions`` maps an output name to a function of the group's number of known values. Between two
-    ranks the value is interpolated linearly. Groups without a known value do not appear.
+    Rows whose group key is unknown are a group. Groups without a known value appear with nulls if ``empty``, else not
+    at all. What is stored in between is deleted; the result, one row per group, stays stored.
     """
-    counts = (
-        df.where(F.col(col).isNotNull())
-        .select(*by, F.col(col).cast("double").alias("_v"))
-        .groupBy(*by, "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    extent = counts.groupBy(*by).agg(
-        F.sum("_c").alias("_n"),
-        F.min("_v").alias("_lo"),
-        F.max("_v").alias("_hi"),
-        F.least(F.ceil(F.count(F.lit(1)) / values_per_cell), F.lit(MAX_CELLS)).alias("_cells"),
-    )
-    share = F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
-    cell = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * F.col("_cells")), F.col("_cells") - 1).cast("int")
-    placed = _join(counts, extent, by).select(*by, "_v", "_c", "_n", "_cells", cell.alias("_cell"))
-
-    per_cell = placed.where(F.col("_cells") > 1).groupBy(*by, "_cell").agg(F.sum("_c").alias("_in"))
-    lower_cells = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    before = per_cell.select(*by, "_cell", F.sum("_in").over(lower_cells).alias("_before"))
-
-    inside = Window.partitionBy(*by, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = placed.withColumn("_in_cell", F.sum("_c").over(inside)).join(before, [*by, "_cell"], "left")
-    ranked = ranked.withColumn("_upto", F.col("_in_cell") + F.coalesce(F.col("_before"), F.lit(0)))
-
-    def holds(rank: Column) -> Column:
-        return (rank <= F.col("_upto")) & (rank > F.col("_upto") - F.col("_c"))
-
-    wanted, out = [], []
-    for name, position in positions.items():
-        at = position(F.col("_n"))
-        low, high = holds(F.floor(at)), holds(F.ceil(at))
-        wanted += [low, high]
-        below, above = F.max(F.when(low, F.col("_v"))), F.max(F.when(high, F.col("_v")))
-        rest = F.max(at - F.floor(at))
-        out.append((below * (1.0 - rest) + above * rest).alias(name))
-    return ranked.where(reduce(or_, wanted)).groupBy(*by).agg(*out)
-
-
-def _join(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
-    return left.join(right, list(by)) if by else left.crossJoin(right)
-
-
-def quantiles(df: DataFrame, col: str, by: list[str], probs: dict[str, float]) -> DataFrame:
-    """Quantiles by linear interpolation between closest ranks, position 1 + p * (n - 1)."""
-    return values_at(df, col, by, {name: _position(p) for name, p in probs.items()})
-
-
-def _position(p: float) -> Callable[[Column], Column]:
-    return lambda n: F.lit(1.0) + (n - 1) * float(p)
+    with workspace(df.sparkSession) as folder:
+        ranges = stored(ranged_counts(df, by, col, partitions), "ranges", folder)
+        group = Window.partitionBy(*by)
+        # at most one row per range and group: a window over them is bounded by the number of ranges
+        pieces = ranges.groupBy(*by, "_part").agg(F.sum("_c").alias("_in"))
+        lower = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        pieces = pieces.withColumns(
+            {"_n": F.sum("_in").over(group), "_before": F.coalesce(F.sum("_in").over(lower), F.lit(0))}
+        )
+
+        def holds(rank: Column, before: Column, upto: Column) -> Column:
+            return (rank > before) & (rank <= upto)
+
+        ranks = [rank(position(F.col("_n"))) for position in positions.values() for rank in (F.floor, F.ceil)]
+        wanted = [holds(rank, F.col("_before"), F.col("_before") + F.col("_in")) for rank in ranks]
+        if empty:
+            wanted.append((F.col("_n") == 0) & (F.col("_before") == 0))
+        pieces = pieces.where(reduce(or_, wanted)).drop("_in")
+
+        inside = Window.partitionBy(*by, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+        ranked = join_keys(ranges, pieces, [*by, "_part"], "inner")
+        ranked = ranked.withColumn("_upto", F.col("_before") + F.sum("_c").over(inside))
+        below_own = F.col("_upto") - F.col("_c")
+        out, hits = [], [F.col("_n") == 0]
+        for name, position in positions.items():
+            at = position(F.col("_n"))
+            low, high = [holds(rank, below_own, F.col("_upto")) for rank in (F.floor(at), F.ceil(at))]
+            hits += [low, high]
+            below, above = F.max(F.when(low, F.col("_v"))), F.max(F.when(high, F.col("_v")))
+            rest = F.max(at - F.floor(at))
+            out.append((below * (1.0 - rest) + above * rest).alias(name))
+        return stored(ranked.where(reduce(or_, hits)).groupBy(*by).agg(*out), "quantiles")
+
+
+def values_of(df: DataFrame, cols: list[str], by: list[str], positions: Positions, empty: bool = False) -> DataFrame:
+    """``values_at`` of several columns from one table of counts: one row per group and ``series``, the column's name."""
+    sides = F.array(*[F.struct(F.lit(c).alias("series"), F.col(c).cast("double").alias("_value")) for c in cols])
+    long = df.select(*by, F.explode(sides).alias("_s")).select(*by, "_s.series", "_s._value")
+    return values_at(long, "_value", [*by, "series"], positions, empty)
+
+
+def beside(table: DataFrame, by: list[str], cols: dict[str, str], values: list[str]) -> DataFrame:
+    """One row per group from one per group and series: the values of series ``c`` named ``<value><cols[c]>``."""
+    picked = [
+        F.max(F.when(F.col("series") == c, F.col(v))).alias(f"{v}{suffix}") for c, suffix in cols.items() for v in values
+    ]
+    return table.groupBy(*by).agg(*picked)
+
+
+def probabilities(probs: dict[str, float]) -> Positions:
+    """Positions 1 + p * (n - 1): quantiles by linear interpolation between closest ranks."""
+
+    def at(p: float) -> Callable[[Column], Column]:
+        return lambda n: F.lit(1.0) + (n - 1) * float(p)
+
+    return {name: at(p) for name, p in probs.items()}
+
+
+def quantiles(df: DataFrame, col: str, by: list[str], probs: dict[str, float], empty: bool = False) -> DataFrame:
+    """Quantiles of one column per group, interpolated between closest ranks."""
+    return values_at(df, col, by, probabilities(probs), empty)
 
 
 def hinges(df: DataFrame, col: str, by: list[str], low: str = "hinge_low", high: str = "hinge_high") -> DataFrame:

@@ -157,7 +157,7 @@ def anomalies(
 ) -> DataFrame:
     """Values minus the mean of their group; a group absent from ``means`` gives null."""
     table = means.select(*by, F.col(mod_mean).alias("_mod_mean"), F.col(obs_mean).alias("_obs_mean"))
-    joined = df.join(table, list(by), "left")
+    joined = join_keys(df, table, list(by))
     return joined.withColumns(
         {mod: F.col(mod) - F.col("_mod_mean"), obs: F.col(obs) - F.col("_obs_mean")}
     ).select(*df.columns)

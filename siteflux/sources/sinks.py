@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,6 +79,16 @@ def remove(spark: SparkSession, folder: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextmanager
+def workspace(spark: SparkSession, folder: str | None = None) -> Iterator[str]:
+    """A new scratch folder that is deleted at the end, also after an error. Only what is consumed inside may live there."""
+    path = scratch_dir(spark, folder)
+    try:
+        yield path
+    finally:
+        remove(spark, path)
+
+
 def stored(df: DataFrame, name: str = "table", directory: str | None = None) -> DataFrame:
     """Write the table once to the shared folder and read it back.
 

@@ -167,8 +167,8 @@ def test_quantiles_do_not_depend_on_distribution(series):
         assert got[name] == pytest.approx(tuple(np.quantile(x, [0.025, 0.5, 0.97]))), name
 
 
-@pytest.mark.parametrize("per_cell", [3, 16])
-def test_quantiles_over_many_cells(spark, per_cell):
+@pytest.mark.parametrize("ranges", [1, 3, 16])
+def test_quantiles_over_many_ranges(spark, ranges):
     import numpy as np
 
     from siteflux.operators.quantiles import values_at
@@ -184,7 +184,7 @@ def test_quantiles_over_many_cells(spark, per_cell):
     df = spark.createDataFrame(rows, "g STRING, x DOUBLE").repartition(5)
     probs = {"a": 0.0, "b": 0.025, "c": 0.5, "d": 0.975, "e": 1.0}
     positions = {n: (lambda n_, p=p: F.lit(1.0) + (n_ - 1) * p) for n, p in probs.items()}
-    got = {r.g: (r.a, r.b, r.c, r.d, r.e) for r in values_at(df, "x", ["g"], positions, per_cell).collect()}
+    got = {r.g: (r.a, r.b, r.c, r.d, r.e) for r in values_at(df, "x", ["g"], positions, partitions=ranges).collect()}
     assert set(got) == set(sets)
     for name, x in sets.items():
         assert got[name] == pytest.approx(tuple(np.quantile(x, list(probs.values())))), name
