@@ -66,7 +66,7 @@ METRICS = " UNION ALL ".join(
 )
 
 
-def evaluation(s, d, store=True):
+def evaluation(s, d, store=True, sites=None):
     # an evaluation reads finished tables: write the daily series once
     daily = stored(fx_daily(s, d).select("sitename", "date", "gpp_nt", "gpp_mod"), "daily")
     obs = daily.select("sitename", "date", F.col("gpp_nt").alias("gpp_obs"))
@@ -76,10 +76,14 @@ def evaluation(s, d, store=True):
         F.avg("gpp_obs").alias("gpp_obs")
     )
     tables = V.observation_tables(obs, monthly, annual, SETTINGS)
-    return V.evaluate(mod, tables, Q.zone_sites(s, d), SETTINGS, store)
+    return V.evaluate(mod, tables, sites, SETTINGS, store)
 
 
 query("evaluate_metrics", rsql(METRICS, "level, nvals", Q.SKILL))(lambda s, d: evaluation(s, d)["metrics"])
+query(
+    "evaluate_zone_cycle",
+    rsql(Q.ZONES.replace("obs_mod", "ev_ddf"), "koeppen_code, hemisphere, doy", Q.CYCLE),
+)(lambda s, d: evaluation(s, d, sites=Q.zone_sites(s, d))["meandoydf_byclim"].drop("nsites", "climatezone"))
 query(
     "metrics_table",
     'SELECT level AS "Level", nvals AS "N", '
