@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import add
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteflux import SITE
@@ -39,17 +41,15 @@ def calibration_days(
     return out
 
 
-def _scale_columns(obs: str, mod: str, kphio_used: float, cond: Column | None = None) -> list[Column]:
+def _scale_columns(obs: str, mod: str, kphio_used: float) -> list[Column]:
     pair = all_known(F.col(obs), F.col(mod))
-    if cond is not None:
-        pair = pair & cond
     mo = F.sum(F.when(pair, F.col(mod) * F.col(obs)))
     mm = F.sum(F.when(pair, F.col(mod) * F.col(mod)))
     k = F.try_divide(mo, mm)
     return [
         k.alias("kphio_corr"),
         (k * kphio_used).alias("kphio_opt"),
-        F.sum(F.when(cond if cond is not None else F.lit(True), 1).otherwise(0)).alias("ndays"),
+        F.count(F.lit(1)).alias("ndays"),
     ]
 
 
@@ -69,6 +69,11 @@ def calibrate_scale(
     return df.agg(*_scale_columns(obs, mod, kphio_used))
 
 
+def cutoffs_passed(value: Column, cutoffs: list[float]) -> Column:
+    """How many of the cutoffs a value exceeds; an unknown value exceeds none."""
+    return reduce(add, [F.when(value > F.lit(c), 1).otherwise(0) for c in cutoffs], F.lit(0))
+
+
 def sensitivity_sweep(
     df: DataFrame,
     kphio_used: float,
@@ -81,20 +86,43 @@ def sensitivity_sweep(
     temp: str = "temp",
     soilm: str = "soilm_mean",
 ) -> DataFrame:
-    """The scale for each soil moisture cutoff and for each temperature cutoff, from one scan.
+    """The scale for each soil moisture cutoff and for each temperature cutoff: ``swept, cutoff`` and its results.
 
-    Each cutoff is a conditional aggregate of the same pass, so the rows are neither copied nor joined.
+    The cutoffs span a lattice. A row falls into the cell of the cutoffs that it passes in each direction, and three
+    sums per cell are all that is kept of the rows: as many cells as there are pairs of cutoffs, whatever the input. The
+    result at a cutoff is the sum over the cells from it on, a suffix sum along the swept direction. Cutoffs that no
+    row passes have no days and an unknown scale.
     """
-    cases = [("soilm", temp_fixed, s, s) for s in soilm_cutoffs] + [("temp", t, soilm_fixed, t) for t in temp_cutoffs]
-    parts = [
-        F.struct(
-            F.lit(kind).alias("swept"),
-            F.lit(float(value)).alias("cutoff"),
-            *_scale_columns(obs, mod, kphio_used, (F.col(temp) > t) & (F.col(soilm) > s)),
-        )
-        for kind, t, s, value in cases
-    ]
-    return df.agg(F.array(*parts).alias("_cases")).select(F.inline("_cases"))
+    directions = {"soilm": (soilm, sorted({*map(float, soilm_cutoffs)})), "temp": (temp, sorted({*map(float, temp_cutoffs)}))}
+    known = all_known(F.col(obs), F.col(mod))
+    cells = df.groupBy(
+        *[cutoffs_passed(F.col(c), cutoffs).alias(f"_{name}") for name, (c, cutoffs) in directions.items()],
+        F.coalesce(F.col(temp) > temp_fixed, F.lit(False)).alias("_warm"),
+        F.coalesce(F.col(soilm) > soilm_fixed, F.lit(False)).alias("_moist"),
+    ).agg(
+        F.sum(F.when(known, F.col(mod) * F.col(obs))).alias("_mo"),
+        F.sum(F.when(known, F.col(mod) * F.col(mod))).alias("_mm"),
+        F.count(F.lit(1)).alias("_n"),
+    )
+    # one cell feeds both directions; the cutoffs themselves are rows without days
+    sides = F.array(
+        *[
+            F.when(F.col(fixed), F.struct(F.lit(name).alias("swept"), F.col(f"_{name}").alias("step"), F.lit(None).cast("double").alias("cutoff")))
+            for name, fixed in (("soilm", "_warm"), ("temp", "_moist"))
+        ]
+    )
+    lines = cells.select(F.explode(sides).alias("_s"), "_mo", "_mm", "_n").where("_s IS NOT NULL").select("_s.*", "_mo", "_mm", "_n")
+    steps = [(name, i, c, None, None, 0) for name, (_, cutoffs) in directions.items() for i, c in enumerate(cutoffs, 1)]
+    spine = df.sparkSession.createDataFrame(steps, "swept STRING, step INT, cutoff DOUBLE, _mo DOUBLE, _mm DOUBLE, _n LONG")
+    levels = lines.unionByName(spine).groupBy("swept", "step").agg(
+        F.max("cutoff").alias("cutoff"), *[F.sum(c).alias(c) for c in ("_mo", "_mm", "_n")]
+    )
+    onwards = Window.partitionBy("swept").orderBy(F.col("step").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    sums = levels.select("swept", "cutoff", *[F.sum(c).over(onwards).alias(c) for c in ("_mo", "_mm", "_n")])
+    scale = F.try_divide("_mo", "_mm")
+    return sums.where("cutoff IS NOT NULL").select(
+        "swept", "cutoff", scale.alias("kphio_corr"), (scale * kphio_used).alias("kphio_opt"), F.col("_n").alias("ndays")
+    )
 
 
 def cost_sweep(

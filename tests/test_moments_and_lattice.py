@@ -65,3 +65,29 @@ def test_evaluation_has_every_level_and_its_stored_and_lazy_forms_agree(spark, d
     same(pooled, skill(late), [])
     empty = evaluate(mod.limit(0), observation_tables(obs, settings=settings), settings=settings)["metrics"]
     assert {(r.level, r.nvals) for r in empty.collect()} == {(r.level, 0) for r in got[0]["metrics"].collect()}
+
+
+def test_lattice_equals_one_scan_per_cutoff(spark):
+    rng = np.random.default_rng(6)
+    rows = [tuple(None if rng.random() < 0.05 else float(x) for x in rng.random(4) * [9, 9, 25, 1]) for _ in range(600)]
+    rows += [(1.0, 2.0, 5.0, 0.4), (1.0, 2.0, 20.0, 0.9), (3.0, 1.0, 6.0, 0.5)]  # on the cutoffs
+    df = spark.createDataFrame(rows, "gpp_obs DOUBLE, gpp_mod DOUBLE, temp DOUBLE, soilm_mean DOUBLE")
+    for fixed in ((5.0, 0.4), (4.5, 0.33)):  # among the cutoffs and between them
+        got = {(r.swept, r.cutoff): r for r in C.sensitivity_sweep(df, 0.05, temp_fixed=fixed[0], soilm_fixed=fixed[1]).collect()}
+        assert len(got) == len(C.TEMP_CUTOFFS) + len(C.SOILM_CUTOFFS)
+        for (swept, cutoff), r in got.items():
+            t, s = (cutoff, fixed[1]) if swept == "temp" else (fixed[0], cutoff)
+            kept = [x for x in rows if x[2] is not None and x[3] is not None and x[2] > t and x[3] > s]
+            pairs = [x for x in kept if x[0] is not None and x[1] is not None]
+            assert r.ndays == len(kept)
+            if pairs:
+                k = sum(x[0] * x[1] for x in pairs) / sum(x[1] ** 2 for x in pairs)
+                assert r.kphio_corr == pytest.approx(k) and r.kphio_opt == pytest.approx(0.05 * k)
+            else:
+                assert r.kphio_corr is None
+    none = C.sensitivity_sweep(df.limit(0), 0.05).collect()
+    assert len(none) == len(got) and {(r.ndays, r.kphio_corr) for r in none} == {(0, None)}
+
+
+def test_lattice_keeps_a_bounded_number_of_cells(spark):
+    assert C.sensitivity_sweep(spark.range(5000).select(*[F.rand(i).alias(c) for i, c in enumerate(("gpp_obs", "gpp_mod", "temp", "soilm_mean"))]), 0.05).count() == 38
