@@ -27,7 +27,23 @@ query(
 query(
     "interpolate_linear_bounded",
     rsql(interpolate_sql(SENSOR, ["v"], "sitename", "date"), OM, "v"),
-)(lambda s, d: W.interpolate_linear(sensor_series(s, d), ["v"], ["sitename"]))
+)(lambda s, d: W.interpolate_linear(sensor_series(s, d), ["v"], ["sitename"], bounded=True))
+# the whole table is one long site
+ONE_SITE = """SELECT 1 AS sitename, l_orderkey * 10 + l_linenumber AS t,
+  avg(CASE WHEN l_tax > 0.02 THEN l_quantity END) AS v FROM lineitem GROUP BY ALL"""
+
+
+def one_site(s, d):
+    return (
+        table(s, d, "lineitem")
+        .groupBy(F.lit(1).alias("sitename"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("t"))
+        .agg(F.avg(F.when(F.col("l_tax") > 0.02, F.col("l_quantity"))).alias("v"))
+    )
+
+
+query("interpolate_linear_one_long_site", rsql(interpolate_sql(ONE_SITE, ["v"], "sitename", "t"), "sitename, t", "v"))(
+    lambda s, d: W.interpolate_linear(one_site(s, d), ["v"], ["sitename"], "t", ranges=32)
+)
 
 
 def _null_first_site(df):
@@ -185,10 +201,10 @@ _STEP = {
 }
 
 
-def balance_sql(step: str) -> str:
+def balance_sql(step: str, source: str = fill_sql(SENSOR, ["v"])) -> str:
     """Spin-up over the first ten rows, then all rows, one at a time."""
     rows = f"""SELECT sitename, date, v / 3 AS inflow, CASE WHEN v IS NULL THEN NULL ELSE 20 - v / 7 END AS outflow,
-      row_number() OVER (PARTITION BY sitename ORDER BY date) AS i FROM ({fill_sql(SENSOR, ['v'])})"""
+      row_number() OVER (PARTITION BY sitename ORDER BY date) AS i FROM ({source})"""
     return f"""WITH RECURSIVE steps AS ({rows}),
       queue AS (SELECT sitename, NULL::DATE AS date, inflow, outflow, i FROM steps WHERE i <= 10 UNION ALL
         SELECT s.sitename, s.date, inflow, outflow, i + n FROM steps s JOIN (SELECT sitename, least(count(*), 10) AS n FROM steps GROUP BY sitename) c USING (sitename)),
@@ -208,10 +224,26 @@ for _kind, _expr in _STEP.items():
             kind=kind,
             cap=60.0,
             spinup=10,
-            block=F.floor(F.dayofmonth("date") / 4),
         ).select("sitename", "date", "soilm")
     )
 
+# all sites' days as one series, in more ranges than it has years
+ONE_BALANCE = "SELECT 1 AS sitename, CAST(l_shipdate AS DATE) AS date, avg(l_quantity) + 10 * avg(l_linenumber) AS v FROM lineitem GROUP BY CAST(l_shipdate AS DATE)"
+query("bounded_running_balance_one_long_site", balance_sql(_STEP["keenan"], ONE_BALANCE))(
+    lambda s, d: bounded_running_balance(
+        table(s, d, "lineitem")
+        .groupBy(F.col("l_shipdate").cast("date").alias("date"))
+        .agg((F.avg("l_quantity") + 10 * F.avg("l_linenumber")).alias("v"))
+        .select(F.lit(1).alias("sitename"), "date", (F.col("v") / 3).alias("inflow"), (20 - F.col("v") / 7).alias("outflow")),
+        "inflow",
+        "outflow",
+        kind="keenan",
+        cap=60.0,
+        spinup=10,
+        ranges=24,
+    ).select("sitename", "date", "soilm")
+)
+
 query(
     "calendar_parts",
     rsql(

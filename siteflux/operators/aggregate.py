@@ -66,7 +66,7 @@ def _seasonal_cycle(df: DataFrame, key: str, by: list[str], obs: str, mod: str)
     ]
     cycle = df.groupBy(*by, key).agg(*stats)
     # a mean cycle has at most one row per day of year, so a plain window is bounded
-    return interpolate_linear(cycle, ["obs_mean", "obs_min", "obs_max"], by, key)
+    return interpolate_linear(cycle, ["obs_mean", "obs_min", "obs_max"], by, key, bounded=True)
 
 
 def mean_seasonal_cycle_doy(df: DataFrame, obs: str = "gpp_obs", mod: str = "gpp_mod") -> DataFrame:
@@ -101,7 +101,7 @@ def zone_seasonal_cycle(
             for n in ("mean", "min", "max")
         ]
     )
-    cycle = interpolate_linear(cycle, ["obs_mean", "obs_min", "obs_max"], [code, "hemisphere"], "doy")
+    cycle = interpolate_linear(cycle, ["obs_mean", "obs_min", "obs_max"], [code, "hemisphere"], "doy", bounded=True)
     labelled = sites.select(
         F.coalesce(F.col(code), F.lit("-")).alias(code),
         F.coalesce(hemisphere(F.col("lat")), F.lit("-")).alias("hemisphere"),

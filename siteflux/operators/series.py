@@ -1,9 +1,9 @@
 """Ordered series per site: interpolation, gap filling, fitted values, anomalies, neighbouring months.
 
-Interpolation works in two levels. Rows are ordered within (group, block), one block being by default a
-calendar year; each block is summed up in one small row, the small rows are scanned per group, and what a
-block needs from its neighbours comes back by an equi join. A long series is thus split by block
-and no task has to hold a whole group.
+Interpolation works in two levels. Rows are ordered within (group, block); each block is summed up in one small row,
+the small rows are scanned per group, and what a block needs from its neighbours comes back by an equi join. A block
+is a range of (group, order) that follows the data, or what the caller names, such as a calendar year. A long series
+is thus split by block and no task has to hold a whole group.
 """
 
 from __future__ import annotations
@@ -14,9 +14,14 @@ from pyspark.sql import functions as F
 from siteflux import DATE, SITE
 from siteflux.functions.calendar import is_leap_year
 from siteflux.operators.groups import join_keys, with_stats
+from siteflux.operators.scan import ordered_ranges
+from siteflux.sources.sinks import stored
 
 
-def _neighbours(df: DataFrame, cols: list[str], by: list[str], order: str, x: Column | None, block: Column | None):
+def _neighbours(
+    df: DataFrame, cols: list[str], by: list[str], order: str, x: Column | None, block: Column | None,
+    bounded: bool = False, ranges: int | None = None,
+) -> DataFrame:
     """Add the known neighbours of each column ``c`` as ``_p_c`` and ``_n_c`` (position, row, value).
 
     Also adds the own position ``_at``, the row number ``_rn`` and, by group, the number of rows ``_total``.
@@ -36,10 +41,13 @@ def _neighbours(df: DataFrame, cols: list[str], by: list[str], order: str, x: Co
         frame = frame.withColumns({f"_p_{c}": F.last(p, ignorenulls=True).over(up) for c, p in points.items()})
         return frame.withColumns({f"_n_{c}": F.last(p, ignorenulls=True).over(back) for c, p in points.items()})
 
-    if block is None:
+    if bounded:
         return scan(df, by).withColumn("_total", F.count(F.lit(1)).over(Window.partitionBy(*by)))
 
-    placed = df.withColumn("_block", F.coalesce(block.cast("long"), F.lit(-(2**62))))
+    if block is None:
+        placed = stored(ordered_ranges(df, by, order, "_block", ranges), "series_ranges")
+    else:
+        placed = df.withColumn("_block", F.coalesce(block.cast("long"), F.lit(-(2**62))))
     keys = [*by, "_block"]
     blocked = scan(placed, keys)
     ends = blocked.groupBy(*keys).agg(
@@ -91,13 +99,16 @@ def interpolate_linear(
     order: str = DATE,
     x: Column | None = None,
     block: Column | None = None,
+    bounded: bool = False,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Linear between known values by row number (or by ``x``); the edges stay null.
 
-    Give ``block`` (for example ``F.year("date")``) where a group can be long; leave it out only where
-    the group is bounded, such as the days of one mean year.
+    The rows are dealt by ranges of (group, order) and stored once, in ``ranges`` ranges or as many as there are shuffle
+    partitions. With ``block`` (for example ``F.year("date")``), which must not decrease along ``order``, nothing is
+    stored. Say ``bounded`` only where a group fits one task, such as the days of one mean year.
     """
-    near = _neighbours(df, cols, by, order, x, block)
+    near = _neighbours(df, cols, by, order, x, block, bounded, ranges)
     return near.withColumns({c: _interpolated(c) for c in cols}).select(*df.columns)
 
 

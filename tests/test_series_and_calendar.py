@@ -11,6 +11,7 @@ from siteflux.functions import calendar as T
 from siteflux.operators import downscale as X
 from siteflux.operators import series as W
 from siteflux.operators.balance import bounded_running_balance
+from siteflux.operators.scan import ordered_ranges
 from siteflux.operators.joins import align_model_obs, calendar_spine, on_calendar
 
 D = dt.date
@@ -108,14 +109,14 @@ GAPPY = {
 }
 
 
-@pytest.mark.parametrize("blocked", [False, True])
-def test_interpolation_across_blocks(series, blocked):
-    df = series(GAPPY, "v")
-    block = F.dayofmonth("date") if blocked else None
+@pytest.mark.parametrize("how", ["bounded", "blocks", "ranges", "many ranges"])
+def test_interpolation_across_blocks(series, how):
     # blocks of a month: 2001-01-20 on spans two months
     df = series(GAPPY, "v", start=D(2001, 1, 20))
-    block = F.year("date") * 12 + F.month("date") if blocked else None
-    out = W.interpolate_linear(df, ["v"], ["sitename"], block=block)
+    block = F.year("date") * 12 + F.month("date") if how == "blocks" else None
+    out = W.interpolate_linear(
+        df, ["v"], ["sitename"], block=block, bounded=how == "bounded", ranges=29 if how == "many ranges" else None
+    )
     for site, values in GAPPY.items():
         same(column(out.where(F.col("sitename") == site), "v"), brute_linear(values))
 
@@ -192,23 +193,47 @@ def plain_balance(inflow, outflow, kind, cap, spinup):
     return out
 
 
+@pytest.mark.parametrize("ranges", [None, 7])
 @pytest.mark.parametrize("kind", ["bucket", "keenan"])
-def test_balance_equals_the_plain_loop(series, kind):
+def test_balance_equals_the_plain_loop(series, kind, ranges):
     rng = random.Random(5)
     inflow = [rng.choice([0.0, 0.0, 30 * rng.random()]) for _ in range(800)]
     outflow = [rng.uniform(-2, 9) for _ in range(800)]
     df = series({"a": list(zip(inflow, outflow))}, "p", "e", start=D(2001, 11, 1))
-    got = column(bounded_running_balance(df, "p", "e", kind=kind), "soilm")
+    got = column(bounded_running_balance(df, "p", "e", kind=kind, ranges=ranges), "soilm")
     same(got, plain_balance(inflow, outflow, kind, 220.0, 365))
 
 
-def test_balance_stops_at_an_unknown_input(series):
+def test_ranges_follow_the_rows_and_their_order(series):
+    df = series({"long": [1.0] * 3000, "short": [2.0] * 40}, "v")
+    rows = [(r.part, r.sitename, r.date) for r in ordered_ranges(df, ["sitename"], "date", "part", 8).collect()]
+    sizes = [sum(r[0] == i for r in rows) for i in range(8)]
+    assert sum(sizes) == 3040 and max(sizes) < 2 * 3040 / 8
+    assert sorted(rows, key=lambda r: r[1:]) == sorted(rows)
+
+
+@pytest.mark.parametrize("ranges", [None, 3, 50])
+def test_balance_of_many_sites_over_ranges(series, ranges):
+    """Sites shorter and longer than the spin-up and than a range, one of them without a name."""
+    rng = random.Random(8)
+    data = {s: [(rng.uniform(0, 12), rng.uniform(-2, 9)) for _ in range(n)] for s, n in (("a", 1), ("b", 5), ("c", 900), ("d", 30))}
+    df = series(data, "p", "e").withColumn("more", F.lit("x"))
+    df = df.withColumn("sitename", F.nullif("sitename", F.lit("d")))
+    out = bounded_running_balance(df, "p", "e", cap=40.0, spinup=12, ranges=ranges)
+    assert out.columns == [*df.columns, "soilm"]
+    for site, rows in data.items():
+        got = column(out.where(F.col("sitename").eqNullSafe(None if site == "d" else site)), "soilm")
+        same(got, plain_balance([p for p, _ in rows], [e for _, e in rows], "bucket", 40.0, 12))
+
+
+@pytest.mark.parametrize("ranges", [None, 9])
+def test_balance_stops_at_an_unknown_input(series, ranges):
     rows = [(1.0, 2.0)] * 900
     late = list(rows)
     late[500] = (None, 2.0)
     early = list(rows)
     early[10] = (1.0, None)
-    out = bounded_running_balance(series({"late": late, "early": early}, "p", "e"), "p", "e")
+    out = bounded_running_balance(series({"late": late, "early": early}, "p", "e"), "p", "e", ranges=ranges)
     got = column(out.where("sitename = 'late'"), "soilm")
     assert all(v is not None for v in got[:500]) and all(v is None for v in got[500:])
     assert set(column(out.where("sitename = 'early'"), "soilm")) == {None}
