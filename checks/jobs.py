@@ -20,7 +20,8 @@ from siteflux.plans import inputs as I
 from siteflux.plans import learn as L
 from siteflux.plans import lightuse as U
 from siteflux.plans import observations as B
-from siteflux.sources.sinks import stored
+from siteflux.sources import readers as R
+from siteflux.sources.sinks import scratch_dir, stored
 from siteflux.settings import CalibSettings, EvalSettings, InputSettings
 
 OM = "sitename, date"
@@ -590,16 +591,41 @@ def tower_raw(s, d):
 
 _SWC = """SELECT sitename, date, (s1 - min(s1) OVER w) / nullif(max(s1) OVER w - min(s1) OVER w, 0) AS n1, (qc_dt - min(qc_dt) OVER w) / (max(qc_dt) OVER w - min(qc_dt) OVER w) AS n2
   FROM (SELECT *, CASE WHEN qc_nt * 2 < 1 THEN NULL ELSE soilm END AS s1 FROM fx_daily) WINDOW w AS (PARTITION BY sitename)"""
+OBSERVATIONS = rsql(
+    f"""SELECT p.sitename, p.date, (gpp_nt + gpp_dt) / 2 AS gpp_obs, e.et AS transp_obs, coalesce((n1 + n2) / 2, n1, n2) AS soilm_obs_mean,
+    t.temp, gpp_nt AS "GPP_NT_VUT_REF", gpp_dt AS "GPP_DT_VUT_REF" FROM ({PAIRED}) p JOIN ({ET_CLEAN}) e USING (sitename, date)
+    JOIN ({_SWC}) w USING (sitename, date) JOIN (SELECT sitename, date, temp FROM fx_daily) t USING (sitename, date)""",
+    OM,
+    "gpp_obs transp_obs soilm_obs_mean temp GPP_NT_VUT_REF GPP_DT_VUT_REF",
+)
+query("build_observations", OBSERVATIONS)(lambda s, d: B.build_observations(tower_raw(s, d)))
+
+
+def _tower_folder(s, d):
+    """A folder per site with its daily file; every second site also has an older version with other values."""
+    path = scratch_dir(s)
+    raw = tower_raw(s, d).withColumn("TIMESTAMP", F.date_format("date", "yyyyMMdd"))
+    values = [c for c in raw.columns if c not in ("sitename", "date", "TIMESTAMP")]
+    site = F.concat(F.lit("FLX_AA-"), F.lpad(F.col("sitename").cast("string"), 3, "0"), F.lit("_FLUXNET2015_FULLSET_DD_1995-2001_1-"))
+    for version, part, change in (("3", raw, 0.0), ("2", raw.where("sitename % 2 = 0"), 50.0)):
+        cells = [F.coalesce((F.col(c) + change).cast("string"), F.lit("-9999")).alias(c) for c in values]
+        rows = part.select(F.concat(site, F.lit(f"{version}.csv")).alias("file"), "TIMESTAMP", *(cells if version == "3" else reversed(cells)))
+        rows.repartition("file").write.option("header", True).partitionBy("file").csv(f"{path}/{version}")
+    return path
+
+
+def observations_of_files(s, d):
+    path = _tower_folder(s, d)
+    # Spark names its part files itself: the version's name is that of the folder
+    files = R.list_files(s, path).select("path", F.regexp_extract("path", "file=([^/]+)/", 1).alias("file_name"))
+    picked = R.pick_site_files(files, "d").join(files, "file_name").select("path").collect()
+    return B.observations_from(s, [r.path for r in picked])
+
+
 query(
-    "build_observations",
-    rsql(
-        f"""SELECT p.sitename, p.date, (gpp_nt + gpp_dt) / 2 AS gpp_obs, e.et AS transp_obs, coalesce((n1 + n2) / 2, n1, n2) AS soilm_obs_mean,
-        t.temp, gpp_nt AS "GPP_NT_VUT_REF", gpp_dt AS "GPP_DT_VUT_REF" FROM ({PAIRED}) p JOIN ({ET_CLEAN}) e USING (sitename, date)
-        JOIN ({_SWC}) w USING (sitename, date) JOIN (SELECT sitename, date, temp FROM fx_daily) t USING (sitename, date)""",
-        OM,
-        "gpp_obs transp_obs soilm_obs_mean temp GPP_NT_VUT_REF GPP_DT_VUT_REF",
-    ),
-)(lambda s, d: B.build_observations(tower_raw(s, d)))
+    "observations_from_files",
+    f"SELECT * REPLACE ('AA-' || lpad(CAST(sitename AS VARCHAR), 3, '0') AS sitename) FROM ({OBSERVATIONS})",
+)(observations_of_files)
 query(
     "combine_targets",
     rsql(

@@ -1,7 +1,13 @@
-"""Readers of tower, product, metadata and model files. All files of a kind are read in one scan."""
+"""Readers of tower, product, metadata and model files. Files of one layout are read in one scan."""
 
 from __future__ import annotations
 
+import csv
+from collections.abc import Callable, Iterator
+from functools import reduce
+from urllib.parse import unquote, urlparse
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,7 +15,6 @@ from pyspark.sql import types as T
 from siteflux import DATE, SITE
 from siteflux.functions.nulls import finite
 from siteflux.functions.units import mol_to_gram_carbon
-from siteflux.sources.sinks import stored
 
 MISSING = "-9999"
 # Resolution code in tower file names.
@@ -59,42 +64,97 @@ def _date_column(cell, freq: str) -> Column:
     return F.try_to_timestamp(text, F.lit("yyyyMMdd")).cast("date")
 
 
+def list_files(spark: SparkSession, path: str | list[str], glob: str = "*.csv") -> DataFrame:
+    """``path, file_name`` of the files below ``path``, from the listing alone: no file is opened."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
+    return found.select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"))
+
+
+def chosen_files(spark: SparkSession, path: str, freq: str) -> list[str]:
+    """The paths of the one file per site that ``pick_site_files`` chooses, in order."""
+    files = list_files(spark, path)
+    names = files.groupBy("file_name").agg(F.min("path").alias("path"))  # one version of a name kept in two folders
+    picked = pick_site_files(names, freq).join(names, "file_name")
+    return [r.path for r in picked.orderBy("path").select("path").collect()]
+
+
+def _first_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of a task's input, if it begins a file; the rest is not asked for."""
+    for batch in batches:
+        if batch.num_rows:
+            if batch.column(2)[0].as_py() == 0:
+                yield batch.slice(0, 1)
+            return
+
+
+def file_headers(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
+    """Each different first line of the files, with the files that begin with it.
+
+    A task gets one file (or one split of a long file) and stops after a line. Only names reach the driver, of which
+    it has a list anyway.
+    """
+    option, least = "spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(option)
+    # a file that counts as a whole partition shares its task with no other
+    spark.conf.set(option, spark.conf.get(least))
+    try:
+        lines = spark.read.text(paths).select(
+            F.col("_metadata.file_path").alias("file"), "value", F.col("_metadata.file_block_start").alias("start")
+        )
+        rows = lines.mapInArrow(_first_lines, "file string, value string, start long").collect()
+    finally:
+        spark.conf.set(option, before)
+    # the listing, the caller and the scan write one path in different forms
+    known = {unquote(urlparse(p).path): p for p in paths}
+    headers: dict[str, list[str]] = {}
+    for r in sorted(rows, key=lambda r: r.file):
+        path = known.get(unquote(urlparse(r.file).path), r.file)
+        headers.setdefault(r.value.strip("\ufeff\r\n"), []).append(path)
+    return headers
+
+
 def read_site_csv(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     freq: str,
-    columns: list[str] | None = None,
+    columns: list[str] | Callable[[str], bool] | None = None,
     glob: str = "*.csv",
     site_pattern: str = SITE_PATTERN,
 ) -> DataFrame:
-    """Tower CSV files under ``path``: ``-9999`` is missing, the date follows the resolution, numbers are double.
-
-    Towers differ in the columns they report. Each line is therefore read by the header of its own file:
-    headers (one row per file) are written once to the shared folder, so that Spark knows their size
-    when it joins them to the lines. Name the ``columns`` wanted to skip the job that lists them; columns
-    a file lacks are null.
+    """Tower CSV files under ``path``, or a list of files: ``-9999`` is missing, the date follows the resolution, numbers
+    are double.
+
+    Towers differ in the columns they report. The first line of every file is read on its own; the files of one header
+    are then one CSV scan with that header's columns, which reads the columns asked for alone and understands quoted
+    cells, and the scans are united by name. ``columns`` are names, a condition on names, or all. Columns that a
+    file lacks are null, as are cells that are no number. A header line that a file repeats is no row; a file without
+    a line gives none. The first of two columns of one name counts.
     """
-    lines = (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", glob)
-        .text(path)
-        .select("value", F.col("_metadata.file_path").alias("_file"))
-    )
-    is_header = F.col("value").startswith("TIMESTAMP")
-    headers = stored(lines.where(is_header).select("_file", F.split("value", ",").alias("_names")), "headers")
-    if columns is None:
-        names = headers.select(F.explode("_names").alias("n")).distinct().orderBy("n").collect()
-        columns = [r.n for r in names if r.n not in TIME_COLUMNS]
-
-    def cell(name: str) -> Column:
-        at = F.nullif(F.array_position("_names", F.lit(name)).cast("int"), F.lit(0))
-        return F.nullif(F.try_element_at("_cells", at), F.lit(MISSING))
-
-    data = lines.where(~is_header & (F.length("value") > 0)).join(headers, "_file")
-    data = data.withColumn("_cells", F.split("value", ","))
-    site = F.regexp_extract("_file", site_pattern, 1)
-    numbers = [cell(c).try_cast("double").alias(c) for c in columns]
-    return data.select(site.alias(SITE), _date_column(cell, freq).alias(DATE), *numbers)
+    paths = path if isinstance(path, list) else [r.path for r in list_files(spark, path, glob).orderBy("path").collect()]
+    headers = file_headers(spark, paths) if paths else {}
+    named = {line: next(csv.reader([line]), []) for line in headers}
+    known = sorted({n for names in named.values() for n in names if n not in TIME_COLUMNS})
+    wanted = columns if isinstance(columns, list) else [n for n in known if columns is None or columns(n)]
+
+    def scan(line: str, files: list[str]) -> DataFrame:
+        names = named[line]
+        places = {n: f"_c{i}" for i, n in reversed(list(enumerate(names)))}
+        schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))])
+        raw = spark.read.schema(schema).option("header", True).option("nullValue", MISSING).csv(files)
+
+        def cell(name: str) -> Column:
+            return F.col(places[name]) if name in places else F.lit(None).cast("string")
+
+        stamp = next((n for n in TIME_COLUMNS if n in places), None)
+        data = raw if stamp is None else raw.where(~F.col(places[stamp]).eqNullSafe(stamp))
+        site = F.regexp_extract("_metadata.file_path", site_pattern, 1)
+        numbers = [cell(c).try_cast("double").alias(c) for c in wanted]
+        return data.select(site.alias(SITE), _date_column(cell, freq).alias(DATE), *numbers)
+
+    if not headers:
+        fields = [T.StructField(SITE, T.StringType()), T.StructField(DATE, T.DateType())]
+        return spark.createDataFrame([], T.StructType(fields + [T.StructField(c, T.DoubleType()) for c in wanted]))
+    return reduce(DataFrame.unionByName, [scan(line, files) for line, files in headers.items()])
 
 
 def read_site_meta_long(spark: SparkSession, path: str) -> DataFrame:
