@@ -503,8 +503,8 @@ def _input_points(s, d):
     )
 
 
-def _reanalysis(s, d):
-    grid = (
+def _reanalysis_grid(s, d):
+    return (
         _cell(fx_daily(s, d))
         .groupBy("lon_idx", "lat_idx", "date")
         .agg(
@@ -515,21 +515,18 @@ def _reanalysis(s, d):
             F.avg("gpp_mod").alias("SWdown"),
         )
     )
-    return I.reanalysis_at_sites(_input_points(s, d), grid, SPEC50).withColumn("vpd", F.col("vpd") / 1000)
+
+
+def _reanalysis(s, d):
+    return I.reanalysis_at_sites(_input_points(s, d), _reanalysis_grid(s, d), SPEC50).withColumn("vpd", F.col("vpd") / 1000)
 
 
 _QA = "(q / (1 - q))"
-query(
-    "reanalysis_at_sites",
-    rsql(
-        f"""SELECT sitename, date, temp, et * 1e-7 * 86400 + coalesce(soilm, 0) * 1e-5 * 86400 AS prec, gpp_mod * 86400 * 2.04e-6 AS ppfd,
+_REANALYSIS = f"""SELECT sitename, date, temp, et * 1e-7 * 86400 + coalesce(soilm, 0) * 1e-5 * 86400 AS prec, gpp_mod * 86400 * 2.04e-6 AS ppfd,
         CASE WHEN temp IS NULL OR e IS NULL THEN NULL ELSE greatest(0, 611 * exp(17.27 * temp / (temp + 237.3)) - e) END / 1000 AS vpd FROM (
         SELECT *, ({PRESSURE.format(t0=288.15)}) * {_QA} * (8.3143 / 18.02) / (8.3143 / 28.963 + {_QA} * (8.3143 / 18.02)) AS e
-        FROM (SELECT *, qc_nt / 50 AS q FROM fx_daily) LEFT JOIN fx_site USING (sitename)) WHERE NOT (month(date) = 2 AND day(date) = 29)""",
-        OM,
-        "temp prec ppfd vpd",
-    ),
-)(_reanalysis)
+        FROM (SELECT *, qc_nt / 50 AS q FROM fx_daily) LEFT JOIN fx_site USING (sitename)) WHERE NOT (month(date) = 2 AND day(date) = 29)"""
+query("reanalysis_at_sites", rsql(_REANALYSIS, OM, "temp prec ppfd vpd"))(_reanalysis)
 _CELL_MONTH = f"""SELECT sitename, {Q.Y} AS year, {Q.M} AS moy, avg(et) / 7.9 AS cld, avg(et) / 41 AS pre, avg(temp) AS tmp, avg(gpp_mod) + 3 AS vap
   FROM fx_daily GROUP BY sitename, year(date), month(date)"""
 # sites 1, 8, 15, ... have no data in their own cell
@@ -541,8 +538,8 @@ VIEWS["fx_station"] = f"SELECT l.sitename, year, moy, cld, pre, tmp, vap FROM ({
 _ESAT_M = "611 * exp(17.27 * tmp / (tmp + 237.3))"
 
 
-def _station(s, d):
-    grid = (
+def _station_grid(s, d):
+    return (
         _cell(fx_daily(s, d).where(F.col("sitename") % 7 != 1))
         .groupBy("lon_idx", "lat_idx", F.year("date").alias("year"), F.month("date").alias("moy"))
         .agg(
@@ -552,23 +549,20 @@ def _station(s, d):
             (F.avg("gpp_mod") + 3).alias("vap"),
         )
     )
-    out = I.station_at_sites(_input_points(s, d).drop("elv"), grid, SPEC50)
+
+
+def _station(s, d):
+    out = I.station_at_sites(_input_points(s, d).drop("elv"), _station_grid(s, d), SPEC50)
     return out.withColumn("vpd", F.col("vpd") / 1000)
 
 
-query(
-    "station_at_sites",
-    rsql(
-        f"""SELECT t.sitename, t.date, t.tmp AS temp, CASE WHEN c.cld IS NULL THEN NULL ELSE least(c.cld, 100) END AS ccov, v.vpd, CASE WHEN p.pre / p.n < 0.1 THEN 0 ELSE p.pre / p.n END AS prec
+_STATION = f"""SELECT t.sitename, t.date, t.tmp AS temp, CASE WHEN c.cld IS NULL THEN NULL ELSE least(c.cld, 100) END AS ccov, v.vpd, CASE WHEN p.pre / p.n < 0.1 THEN 0 ELSE p.pre / p.n END AS prec
         FROM ({months_to_days_sql('SELECT sitename, year, moy, tmp FROM fx_station', 'tmp', True)}) t
         JOIN ({months_to_days_sql('SELECT sitename, year, moy, cld FROM fx_station', 'cld', True)}) c USING (sitename, date)
         JOIN ({months_to_days_sql(f'SELECT sitename, year, moy, CASE WHEN tmp IS NULL THEN NULL ELSE greatest(0, {_ESAT_M} - vap * 100) END / 1000 AS vpd FROM fx_station', 'vpd', True)}) v USING (sitename, date)
         JOIN (SELECT *, CASE WHEN moy = 2 THEN 28 ELSE day(last_day(make_date(year, moy, 1))) END AS n FROM fx_station) p
-        ON p.sitename = t.sitename AND p.year = year(t.date) AND p.moy = month(t.date)""",
-        OM,
-        "temp ccov vpd prec",
-    ),
-)(_station)
+        ON p.sitename = t.sitename AND p.year = year(t.date) AND p.moy = month(t.date)"""
+query("station_at_sites", rsql(_STATION, OM, "temp ccov vpd prec"))(_station)
 
 
 def tower_raw(s, d):
@@ -601,31 +595,85 @@ OBSERVATIONS = rsql(
 query("build_observations", OBSERVATIONS)(lambda s, d: B.build_observations(tower_raw(s, d)))
 
 
-def _tower_folder(s, d):
+def _code(site):
+    return F.concat(F.lit("AA-"), F.lpad(site.cast("string"), 3, "0"))
+
+
+def _tower_folder(s, d, rows=tower_raw):
     """A folder per site with its daily file; every second site also has an older version with other values."""
     path = scratch_dir(s)
-    raw = tower_raw(s, d).withColumn("TIMESTAMP", F.date_format("date", "yyyyMMdd"))
+    raw = rows(s, d).withColumn("TIMESTAMP", F.date_format("date", "yyyyMMdd"))
     values = [c for c in raw.columns if c not in ("sitename", "date", "TIMESTAMP")]
-    site = F.concat(F.lit("FLX_AA-"), F.lpad(F.col("sitename").cast("string"), 3, "0"), F.lit("_FLUXNET2015_FULLSET_DD_1995-2001_1-"))
+    name = F.concat(F.lit("FLX_"), _code(F.col("sitename")), F.lit("_FLUXNET2015_FULLSET_DD_1995-2001_1-"))
     for version, part, change in (("3", raw, 0.0), ("2", raw.where("sitename % 2 = 0"), 50.0)):
         cells = [F.coalesce((F.col(c) + change).cast("string"), F.lit("-9999")).alias(c) for c in values]
-        rows = part.select(F.concat(site, F.lit(f"{version}.csv")).alias("file"), "TIMESTAMP", *(cells if version == "3" else reversed(cells)))
-        rows.repartition("file").write.option("header", True).partitionBy("file").csv(f"{path}/{version}")
+        lines = part.select(F.concat(name, F.lit(f"{version}.csv")).alias("file"), "TIMESTAMP", *(cells if version == "3" else reversed(cells)))
+        lines.repartition("file").write.option("header", True).partitionBy("file").csv(f"{path}/{version}")
     return path
 
 
-def observations_of_files(s, d):
-    path = _tower_folder(s, d)
+def _picked(s, path):
     # Spark names its part files itself: the version's name is that of the folder
     files = R.list_files(s, path).select("path", F.regexp_extract("path", "file=([^/]+)/", 1).alias("file_name"))
-    picked = R.pick_site_files(files, "d").join(files, "file_name").select("path").collect()
-    return B.observations_from(s, [r.path for r in picked])
+    return [r.path for r in R.pick_site_files(files, "d").join(files, "file_name").select("path").collect()]
+
+
+def observations_of_files(s, d):
+    return B.observations_from(s, _picked(s, _tower_folder(s, d)))
 
 
 query(
     "observations_from_files",
     f"SELECT * REPLACE ('AA-' || lpad(CAST(sitename AS VARCHAR), 3, '0') AS sitename) FROM ({OBSERVATIONS})",
 )(observations_of_files)
+def _meteo_raw(s, d):
+    return fx_daily(s, d).where("et > 300").select(
+        "sitename",
+        "date",
+        F.col("temp").alias("TA_F"),
+        F.col("et").alias("P_F"),
+        F.col("gpp_mod").alias("SW_IN_F"),
+        F.col("gpp_nt").alias("VPD_F"),
+    )
+
+
+def _all_inputs(s, d, path=None):
+    sites = _input_points(s, d).withColumns({"sitename": _code(F.col("sitename")), "year_start": F.lit(1995), "year_end": F.lit(2001)})
+    index = fx_daily(s, d).select(_code(F.col("sitename")).alias("sitename"), "date", F.col("soilm").alias("fapar"))
+    files = _picked(s, _tower_folder(s, d, _meteo_raw))
+    return I.inputs_from_sources(
+        s, sites, files, (_reanalysis_grid(s, d), SPEC50), (_station_grid(s, d), SPEC50), index, path=path
+    )
+
+
+_ALL_MERGED = f"""SELECT sitename, date, coalesce(t.temp, r.temp, g.temp) AS temp, coalesce(t.et, r.prec, g.prec) AS prec,
+  coalesce(t.gpp_nt * 100, r.vpd * 1000, g.vpd * 1000) / 1000 AS vpd, coalesce(t.gpp_mod * 86400 * 2.04e-6, r.ppfd) AS ppfd, g.ccov
+  FROM ({_SPINE}) LEFT JOIN (SELECT * FROM fx_daily WHERE et > 300) t USING (sitename, date) LEFT JOIN ({_REANALYSIS}) r USING (sitename, date)
+  LEFT JOIN ({_STATION}) g USING (sitename, date)"""
+_ALL_INPUTS = f"""SELECT 'AA-' || lpad(CAST(c.sitename AS VARCHAR), 3, '0') AS sitename, c.date, temp, prec, vpd, ppfd, ccov, fapar
+  FROM ({fill_sql(_ALL_MERGED, ['temp', 'vpd', 'ppfd', 'ccov'], ', coalesce(prec, 0) AS prec')}) c JOIN
+  (SELECT sitename, date, coalesce(soilm, avg(soilm) OVER (PARTITION BY sitename, dayofyear(date))) AS fapar
+  FROM ({_SPINE}) LEFT JOIN (SELECT sitename, date, soilm FROM fx_daily) USING (sitename, date)) v USING (sitename, date)"""
+query("inputs_from_sources", rsql(_ALL_INPUTS, OM, "temp prec vpd ppfd ccov fapar"))(
+    lambda s, d: _all_inputs(s, d)
+    .withColumn("vpd", F.col("vpd") / 1000)
+    .select("sitename", "date", "temp", "prec", "vpd", "ppfd", "ccov", "fapar")
+)
+
+
+def _written_inputs(s, d):
+    path = scratch_dir(s)
+    days = fx_daily(s, d).select("sitename", "date", "temp", F.col("soilm").alias("fapar"), F.col("et").alias("prec"))
+    I.write_inputs(days, path)
+    lines = s.read.text(path)
+    return lines.groupBy("variable", F.col("sitename").cast("bigint").alias("sitename"), "year", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+query(
+    "write_inputs",
+    f"""SELECT variable, sitename, {Q.Y} AS year, format('{{:16.6f}}', coalesce(v, -9999)) AS value, count(*) AS n FROM (
+    SELECT sitename, date, unnest(['dtemp', 'dfapar', 'dprec']) AS variable, unnest([temp, soilm, et]) AS v FROM fx_daily) GROUP BY ALL""",
+)(_written_inputs)
 query(
     "combine_targets",
     rsql(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteflux import DATE, SITE
@@ -11,13 +11,14 @@ from siteflux.functions.atmosphere import vpd
 from siteflux.functions.calendar import is_leap_day
 from siteflux.functions.rows import cap, sunshine_fraction
 from siteflux.operators.aggregate import mean_by_doy_fill
-from siteflux.operators.downscale import allocate_period_total, monthly_to_daily
+from siteflux.operators.downscale import months_to_days, shared_out
 from siteflux.operators.grid import GridSpec, locate, nearest_valid_cell_same_latitude, sample_grid_at_sites
 from siteflux.operators.joins import calendar_spine, on_calendar
 from siteflux.operators.masks import coalesce_sources
 from siteflux.operators.series import fill_gaps
 from siteflux.settings import InputSettings
-from siteflux.sources.sinks import stored, write_site_year_text
+from siteflux.sources.readers import read_site_csv
+from siteflux.sources.sinks import stored, workspace, write_variables_text
 
 FORCING = ("temp", "prec", "nrad", "ppfd", "vpd", "ccov")
 
@@ -72,24 +73,25 @@ def station_at_sites(
 ) -> DataFrame:
     """Monthly station grid (``lon_idx, lat_idx, year, moy, cld, pre, tmp, vap``) as daily site series.
 
-    Smooth variables follow mean-preserving curves. Precipitation is shared out by ``weights``
-    (``sitename, date, weight``) if given, else evenly over the month.
+    Smooth variables follow mean-preserving curves; all curves of a month and its rain become days together.
+    Precipitation is shared out by ``weights`` (``sitename, date, weight``) if given, else evenly over the month.
     """
     land = grid.groupBy("lon_idx", "lat_idx").agg(F.max("cld").alias("value"))
     cells = station_cells(sites.select(SITE, "lon", "lat"), land, spec).select(SITE, "lon_idx", "lat_idx")
     monthly = cells.join(grid, ["lon_idx", "lat_idx"]).select(SITE, "year", "moy", "cld", "pre", "tmp", "vap")
     monthly = monthly.withColumn("vpd", vpd(F.col("tmp"), eact=units.hpa_to_pa(F.col("vap"))))
-    out = monthly_to_daily(monthly, "tmp", name="temp", noleap=noleap)
-    clouds = monthly_to_daily(monthly, "cld", name="ccov", noleap=noleap)
-    out = out.join(clouds.withColumn("ccov", cap(F.col("ccov"), 100.0)), [SITE, DATE], "left")
-    out = out.join(monthly_to_daily(monthly, "vpd", noleap=noleap), [SITE, DATE], "left")
-    days = out.select(SITE, DATE)
+    curves = {"tmp": "temp", "cld": "ccov", "vpd": "vpd"}
     if weights is None:
-        weighted = days.withColumn("weight", F.lit(1.0))
+        out = months_to_days(monthly, curves, noleap=noleap, carry=("pre",))
+        weight, weight_sum = F.lit(1.0), F.col("ndays").cast("double")
     else:
-        weighted = days.join(weights, [SITE, DATE], "left").fillna(0.0, ["weight"])
-    rain = allocate_period_total(weighted, "weight", monthly, "pre", "prec").drop("weight")
-    return out.join(rain, [SITE, DATE], "left")
+        weights = (drop_leap_days(weights) if noleap else weights).select(SITE, DATE, "weight")
+        sums = weights.groupBy(SITE, F.year(DATE).alias("year"), F.month(DATE).alias("moy")).agg(F.sum("weight").alias("_sum"))
+        monthly = monthly.join(sums, [SITE, "year", "moy"], "left")
+        out = months_to_days(monthly, curves, noleap=noleap, carry=("pre", "_sum")).join(weights, [SITE, DATE], "left")
+        weight, weight_sum = F.coalesce("weight", F.lit(0.0)), F.coalesce("_sum", F.lit(0.0))
+    rain = shared_out(weight, weight_sum, F.col("pre"))
+    return out.select(SITE, DATE, "temp", cap(F.col("ccov"), 100.0).alias("ccov"), "vpd", rain.alias("prec"))
 
 
 def prepare_climate(
@@ -100,17 +102,25 @@ def prepare_climate(
     ``sources`` maps a source name of the settings to its table. All joins use (site, date), so the spine is
     shuffled once. Gap filling looks at the merged table twice; with ``store`` it is written once in between.
     """
+    out = merged_climate(sites, sources, settings)
+    return filled_climate(stored(out, "merged_forcing") if store else out, sources)
+
+
+def merged_climate(sites: DataFrame, sources: dict[str, DataFrame], settings: InputSettings = InputSettings()) -> DataFrame:
+    """The calendar of all sites with the first known value of each variable, by the priority of its sources."""
     out = calendar_spine(sites, noleap=settings.noleap)
     for source, table in sources.items():
         named = table.select(SITE, DATE, *[F.col(c).alias(f"{c}_{source}") for c in FORCING if c in table.columns])
         out = on_calendar(named, out)
     for target, order in settings.sources().items():
         out = coalesce_sources(out, target, [f"{target}_{s}" for s in order if s in sources])
-    out = out.select(SITE, DATE, "year_dec", *FORCING)
-    if store:
-        out = stored(out, "merged_forcing")
+    return out.select(SITE, DATE, "year_dec", *FORCING)
+
+
+def filled_climate(merged: DataFrame, sources: dict[str, DataFrame]) -> DataFrame:
+    """Gaps filled in those variables that a source has; days without rain known have none."""
     have = {c for table in sources.values() for c in table.columns}
-    return fill_gaps(out, [c for c in ("temp", "ccov", "vpd", "ppfd") if c in have], zero=["prec"])
+    return fill_gaps(merged, [c for c in ("temp", "ccov", "vpd", "ppfd") if c in have], zero=["prec"])
 
 
 def prepare_vegetation(sites: DataFrame, index: DataFrame, noleap: bool = True) -> DataFrame:
@@ -126,16 +136,69 @@ def prepare_inputs(
     settings: InputSettings = InputSettings(),
 ) -> DataFrame:
     """Climate and vegetation index of all sites, ready to score or to write."""
-    out = prepare_climate(sites, sources, settings)
-    out = out.withColumn("fsun", sunshine_fraction(F.col("ccov")))
+    return with_vegetation(prepare_climate(sites, sources, settings), sites, vegetation, settings)
+
+
+def with_vegetation(climate: DataFrame, sites: DataFrame, vegetation: DataFrame | None, settings: InputSettings) -> DataFrame:
+    """Sunshine fraction and, if there is one, the vegetation index beside the climate."""
+    out = climate.withColumn("fsun", sunshine_fraction(F.col("ccov")))
     if vegetation is None:
         return out
     return out.join(prepare_vegetation(sites, vegetation, settings.noleap), [SITE, DATE], "left")
 
 
-def write_inputs(df: DataFrame, path: str, variables: tuple[str, ...] = ("temp", "prec", "fsun", "vpd", "ppfd", "fapar")) -> None:
-    """One text directory per variable, split by site and year; the plan runs once, into the shared folder."""
+def inputs_from_sources(
+    spark: SparkSession,
+    sites: DataFrame,
+    tower_files: list[str] | None = None,
+    reanalysis: tuple[DataFrame, GridSpec] | None = None,
+    station: tuple[DataFrame, GridSpec] | None = None,
+    vegetation: DataFrame | None = None,
+    settings: InputSettings = InputSettings(),
+    path: str | None = None,
+) -> DataFrame:
+    """Finished inputs of all sites from their sources: tower files, reanalysis and station grids, vegetation index.
+
+    Sources that are not given are left out of the priorities. Each is brought to site and date once; they meet on the
+    calendar of the sites (``sitename, lon, lat, elv, year_start, year_end``), are merged by priority and gap-filled.
+    With ``path`` the inputs are written there as text, all variables in one job. Returns the stored table.
+    """
+    given: dict[str, DataFrame] = {}
+    if tower_files is not None:
+        columns = ("TA_F", "P_F", "SW_IN_F", "VPD_F", "NETRAD")
+        raw = read_site_csv(spark, tower_files, "d", lambda c: c in columns)
+        lacking = {c: F.lit(None).cast("double") for c in columns if c not in raw.columns}
+        tower = tower_meteo(raw.withColumns(lacking) if lacking else raw)
+        given["tower"] = drop_leap_days(tower) if settings.noleap else tower
+    if reanalysis is not None:
+        given["reanalysis"] = reanalysis_at_sites(sites, *reanalysis, noleap=settings.noleap)
+    if station is not None:
+        given["station"] = station_at_sites(sites, *station, noleap=settings.noleap)
+    with workspace(spark) as folder:
+        merged = merged_climate(sites, given, settings)
+        out = filled_climate(stored(merged, "merged_forcing", folder), given)
+        out = stored(with_vegetation(out, sites, vegetation, settings), "inputs")
+    if path is not None:
+        write_inputs(out, path, store=False)
+    return out
+
+
+def write_inputs(
+    df: DataFrame,
+    path: str,
+    variables: tuple[str, ...] = ("temp", "prec", "fsun", "vpd", "ppfd", "fapar"),
+    store: bool = True,
+) -> None:
+    """A text folder per variable (``variable=dtemp``), split by site and year: one job, one shuffle for all variables.
+
+    A day is a row of each variable, dealt by variable, site and year, so that a large site spreads over its years and
+    every file is written by one task in date order. Unknown values are written as -9999. With ``store`` the plan of
+    ``df`` runs once into a scratch folder first, which is deleted afterwards.
+    """
     names = [name for name in variables if name in df.columns]
-    df = stored(df.select(SITE, DATE, *names), "inputs")
-    for name in names:
-        write_site_year_text(df, name, f"{path.rstrip('/')}/d{name}")
+    spark, chosen = df.sparkSession, df.select(SITE, DATE, *names)
+    with workspace(spark) as folder:
+        rows = stored(chosen, "inputs", folder) if store else chosen
+        sides = F.array(*[F.struct(F.lit(f"d{n}").alias("variable"), F.col(n).cast("double").alias("value")) for n in names])
+        long = rows.select(SITE, DATE, F.explode(sides).alias("_s")).select(SITE, DATE, "_s.*")
+        write_variables_text(long, path)

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from siteflux import DATE, SITE
 from siteflux.functions.nulls import finite
 from siteflux.functions.units import mol_to_gram_carbon
+from siteflux.sources.sinks import UNKNOWN
 
 MISSING = "-9999"
 # Resolution code in tower file names.
@@ -199,13 +200,13 @@ def read_vegetation_index(
 def read_fixed_width(
     spark: SparkSession, path: str, begin: int = 5, end: int = 15, name: str = "gpp_mod", keys: dict[str, str] | None = None
 ) -> DataFrame:
-    """One number at character positions ``begin`` to ``end``, 1-based.
+    """One number at character positions ``begin`` to ``end``, 1-based; -9999 is missing.
 
     ``keys`` adds columns cut from the file path by regular expression, and ``line`` orders the lines of a
     file, so that the table can be joined by key.
     """
     raw = spark.read.text(path)
-    number = F.expr(f"try_cast(trim(substring(value, {begin}, {end - begin + 1})) AS DOUBLE)")
+    number = F.nullif(F.expr(f"try_cast(trim(substring(value, {begin}, {end - begin + 1})) AS DOUBLE)"), F.lit(UNKNOWN))
     cut = [F.regexp_extract(F.col("_metadata.file_path"), pattern, 1).alias(k) for k, pattern in (keys or {}).items()]
     return raw.select(*cut, number.alias(name), line_order().alias("line"))
 

@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 from siteflux import DATE, SITE
 
 
+#: How text files write an unknown value.
+UNKNOWN = -9999.0
+
+
 def fixed_format(value: Column, second: Column | None = None) -> Column:
-    """The text form ``%16.6f``, or ``%16.6f    %f`` for two columns."""
-    if second is None:
-        return F.format_string("%16.6f", value)
-    return F.format_string("%16.6f    %f", value, second)
+    """The text form ``%16.6f``, or ``%16.6f    %f`` for two columns; an unknown value is the number -9999."""
+    known = [F.coalesce(c.cast("double"), F.lit(UNKNOWN)) for c in (value, second) if c is not None]
+    return F.format_string("%16.6f" if second is None else "%16.6f    %f", *known)
 
 
 def write_site_year_text(df: DataFrame, col: str, path: str, second: str | None = None) -> None:
@@ -27,9 +30,18 @@ def write_site_year_text(df: DataFrame, col: str, path: str, second: str | None
     one task in order.
     """
     line = fixed_format(F.col(col), F.col(second) if second else None)
-    out = df.select(F.col(SITE), F.year(DATE).alias("year"), F.col(DATE), line.alias("value"))
-    out = out.repartition(SITE, "year").sortWithinPartitions(SITE, "year", DATE)
-    out.drop(DATE).write.mode("overwrite").partitionBy(SITE, "year").text(path)
+    _write_lines(df.select(F.col(SITE), F.year(DATE).alias("year"), F.col(DATE), line.alias("value")), [SITE, "year"], path)
+
+
+def write_variables_text(long: DataFrame, path: str) -> None:
+    """The same for many variables at once: rows ``sitename, date, variable, value``, a directory per variable, site and year."""
+    lines = long.select("variable", SITE, F.year(DATE).alias("year"), DATE, fixed_format(F.col("value")).alias("value"))
+    _write_lines(lines, ["variable", SITE, "year"], path)
+
+
+def _write_lines(lines: DataFrame, folders: list[str], path: str) -> None:
+    out = lines.repartition(*folders).sortWithinPartitions(*folders, DATE)
+    out.drop(DATE).write.mode("overwrite").partitionBy(*folders).text(path)
 
 
 def write_flat(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
