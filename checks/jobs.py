@@ -776,7 +776,7 @@ SUFFIXES = {"fit_obs": "", "fit_mod": "_mod", "fit_bias": "_bias"}
 
 
 def _additive_curve(s, d):
-    days = response_days(s, d).cache()
+    days = stored(response_days(s, d), "response_days")
     model = L.fit_additive(days, TARGETS)
     return L.response_curve(days, model, "temp", SUFFIXES, steps=30)
 
@@ -809,6 +809,52 @@ def _soil_from_et(s, d):
     return L.soil_moisture_from_et(days)
 
 
+_LINE_DAYS = "SELECT sitename, date, temp, qc_nt, gpp_nt, gpp_mod FROM fx_daily WHERE temp IS NOT NULL AND gpp_nt IS NOT NULL AND gpp_mod IS NOT NULL"
+
+
+def _additive_line(s, d):
+    """A straight line in one predictor, for two targets."""
+    days = fx_daily(s, d).select("sitename", "date", "temp", "gpp_nt", "gpp_mod")
+    model = L.fit_additive(days, {"gpp_nt": "fit_nt", "gpp_mod": "fit_mod"}, ("temp",), knots=0, degree=1, warm=False)
+    return model.transform(days).select("sitename", "date", "fit_nt", "fit_mod")
+
+
+query(
+    "fit_additive_line",
+    rsql(
+        f"""SELECT sitename, date, a1 + b1 * temp AS fit_nt, a2 + b2 * temp AS fit_mod FROM fx_daily, (SELECT regr_slope(gpp_nt, temp) AS b1,
+        regr_intercept(gpp_nt, temp) AS a1, regr_slope(gpp_mod, temp) AS b2, regr_intercept(gpp_mod, temp) AS a2 FROM ({_LINE_DAYS}))""",
+        OM,
+        "fit_nt fit_mod",
+    ),
+)(_additive_line)
+
+
+def _additive_invariants(s, d):
+    """The smooth fit of two predictors leaves no mean error and, given a line to fit, is that line."""
+    days = fx_daily(s, d).select("sitename", "date", "temp", "qc_nt", "gpp_nt", "gpp_mod").withColumn("line", F.col("temp") * 2 - F.col("qc_nt"))
+    model = L.fit_additive(days, {"gpp_nt": "fit_nt", "line": "fit_line"}, ("temp", "qc_nt"), warm=False)
+    known = model.transform(days.where("gpp_nt IS NOT NULL AND temp IS NOT NULL AND qc_nt IS NOT NULL"))
+    return known.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg("gpp_nt").alias("observed"),
+        F.avg("fit_nt").alias("fitted"),
+        F.max(F.abs(F.col("line") - F.col("fit_line"))).alias("off_line"),
+        (F.sum(F.pow(F.col("gpp_nt") - F.col("fit_nt"), 2)) <= F.regr_syy("gpp_nt", "gpp_nt")).alias("no_worse_than_mean"),
+    )
+
+
+query(
+    "fit_additive_invariants",
+    rsql(
+        """SELECT count(*) AS n, avg(gpp_nt) AS observed, avg(gpp_nt) AS fitted, 0.0 AS off_line, TRUE AS no_worse_than_mean FROM fx_daily
+        WHERE gpp_nt IS NOT NULL AND temp IS NOT NULL AND qc_nt IS NOT NULL""",
+        "n, no_worse_than_mean",
+        "observed fitted off_line",
+        4,
+    ),
+    digits=4,
+)(_additive_invariants)
 query("fit_additive_response_curve")(_additive_curve)
 query("fit_additive_skill")(_additive_skill)
 query("fit_response_curve")(_tree_curve)
