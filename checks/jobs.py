@@ -763,6 +763,31 @@ query("gapfill_regression")(
 )
 
 
+def _out_of_fold(s, d):
+    """What gap filling must keep whatever the model: rows, known values, and no gap where predictors are known."""
+    days = fx_daily(s, d).select("sitename", "date", decimal_year(F.col("date")).alias("year_dec"), "et", "qc_nt", "gpp_mod", F.col("gpp_nt").alias("target"))
+    filled, quality = L.gapfill_out_of_fold(days, "target", ["et", "qc_nt", "gpp_mod"])
+    raw = days.select("sitename", "date", F.col("target").alias("raw"))
+    kept = filled.join(raw, ["sitename", "date"]).groupBy("sitename").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count("target").alias("n_filled"),
+        F.sum(F.when(F.col("raw").isNotNull(), F.col("target"))).alias("known"),
+    )
+    pooled = quality.select(F.lit(-1).cast("bigint").alias("sitename"), F.col("nvals").alias("n"), F.col("nvals").alias("n_filled"), F.lit(None).cast("double").alias("known"))
+    return kept.union(pooled)
+
+
+query(
+    "gapfill_out_of_fold",
+    rsql(
+        """SELECT sitename, count(*) AS n, count(*) AS n_filled, sum(gpp_nt) AS known FROM fx_daily GROUP BY sitename
+        UNION ALL SELECT -1, count(gpp_nt), count(gpp_nt), NULL FROM fx_daily""",
+        "sitename, n, n_filled",
+        "known",
+    ),
+)(_out_of_fold)
+
+
 def response_days(s, d):
     scored = U.score_light_use(light(s, d))
     return scored.select(
@@ -859,3 +884,23 @@ query("fit_additive_response_curve")(_additive_curve)
 query("fit_additive_skill")(_additive_skill)
 query("fit_response_curve")(_tree_curve)
 query("soil_moisture_from_et")(_soil_from_et)
+# without gaps nothing is learned: the balance of the days themselves
+_ET_DAYS = f"""SELECT sitename, date, et / 50 AS inflow, et * 1e4 / 2.26476e6 AS outflow, row_number() OVER (PARTITION BY sitename ORDER BY date) AS i FROM fx_daily"""
+query(
+    "soil_moisture_without_gaps",
+    f"""WITH RECURSIVE steps AS ({_ET_DAYS}),
+      queue AS (SELECT sitename, NULL::DATE AS date, inflow, outflow, i FROM steps WHERE i <= 365 UNION ALL
+        SELECT s.sitename, s.date, inflow, outflow, i + n FROM steps s JOIN (SELECT sitename, least(count(*), 365) AS n FROM steps GROUP BY sitename) c USING (sitename)),
+      run AS (SELECT sitename, 0::BIGINT AS i, NULL::DATE AS date, 220.0::DOUBLE AS s FROM (SELECT DISTINCT sitename FROM steps)
+        UNION ALL SELECT q.sitename, q.i, q.date, CAST(least(greatest(0.0, s + inflow - outflow - greatest(0.0, s + inflow - 220.0)), 220.0) AS DOUBLE)
+        FROM run r JOIN queue q ON q.sitename = r.sitename AND q.i = r.i + 1)
+      {rsql('SELECT sitename, date, s AS soilm_from_et FROM run WHERE date IS NOT NULL', OM, 'soilm_from_et')}""",
+)(
+    lambda s, d: L.soil_moisture_from_et(
+        fx_daily(s, d).select(
+            "sitename", "date", decimal_year(F.col("date")).alias("year_dec"), (F.col("et") / 50).alias("prec"),
+            (F.col("et") * 1e4).alias("le_f_mds"), "gpp_mod", "qc_nt",
+        ),
+        predictors=("gpp_mod", "qc_nt"),
+    ).select("sitename", "date", "soilm_from_et")
+)

@@ -60,42 +60,62 @@ def roughness(breaks: np.ndarray, pieces: np.ndarray) -> np.ndarray:
     return out
 
 
-def _summing(splines: dict[str, tuple[np.ndarray, np.ndarray]], targets: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The Arrow function of the pass: products of all columns of (1, basis functions, targets), summed per task."""
-    terms = list(splines.values())
-    names = list(splines)
+def _summing(
+    splines: dict[str, tuple[np.ndarray, np.ndarray]], targets: list[str], folds: int
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The Arrow function of the pass: products of all columns of (1, basis functions, targets), summed per task.
+
+    With folds there is a sum for each, of the rows outside it; a predictor that is a list has one value per fold.
+    """
+
+    def products(columns: dict[str, np.ndarray]) -> np.ndarray:
+        n = len(columns[targets[0]])
+        parts = [np.ones((n, 1))]
+        for name, (breaks, pieces) in splines.items():
+            x = columns[name]
+            at = np.clip(np.searchsorted(breaks, x, "right") - 1, 0, len(pieces) - 1)
+            gap = x - breaks[at]
+            value = np.zeros((len(x), pieces.shape[1]))
+            for power in range(pieces.shape[2]):
+                value += pieces[at, :, power] * (gap**power)[:, None]
+            parts.append(value)
+        rows = np.hstack([*parts, *[columns[t][:, None] for t in targets]])
+        return rows.T @ rows
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        totals: dict[int, np.ndarray] = {}
         for batch in batches:
-            columns = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(batch.schema.names)}
-            parts = [np.ones((batch.num_rows, 1))]
-            for name, (breaks, pieces) in zip(names, terms):
-                x = columns[name]
-                at = np.clip(np.searchsorted(breaks, x, "right") - 1, 0, len(pieces) - 1)
-                gap = x - breaks[at]
-                value = np.zeros((len(x), pieces.shape[1]))
-                for power in range(pieces.shape[2]):
-                    value += pieces[at, :, power] * (gap**power)[:, None]
-                parts.append(value)
-            rows = np.hstack([*parts, *[columns[t][:, None] for t in targets]])
-            total = rows.T @ rows if total is None else total + rows.T @ rows
-        if total is not None:
+            columns = {}
+            for name, column in zip(batch.schema.names, batch.columns):
+                values = column.flatten() if pa.types.is_list(column.type) else column
+                columns[name] = values.to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            for fold in range(folds) if folds else [-1]:
+                used = slice(None) if fold < 0 else columns["_fold"][:, 0] != fold
+                chosen = {n: c[used, max(fold, 0) if c.shape[1] > 1 else 0] for n, c in columns.items()}
+                if folds:  # a row whose list has nothing for this fold has no place in its sum
+                    known = ~np.any([np.isnan(chosen[n]) for n in splines], axis=0) if splines else slice(None)
+                    chosen = {n: c[known] for n, c in chosen.items()}
+                totals[fold] = totals.get(fold, 0.0) + products(chosen)
+        for fold, total in totals.items():
             i, j = np.triu_indices(len(total))
-            yield pa.record_batch([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j])], ["i", "j", "v"])
+            arrays = [pa.array(np.full(len(i), fold), pa.int32()), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j])]
+            yield pa.record_batch(arrays, ["fold", "i", "j", "v"])
 
     return sums
 
 
-def gram_matrix(train: DataFrame, splines: dict[str, tuple[np.ndarray, np.ndarray]], targets: list[str]) -> np.ndarray:
-    """Sums of products of (1, basis functions, targets) over all rows; only its entries reach the driver."""
-    rows = train.select(*[F.col(c).cast("double") for c in dict.fromkeys([*splines, *targets])])
-    sums = rows.mapInArrow(_summing(splines, targets), "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
+def gram_matrices(
+    train: DataFrame, splines: dict[str, tuple[np.ndarray, np.ndarray]], targets: list[str], folds: int = 0
+) -> list[np.ndarray]:
+    """Sums of products of (1, basis functions, targets), one of all rows or, per fold (column ``_fold``), one of the
+    rows outside it. Only their entries reach the driver."""
+    rows = train.select(*dict.fromkeys([*splines, *targets]), *(["_fold"] if folds else []))
+    sums = rows.mapInArrow(_summing(splines, targets, folds), "fold int, i int, j int, v double")
     size = 1 + sum(p.shape[1] for _, p in splines.values()) + len(targets)
-    out = np.zeros((size, size))
-    for r in sums.collect():
-        out[r.i, r.j] = out[r.j, r.i] = r.v
-    return out
+    out = np.zeros((max(folds, 1), size, size))
+    for r in sums.groupBy("fold", "i", "j").agg(F.sum("v").alias("v")).collect():
+        out[max(r.fold, 0), r.i, r.j] = out[max(r.fold, 0), r.j, r.i] = r.v
+    return list(out)
 
 
 @dataclass(frozen=True)
@@ -196,21 +216,46 @@ def fit_splines(
     ``knots`` inner breaks per predictor lie at its quantiles, equal ones counted once; a constant predictor has no
     spline. ``degree`` 1 without knots is a straight line. ``smoothness`` fixes what is otherwise chosen per predictor.
     """
+    doubles = train.select(*[F.col(c).cast("double").alias(c) for c in dict.fromkeys([*predictors, *targets])])
+    splines = splines_at_quantiles(doubles, predictors, knots, degree)
+    sums = gram_matrices(doubles, splines, list(targets))[0]
+    return Additive(splines, _fits(sums, splines, list(targets.values()), smoothness))
+
+
+def splines_at_quantiles(train: DataFrame, predictors: tuple[str, ...], knots: int, degree: int = 3) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Breaks and pieces per predictor that is not constant."""
     probs = {f"q{i}": i / (knots + 1) for i in range(knots + 2)}
-    quantiles = {r.series: [r[q] for q in probs] for r in values_of(train, list(predictors), [], probabilities(probs)).collect()}
-    splines = {}
-    for p in predictors:
-        breaks = np.unique(quantiles.get(p, []))
-        if len(breaks) > 1:
-            splines[p] = (breaks, spline_pieces(breaks, degree))
-    sums = gram_matrix(train, splines, list(targets))
-    size = len(sums) - len(targets)
+    table = values_of(train, list(predictors), [], probabilities(probs))
+    quantiles = {r.series: [r[q] for q in probs] for r in table.collect()}
+    breaks = {p: np.unique(quantiles.get(p, [])) for p in predictors}
+    return {p: (b, spline_pieces(b, degree)) for p, b in breaks.items() if len(b) > 1}
+
+
+def _fits(
+    sums: np.ndarray, splines: dict[str, tuple[np.ndarray, np.ndarray]], names: list[str], smoothness: float | None = None
+) -> dict[str, Fit | None]:
+    size = len(sums) - len(names)
     blocks, at = [], 1
     for breaks, pieces in splines.values():
         blocks.append((slice(at, at + pieces.shape[1]), roughness(breaks, pieces)))
         at += pieces.shape[1]
-    fits: dict[str, Fit | None] = {}
-    for i, name in enumerate(targets.values()):
-        y, fixed = size + i, None if smoothness is None else [smoothness] * len(blocks)
-        fits[name] = penalised_fit(sums[:size, :size], sums[:size, y], sums[y, y], blocks, fixed) if sums[0, 0] else None
-    return Additive(splines, fits)
+    fixed = None if smoothness is None else [smoothness] * len(blocks)
+    return {
+        name: penalised_fit(sums[:size, :size], sums[:size, y], sums[y, y], blocks, fixed) if sums[0, 0] else None
+        for y, name in enumerate(names, size)
+    }
+
+
+def fit_out_of_fold(
+    train: DataFrame, target: str, predictors: tuple[str, ...], lists: tuple[str, ...], folds: int, knots: int = 8
+) -> list[Additive]:
+    """One model per fold (column ``_fold``) that has seen none of its rows, all from one pass.
+
+    A predictor in ``lists`` is an array with one value per fold, for what must itself be made without the fold; the
+    model of a fold reads that fold's value, as a straight line, since quantiles would know all folds.
+    """
+    line = np.array([0.0, 1.0])
+    splines = splines_at_quantiles(train, tuple(p for p in predictors if p not in lists), knots)
+    splines |= {p: (line, spline_pieces(line, 1)) for p in lists}
+    sums = gram_matrices(train, splines, [target], folds)
+    return [Additive(splines, _fits(s, splines, ["_prediction"])) for s in sums]

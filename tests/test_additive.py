@@ -105,3 +105,36 @@ def test_constant_predictors_ties_and_no_rows(spark):
     assert fitted(df, model) == pytest.approx([float(i % 2) * 3 for i in range(50)], abs=1e-6)
     none = S.fit_splines(df.limit(0), {"y": "fit"}, ("u", "v"))
     assert {r.fit for r in none.transform(df).collect()} == {None}
+
+
+def test_folds_do_not_see_their_rows(spark, series):
+    """Changing the known values of one site-year changes no prediction in it."""
+    rng = np.random.default_rng(9)
+    rows = {}
+    for s in "abcd":
+        rows[s] = [(float(x), None if rng.random() < 0.2 else float(3 * x + ord(s) + rng.normal(0, 0.1)), 2001 + i / 365) for i, x in enumerate(rng.uniform(0, 5, 800))]
+    df = series(rows, "x", "y", "year_dec")
+    one = F.expr("sitename = 'b' AND year_dec >= 2002 AND year_dec < 2003")
+    other = df.withColumn("y", F.when(one & F.col("y").isNotNull(), F.col("y") * 100 - 7).otherwise(F.col("y")))
+    keys = ["sitename", "year_dec"]
+
+    def gaps(frame):
+        filled, quality = L.gapfill_out_of_fold(frame, "y", ["x"])
+        table = filled.join(frame.select(*keys, F.col("y").alias("raw")), keys)
+        return table.where(one & F.col("raw").isNull()).orderBy(*keys).collect(), table, quality.first()
+
+    first, table, quality = gaps(df)
+    second, _, _ = gaps(other)
+    assert len(first) > 20 and [r.y for r in first] == pytest.approx([r.y for r in second], rel=1e-6)
+    assert table.where("raw IS NOT NULL AND raw <> y OR y IS NULL").isEmpty() and table.count() == 3200
+    truth = {s: ord(s) for s in "abcd"}
+    wrong = [abs(r.y - 3 * r.x - truth[r.sitename]) for r in table.where("raw IS NULL").collect()]
+    assert max(wrong) < 1.0 and quality.rsq > 0.99 and quality.nvals == table.where("raw IS NOT NULL").count()
+
+
+def test_out_of_fold_with_few_rows(series):
+    df = series({"a": [(1.0, None, 2001.0), (2.0, None, 2001.5)], "b": [(None, 1.0, 2001.0), (None, 2.0, 2001.5)]}, "x", "y", "year_dec")
+    filled, quality = L.gapfill_out_of_fold(df, "y", ["x"])
+    assert filled.columns == df.columns and filled.where("sitename = 'b'").where("y IS NULL").isEmpty() and filled.count() == 4
+    assert quality.first().nvals == 0
+    assert L.gapfill_out_of_fold(df.limit(0), "y", ["x"])[0].count() == 0
