@@ -391,6 +391,32 @@ query(
     FROM k0, b, (SELECT unnest(range(11)) AS i) GROUP BY i)
     {rsql('SELECT * FROM k1 UNION ALL SELECT * FROM k2', 'round', 'value cost')}""",
 )(_calibrate_kphio)
+
+
+def _box_model(values):
+    modelled = F.col("gpp_mod") * values["a"] + F.col("temp") * values["b"]
+    return {"gpp_nt": modelled, "gpp_dt": modelled * 0.95}
+
+
+_BOX_COST = """sqrt(avg((a * gpp_mod + b * temp - gpp_nt) ** 2)) AS nt, sqrt(avg(((a * gpp_mod + b * temp) * 0.95 - gpp_dt) ** 2)) AS dt
+  FROM fx_daily, {grid} GROUP BY ALL"""
+_BOX_GRID = "(SELECT unnest(range(5)) AS i), (SELECT unnest(range(5)) AS j)"
+query(
+    "calibrate_box",
+    f"""WITH g1 AS (SELECT 0.4::DOUBLE + 0.8::DOUBLE / 4 * i AS a, -0.2::DOUBLE + 0.4::DOUBLE / 4 * j AS b FROM {_BOX_GRID}),
+    c1 AS (SELECT 1 AS round, a, b, {_BOX_COST.format(grid='g1')}),
+    best AS (SELECT arg_min(a, nt + 2 * dt) AS a, arg_min(b, nt + 2 * dt) AS b FROM c1),
+    box AS (SELECT greatest(0.4, a - 0.2) AS a0, least(1.2, a + 0.2) AS a1, greatest(-0.2, b - 0.1) AS b0, least(0.2, b + 0.1) AS b1 FROM best),
+    g2 AS (SELECT a0 + (a1 - a0) / 4 * i AS a, b0 + (b1 - b0) / 4 * j AS b FROM box, {_BOX_GRID}),
+    c2 AS (SELECT 2 AS round, a, b, {_BOX_COST.format(grid='g2')}),
+    tried AS (SELECT round, a, b, unnest(['gpp_nt', 'gpp_dt']) AS target, unnest([nt, dt]) AS cost FROM (SELECT * FROM c1 UNION ALL SELECT * FROM c2))
+    {rsql('SELECT * FROM tried', 'round, target', 'a b cost')}""",
+)(
+    lambda s, d: C.calibrate_box(
+        fx_daily(s, d).select("gpp_nt", "gpp_dt", "gpp_mod", "temp"), _box_model, {"a": (0.4, 1.2), "b": (-0.2, 0.2)},
+        {"gpp_nt": 1.0, "gpp_dt": 2.0}, rounds=2,
+    ).drop("candidate")
+)
 _DAYS = f"""SELECT o.sitename, o.date, CASE WHEN NOT f.flag THEN gpp_obs END AS gpp_obs FROM ({CALIB}) o
   LEFT JOIN (SELECT * FROM ({FLAGS}) WHERE cluster IS NOT NULL) f USING (sitename, date)
   WHERE o.sitename IN (SELECT sitename FROM fx_site WHERE coalesce(NOT c4, TRUE))"""

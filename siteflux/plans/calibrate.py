@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from itertools import product
 from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,7 +16,7 @@ from siteflux.functions.rows import keep_not_c4
 from siteflux.operators.masks import calibration_filter, mask_flagged_days, threshold_filter
 from siteflux.operators.skill import cost_column
 from siteflux.settings import CalibSettings
-from siteflux.sources.sinks import stored
+from siteflux.sources.sinks import stored, workspace
 
 
 def frange(start: float, stop: float, step: float) -> list[float]:
@@ -177,3 +178,67 @@ def calibrate_grid(
         best = min(known, key=lambda r: r.cost).value
         low, high = max(lower, best - gap), min(upper, best + gap)
     return df.sparkSession.createDataFrame(tried, "round INT, value DOUBLE, cost DOUBLE")
+
+
+#: Candidates of one round: each is a few sums of one aggregate over the rows.
+MOST_CANDIDATES = 512
+
+
+def calibrate_box(
+    df: DataFrame,
+    model: Callable[[dict[str, float]], dict[str, Column]],
+    box: dict[str, tuple[float, float]],
+    weights: dict[str, float],
+    steps: int = 5,
+    rounds: int = 3,
+    kind: str = "rmse",
+) -> DataFrame:
+    """Search several parameters at once against several targets, in a box that is halved around the best each round.
+
+    ``model`` gives, for values of the parameters, the modelled column of every observed one; ``weights`` names the
+    observed columns and what their cost counts in the sum that is minimised. A round tries ``steps`` values per
+    parameter, ends included, and all its candidates are one aggregate over the rows, which are written once and
+    deleted at the end; only a cost per target and candidate reaches the driver. Pass only the columns the model needs.
+    Returns ``round, candidate, <parameters>, target, cost``; a target without a pair has no cost, and its candidate
+    cannot be the best.
+    """
+    if steps < 2 or steps ** len(box) > MOST_CANDIDATES:
+        raise ValueError(f"a round of {steps} steps for {len(box)} parameters must have 2 to {MOST_CANDIDATES} candidates")
+    names, now, tried = list(box), dict(box), []
+    with workspace(df.sparkSession) as folder:
+        rows = stored(df, "calibration_rows", folder)
+        for number in range(1, rounds + 1):
+            axes = [[low + (high - low) / (steps - 1) * i for i in range(steps)] for low, high in now.values()]
+            candidates = [dict(zip(names, values)) for values in product(*axes)]
+            modelled = rows.select(
+                *weights, *[model(c)[t].alias(f"_m{i}_{j}") for i, c in enumerate(candidates) for j, t in enumerate(weights)]
+            )
+            costs = modelled.agg(
+                *[cost_column(kind, t, f"_m{i}_{j}").alias(f"c{i}_{j}") for i in range(len(candidates)) for j, t in enumerate(weights)]
+            ).first()
+            totals = {}
+            for i, c in enumerate(candidates):
+                own = [costs[f"c{i}_{j}"] for j in range(len(weights))]
+                tried += [(number, i, *map(float, c.values()), t, cost) for t, cost in zip(weights, own)]
+                if None not in own:
+                    totals[i] = sum(w * cost for w, cost in zip(weights.values(), own))
+            if not totals:
+                break
+            best = candidates[min(totals, key=totals.__getitem__)]
+            now = {
+                n: (max(box[n][0], best[n] - (high - low) / 4), min(box[n][1], best[n] + (high - low) / 4))
+                for n, (low, high) in now.items()
+            }
+    parameters = ", ".join(f"`{n}` DOUBLE" for n in names)
+    return df.sparkSession.createDataFrame(tried, f"round INT, candidate INT, {parameters}, target STRING, cost DOUBLE")
+
+
+def best_in_box(tried: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """The parameters of the least weighted sum of costs, and that sum."""
+    fixed = {"round", "candidate", "target", "cost"}
+    names = [c for c in tried.columns if c not in fixed]
+    weight = F.create_map(*[F.lit(x) for t, w in weights.items() for x in (t, float(w))])
+    total = F.when(F.count("cost") == len(weights), F.sum(F.element_at(weight, F.col("target")) * F.col("cost")))
+    sums = tried.groupBy("round", "candidate", *names).agg(total.alias("cost")).where("cost IS NOT NULL")
+    best = sums.agg(F.min(F.struct("cost", "round", "candidate", *names)).alias("b"))
+    return best.where("b IS NOT NULL").select(*[F.col(f"b.{n}").alias(n) for n in names], F.col("b.cost").alias("cost"))

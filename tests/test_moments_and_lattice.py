@@ -91,3 +91,25 @@ def test_lattice_equals_one_scan_per_cutoff(spark):
 
 def test_lattice_keeps_a_bounded_number_of_cells(spark):
     assert C.sensitivity_sweep(spark.range(5000).select(*[F.rand(i).alias(c) for i, c in enumerate(("gpp_obs", "gpp_mod", "temp", "soilm_mean"))]), 0.05).count() == 38
+
+
+def test_box_closes_in_on_two_parameters_for_two_targets(spark):
+    rng = np.random.default_rng(3)
+    rows = [(float(x), float(z), float(0.7 * x + 2.5 * z), float(2 * (0.7 * x + 2.5 * z))) for x, z in rng.uniform(0, 9, (300, 2))]
+    df = spark.createDataFrame([*rows, (1.0, None, 5.0, 5.0)], "x DOUBLE, z DOUBLE, one DOUBLE, two DOUBLE")
+
+    def model(values):
+        y = F.col("x") * values["a"] + F.col("z") * values["b"]
+        return {"one": y, "two": y * 2}
+
+    weights = {"one": 1.0, "two": 0.5}
+    tried = C.calibrate_box(df, model, {"a": (0.0, 1.0), "b": (0.0, 4.0)}, weights, rounds=9)
+    assert tried.columns == ["round", "candidate", "a", "b", "target", "cost"] and tried.count() == 9 * 25 * 2
+    best = C.best_in_box(tried, weights).first()
+    assert best.a == pytest.approx(0.7, abs=0.01) and best.b == pytest.approx(2.5, abs=0.01)
+    outside = tried.where("a < 0 OR a > 1 OR b < 0 OR b > 4")
+    assert outside.isEmpty()
+    none = C.calibrate_box(df.limit(0), model, {"a": (0.0, 1.0), "b": (0.0, 4.0)}, weights, rounds=3)
+    assert none.count() == 50 and C.best_in_box(none, weights).isEmpty()
+    with pytest.raises(ValueError):
+        C.calibrate_box(df, model, {"a": (0.0, 1.0), "b": (0.0, 4.0)}, weights, steps=30)
