@@ -289,7 +289,8 @@ query(
         f"""SELECT sitename, date, fapar * ppfd * lue AS dgpp, {_COVER} * ppfd / 86400 * 0.015 * vcmax_unitiabs * 86400 AS drd,
         {_COVER} * ppfd * 1.6 * 0.0579 * fa * m * vpd / (ca - chi * ca) / 100 / 10 AS dtransp,
         {_COVER} * ppfd / 864 * vcmax_unitiabs / (fapar * 6 + 0.1) AS leaf_vcmax,
-        {_COVER} * ppfd / 864 * factor25_vcmax * vcmax_unitiabs * 5.5e5 * 1.14e-2 / (2.33 * 8) / 100 / (fapar * 6 + 0.1) AS leaf_n,
+        {_COVER} * max(ppfd / 864 * factor25_vcmax * vcmax_unitiabs * 5.5e5 * 1.14e-2 / (2.33 * 8) / 100) OVER (PARTITION BY sitename, year(date))
+        / (fapar * 6 + 0.1) AS leaf_n,
         vcmax25 * 5.5e5 * 1.14e-2 * 14.0067 / (3.5 * 8) / 1000 AS n_rubisco_area FROM ({score_sql('full')})""",
         OM,
         "dgpp drd dtransp leaf_vcmax leaf_n n_rubisco_area",

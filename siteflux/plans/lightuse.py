@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from siteflux import DATE, SITE
 from siteflux.functions.atmosphere import BASE_TEMPERATURE_SCORING, STANDARD_PRESSURE, air_pressure
+from siteflux.operators.groups import with_stats
 
 # Fixed values of the scoring model.
 KPHIO = 0.0579
@@ -105,10 +106,13 @@ def score_light_use(
     """Add the scoring columns (``OUTPUTS``) to a table of daily or cell forcing.
 
     ``vpd`` in Pa, ``elv`` in m, ``co2`` in ppm. Without ``cpalpha`` the moisture index is 1. ``approx`` has
-    no carboxylation columns (null). A score that is not a real number is null.
+    no carboxylation columns (null). A score that is not a real number is null. A column of the input that is called
+    like an output is an error: rename it.
     """
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}")
+    if clash := [c for c in df.columns if c in OUTPUTS]:
+        raise ValueError(f"columns of the input are called like outputs: {clash}")
     kphio = F.lit(kphio) if isinstance(kphio, float) else kphio
     beta = F.lit(beta) if isinstance(beta, float) else beta
     t, d = F.col(tc), F.col(vpd)
@@ -188,7 +192,7 @@ def score_light_use(
             **{f"{n}_unitfapar": light * F.col(f"{n}_unitiabs") for n in names},
         }
     )
-    return out.select(*[c for c in df.columns if c not in OUTPUTS], *OUTPUTS)
+    return out.select(*df.columns, *OUTPUTS)
 
 
 def _chi_m_n(out: DataFrame, method: str, t: Column, d: Column, elv: Column) -> DataFrame:
@@ -238,21 +242,26 @@ def fapar_of_lai(lai: Column) -> Column:
 
 
 def scale_leaf_columns(
-    df: DataFrame, lai: str = "lai", dppfd: str = "dppfd", mean_ppfd: str = "mean_ppfd", fapar: str = "fapar"
+    df: DataFrame, lai: str = "lai", dppfd: str = "dppfd", mean_ppfd: str = "mean_ppfd", fapar: str = "fapar",
+    period: list[str] | None = None,
 ) -> DataFrame:
     """Daily canopy columns from scored unit columns, leaf area and light.
 
-    ``dppfd`` is mol photons per day, ``mean_ppfd`` the period mean per second.
+    ``dppfd`` is mol photons per day, ``mean_ppfd`` the period mean per second. Leaves hold the nitrogen that the
+    period's strongest demand asks for: ``leaf_n`` follows the maximum over ``period`` (default: the site's year).
     """
     cover, area = F.col("_cover"), F.col(lai)
     out = df.withColumn("_cover", fapar_of_lai(area))
+    if period is None:
+        out = out.withColumn("_year", F.year(DATE))
+    out = with_stats(out, period or [SITE, "_year"], _peak=F.max(F.col(mean_ppfd) * F.col("actnv_unitiabs")))
     return out.withColumns(
         {
             "dgpp": F.col(fapar) * F.col(dppfd) * F.col("lue"),
             "drd": cover * F.col(mean_ppfd) * F.col("rd_unitiabs") * 86400.0,
             "dtransp": cover * F.col(dppfd) * F.col("transp_unitiabs"),
             "leaf_vcmax": F.try_divide(cover * F.col(mean_ppfd) * F.col("vcmax_unitiabs"), area),
-            "leaf_n": F.try_divide(cover * F.col(mean_ppfd) * F.col("actnv_unitiabs"), area),
+            "leaf_n": F.try_divide(cover * F.col("_peak"), area),
             "n_rubisco_area": F.col("vcmax25") * NITROGEN_AREA,
         }
-    ).drop("_cover")
+    ).drop("_cover", "_year", "_peak")

@@ -303,3 +303,21 @@ def test_observations_without_soil_water(series):
     out = build_observations(df).orderBy("date").collect()
     assert out[0].gpp_obs is None and out[1].gpp_obs == 2.5
     assert out[0].transp_obs == 864000.0 and out[0].soilm_obs_mean is None
+
+
+def test_scoring_refuses_columns_called_like_its_outputs(series):
+    df = series({"a": [(10.0, 0.5, 20.0, 500.0, 400.0, 100.0)]}, "temp", "fapar", "ppfd", "vpd", "co2", "elv")
+    with pytest.raises(ValueError, match="gpp"):
+        U.score_light_use(df.withColumn("gpp", F.lit(1.0)))
+
+
+def test_leaf_nitrogen_follows_the_years_strongest_demand(series):
+    names = ("temp", "fapar", "ppfd", "vpd", "co2", "elv", "lai", "dppfd", "mean_ppfd")
+    days = [(10.0 + i, 0.5, 20.0, 500.0, 400.0, 100.0, 2.0, 20.0, 1e-4 * (1 + i)) for i in range(4)]
+    out = U.scale_leaf_columns(U.score_light_use(series({"a": days, None: days}, *names, start=dt.date(2001, 12, 30))))
+    rows = sorted(out.collect(), key=lambda r: (str(r.sitename), r.date))
+    assert not {"_peak", "_year", "_cover"} & set(out.columns)
+    for site in (rows[:4], rows[4:]):
+        for year in (site[:2], site[2:]):
+            peak = max(r.mean_ppfd * r.actnv_unitiabs for r in year)
+            assert [r.leaf_n for r in year] == pytest.approx([(1 - math.exp(-1.0)) * peak / 2.0] * 2)
