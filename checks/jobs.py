@@ -623,7 +623,8 @@ query("build_observations", OBSERVATIONS)(lambda s, d: B.build_observations(towe
 
 
 def _code(site):
-    return F.concat(F.lit("AA-"), F.lpad(site.cast("string"), 3, "0"))
+    """Three digits to base 36, as tower codes have three characters."""
+    return F.concat(F.lit("AA-"), F.lpad(F.conv(site.cast("string"), 10, 36), 3, "0"))
 
 
 def _tower_folder(s, d, rows=tower_raw):
@@ -651,7 +652,7 @@ def observations_of_files(s, d):
 
 query(
     "observations_from_files",
-    f"SELECT * REPLACE ('AA-' || lpad(CAST(sitename AS VARCHAR), 3, '0') AS sitename) FROM ({OBSERVATIONS})",
+    f"SELECT * REPLACE ('AA-' || to_base(sitename, 36, 3) AS sitename) FROM ({OBSERVATIONS})",
 )(observations_of_files)
 def _meteo_raw(s, d):
     return fx_daily(s, d).where("et > 300").select(
@@ -677,7 +678,7 @@ _ALL_MERGED = f"""SELECT sitename, date, coalesce(t.temp, r.temp, g.temp) AS tem
   coalesce(t.gpp_nt * 100, r.vpd * 1000, g.vpd * 1000) / 1000 AS vpd, coalesce(t.gpp_mod * 86400 * 2.04e-6, r.ppfd) AS ppfd, g.ccov
   FROM ({_SPINE}) LEFT JOIN (SELECT * FROM fx_daily WHERE et > 300) t USING (sitename, date) LEFT JOIN ({_REANALYSIS}) r USING (sitename, date)
   LEFT JOIN ({_STATION}) g USING (sitename, date)"""
-_ALL_INPUTS = f"""SELECT 'AA-' || lpad(CAST(c.sitename AS VARCHAR), 3, '0') AS sitename, c.date, temp, prec, vpd, ppfd, ccov, fapar
+_ALL_INPUTS = f"""SELECT 'AA-' || to_base(c.sitename, 36, 3) AS sitename, c.date, temp, prec, vpd, ppfd, ccov, fapar
   FROM ({fill_sql(_ALL_MERGED, ['temp', 'vpd', 'ppfd', 'ccov'], ', coalesce(prec, 0) AS prec')}) c JOIN
   (SELECT sitename, date, coalesce(soilm, avg(soilm) OVER (PARTITION BY sitename, dayofyear(date))) AS fapar
   FROM ({_SPINE}) LEFT JOIN (SELECT sitename, date, soilm FROM fx_daily) USING (sitename, date)) v USING (sitename, date)"""
