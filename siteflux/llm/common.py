@@ -2,33 +2,80 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import reduce
+from weakref import WeakKeyDictionary
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteflux.sources.sinks import stored
+from siteflux.sources.sinks import remove, scratch_dir, stored
 
 #: White space that separates words: the space and the controls tab to carriage return.
 SPACE = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows of a small table that may be broadcast; beyond this a join is dealt by salted keys.
 BROADCAST_ROWS = 100_000
 
+#: Folders of the tables stored inside the open blocks of ``temporary_tables``, the innermost block last.
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("open_blocks", default=())
+_FOLDERS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Store a table in the shared folder and read it back: no later step recomputes it or loses it with an executor.
 
-    What was shuffled to make it is of no use any more, so Spark is asked to delete those files when the write ends.
+@contextmanager
+def configured(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """The session with another value of a setting."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``keep`` stores inside are deleted at the end, also after an error.
+
+    What a later step reads must be stored with ``leaves=True``: it belongs to the block around this one, if there is one.
     """
-    conf = df.sparkSession.conf
-    before = conf.get(CLEANUP, "false")
-    conf.set(CLEANUP, "true")
+    folders: list[str] = []
+    token = _OPEN.set((*_OPEN.get(), folders))
     try:
-        return stored(df, name)
+        yield
     finally:
-        conf.set(CLEANUP, before)
+        _OPEN.reset(token)
+        for folder in folders:
+            remove(spark, folder)
+
+
+def keep(df: DataFrame, name: str, leaves: bool = False) -> DataFrame:
+    """Store a table in the shared folder and read it back: no later step recomputes it or loses it with an executor.
+
+    What was shuffled to make it is of no use any more, so Spark is asked to delete those files when the write ends.
+    """
+    spark = df.sparkSession
+    folder = scratch_dir(spark)
+    blocks = _OPEN.get()[:-1] if leaves else _OPEN.get()
+    if blocks:
+        blocks[-1].append(folder)
+    with configured(spark, CLEANUP, "true"):
+        out = stored(df, name, folder)
+    _FOLDERS[out] = folder
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``keep`` returned, whose last reader has been written."""
+    for table in tables:
+        remove(table.sparkSession, _FOLDERS.pop(table))
 
 
 def text_of(col: str = "text") -> Column:
@@ -93,6 +140,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     the number of nodes, all steps are combinable minima and joins, and only an emptiness test reaches the
     driver. Nodes without an edge to another node have no row.
     """
+    with temporary_tables(edges.sparkSession):
+        return _components(edges, name)
+
+
+def _components(edges: DataFrame, name: str) -> DataFrame:
     pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     edges = keep(edges.where("a <> b").select(*pair).distinct(), f"{name}_edges")
     hooks: list[DataFrame] = []
@@ -101,11 +153,13 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         hook = ends.groupBy("node").agg(F.min("b").alias("_min"))
         hook = keep(hook.select("node", F.least("node", "_min").alias("to")), f"{name}_hooks")
         hooks.append(hook)
+        before = edges
         for end in ("a", "b"):
             edges = edges.join(hook, edges[end] == hook["node"]).drop(end, "node").withColumnRenamed("to", end)
         edges = keep(edges.where("a <> b").select(*pair).distinct(), f"{name}_edges")
+        drop(before)
     if not hooks:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        return keep(edges.select(F.col("a").alias("node"), F.col("b").alias("component")), name, leaves=True)
 
     def follow(found: DataFrame, hook: DataFrame) -> DataFrame:
         hook = hook.select(F.col("node").alias("_from"), F.col("to").alias("_to"))
@@ -113,4 +167,4 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         return out.select("node", F.coalesce("_to", "component").alias("component"))
 
     first = hooks[0].withColumnRenamed("to", "component")
-    return keep(reduce(follow, hooks[1:], first), name)
+    return keep(reduce(follow, hooks[1:], first), name, leaves=True)

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siteflux.llm import chat, common, cotrain, jaccard, lattice, licenses, lines, mixing, packing, rules, topk
+from siteflux.sources.sinks import scratch_dir
 
 DOCS = "doc_id LONG, text STRING, lang STRING, source STRING, n_chars LONG"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -337,6 +338,45 @@ def test_one_per_group(spark, corpus):
     assert jaccard.one_per_group(frame(spark, []), 4, 85).count() == 0
 
 
+def thue_morse(order):
+    word = "a"
+    for _ in range(order):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word
+
+
+def test_patterned_words_have_their_own_hashes(spark):
+    word = thue_morse(10)
+    other = word.translate(str.maketrans("ab", "ba"))
+    texts = [f"one two {word} three four", f"one two {other} three four", f"three two {word} one four", word, other, word + other, f"{word} {other}"]
+    sets = [jaccard.Shingler(4)(t).tolist() for t in texts]
+    assert len({h for s in sets for h in s}) == sum(map(len, sets)) == 10
+    rows = [(i, t, "s", "en", len(t)) for i, t in enumerate(texts)]
+    out = jaccard.near_groups(frame(spark, rows)).select("doc_id", "n_shingles", "component_id").collect()
+    assert Counter(map(tuple, out)) == jaccard_brute(rows, 4, 85)
+
+
+def test_hashes_do_not_depend_on_chunks(monkeypatch):
+    text = " ".join(f"Word{i % 97} x" for i in range(500))
+    whole = jaccard.Shingler(4)(text).tolist()
+    monkeypatch.setattr(jaccard, "CHUNK_BYTES", 7)
+    assert jaccard.Shingler(4)(text.lower()).tolist() == whole
+    assert len(whole) == len({tuple(text.lower().split()[i : i + 4]) for i in range(997)})
+
+
+def test_only_results_stay_in_the_shared_folder(spark, corpus, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "scratch_dir", lambda spark: scratch_dir(spark, str(tmp_path)))
+    docs = frame(spark, corpus)
+    assert jaccard.near_groups(docs).count() == len(corpus)
+    assert [p.name for p in tmp_path.glob("*/*")] == ["jaccard_documents"]
+    assert jaccard.one_per_group(docs).count() > 0
+    assert sorted(p.name for p in tmp_path.glob("*/*")) == ["jaccard_documents", "jaccard_marked"]
+    with pytest.raises(ZeroDivisionError), common.temporary_tables(spark):
+        common.keep(docs, "lost")
+        raise ZeroDivisionError
+    assert len(list(tmp_path.iterdir())) == 2
+
+
 # --- classifier -----------------------------------------------------------------------------------------------------
 
 
