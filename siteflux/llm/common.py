@@ -18,6 +18,7 @@ SPACE = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ROW_GROUP = "parquet.block.size"
 #: Rows of a small table that may be broadcast; beyond this a join is dealt by salted keys.
 BROADCAST_ROWS = 100_000
 

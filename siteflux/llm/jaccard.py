@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteflux.llm.common import BATCH_ROWS, components, configured, drop, keep, temporary_tables, wrapped
+from siteflux.llm.common import BATCH_ROWS, ROW_GROUP, components, configured, drop, keep, temporary_tables, wrapped
 
 WORDS, PERCENT = 4, 85
 #: Slots of the table of hashed n-gram counts that fixes which n-grams count as rare. Its size does not grow with the
@@ -21,8 +21,8 @@ SLOTS = 1 << 18
 SIGNATURE_BITS = 2048
 #: Longs of the coarse signature that rows of tiles carry.
 COARSE = 8
-#: Bytes of words that are hashed at once, and of sets that one batch of rows holds.
-CHUNK_BYTES, BATCH_BYTES = 1 << 20, 1 << 25
+#: Bytes of words that are hashed at once, of sets that one batch of rows holds, and of a stored group of rows.
+CHUNK_BYTES, BATCH_BYTES, GROUP_BYTES = 1 << 17, 1 << 21, 1 << 23
 #: Rows that a Python worker is handed at once: each carries a whole text or set.
 ROWS_AT_ONCE = 512
 #: Documents of one block of a tile.
@@ -229,7 +229,6 @@ def _verified(pairs: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int)
 
 
 def _intersected(pairs: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
@@ -320,7 +319,7 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spark = docs.sparkSession
-    with temporary_tables(spark), configured(spark, BATCH_ROWS, str(ROWS_AT_ONCE)):
+    with temporary_tables(spark), configured(spark, BATCH_ROWS, str(ROWS_AT_ONCE)), configured(spark, ROW_GROUP, str(GROUP_BYTES)):
         return keep(_grouped(keep(_sets(docs, words), "jaccard_sets"), percent), "jaccard_documents", leaves=True)
 
 
