@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +18,8 @@ BLOCK_ROWS, GROUP_QUERIES = 8192, 2048
 BINS = 4096
 #: Queries that are scored at once against a block.
 CHUNK = 256
-#: A vector whose squared length is above this could overflow a 64-bit score and takes no part.
-MOST_SQUARE = 2**62
+#: Scores and the distances between two of them are 64-bit: beyond this a pair's score might not fit.
+MOST_SCORE = 2**62 - 1
 
 
 def quantised(df: DataFrame, id_col: str, vector_col: str, scale: int = 1024) -> DataFrame:
@@ -27,12 +28,12 @@ def quantised(df: DataFrame, id_col: str, vector_col: str, scale: int = 1024) ->
     ``row`` tells rows with one id apart. The table must be stored before ``row`` is used twice.
     """
     x = F.transform(vector_col, lambda v: v.cast("double"))
-    fits = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) * scale < 2.0**31))
+    fits = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     vec = F.transform(x, lambda v: F.floor(v * scale))
     square = F.aggregate("vec", F.lit(0.0), lambda acc, v: acc + v.cast("double") * v.cast("double"))
     out = df.where(F.col(vector_col).isNotNull() & fits)
     out = out.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), vec.alias("vec"))
-    return out.withColumn("square", square).where(F.col("square") <= float(MOST_SQUARE)).where("id IS NOT NULL")
+    return out.withColumn("square", square).where("id IS NOT NULL")
 
 
 def _matrix(vecs: pa.ChunkedArray, width: int, dtype) -> np.ndarray:
@@ -99,15 +100,18 @@ def top_k(
 
     Vectors of unequal length are compared as if the shorter ended in zeros. Rows that repeat an id are candidates and
     queries of their own: a repeated query id has its ranks once per row. Null ids, null vectors, null or non-finite
-    components and vectors so long that scores overflow take no part. A query without candidates has no rows. Other
-    columns of ``df`` are not read.
+    components take no part. A query without candidates has no rows. Other columns of ``df`` are not read. Every finite
+    vector takes part; if the two longest ones are so long that a score might not fit 64 bits, an error is raised.
     """
     vectors = keep(quantised(df.select(id_col, vector_col), id_col, vector_col, scale), "topk_vectors")
-    seen = vectors.agg(F.count("*").alias("n"), F.max("square").alias("square"), F.count(F.when(is_query(F.col("id")), 1)).alias("q"))
-    seen = seen.first()
+    seen = vectors.agg(F.count("*").alias("n"), F.count(F.when(is_query(F.col("id")), 1)).alias("q")).first()
+    longest = [r["square"] for r in vectors.select("square").orderBy(F.desc("square")).limit(2).collect()]
     n_blocks, n_groups = max(1, -(-seen["n"] // BLOCK_ROWS)), max(1, -(-seen["q"] // GROUP_QUERIES))
-    bound = int(seen["square"] or 0) + 1
-    exact = bound < 2**52
+    # no score of two rows is beyond the product of the two greatest lengths
+    bound = int(math.prod(map(math.sqrt, longest)) * (1 + 1e-9)) + 1 if len(longest) == 2 else 1
+    if bound > MOST_SCORE:
+        raise ValueError(f"scores of the two longest vectors may reach {bound}, which may not fit 64 bits: use a smaller scale")
+    exact = bound < 2**52 and max(longest, default=0) < 2**52
     blocks = vectors.select(F.pmod(F.xxhash64("row"), F.lit(n_blocks)).alias("block"), "row", "id", "vec")
     blocks = blocks.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
     asked = vectors.where(is_query(F.col("id"))).select("row", "id", "vec")

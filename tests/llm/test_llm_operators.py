@@ -298,6 +298,20 @@ def test_rounds_of_packing_waste_little(spark):
     assert len(used) <= 1.05 * max(sum(sizes) / 1024, sum(s > 512 for s in sizes)) + 2
 
 
+def test_top_k_of_very_long_vectors(spark):
+    rows = [(0, [2.0**20 + 3, 0.0]), (1, [2.0**21, 1.0]), (2, [-1.0, 0.5]), (100, [-(2.0**15), 7.0]), (3, [0.25, 0.25]), (4, [0.0, float("inf")])]
+    out = topk.top_k(spark.createDataFrame(rows, "vec_id LONG, embedding ARRAY<DOUBLE>"), lambda i: i % 100 == 0, k=10).collect()
+    vecs = {i: [math.floor(1024 * x) for x in v] for i, v in rows[:-1]}
+    want = []
+    for q in (0, 100):
+        scored = sorted((-sum(x * y for x, y in zip(vecs[q], v)), i) for i, v in vecs.items() if i != q)
+        want += [(q, at, i, -score) for at, (score, i) in enumerate(scored, 1)]
+    assert sorted(map(tuple, out)) == want
+    huge = spark.createDataFrame([(0, [1e30]), (1, [1e30])], "vec_id LONG, embedding ARRAY<DOUBLE>")
+    with pytest.raises(ValueError, match="64 bits"):
+        topk.top_k(huge, lambda i: i % 100 == 0)
+
+
 # --- jaccard --------------------------------------------------------------------------------------------------------
 
 
