@@ -79,3 +79,26 @@ def test_targets_from_files_equal_targets_from_the_parsed_table(spark, towers):
     assert got[-1].sitename == "CC-Thr" and got[-1].gpp_obs is None
     water = soil_water_observations(raw).where("sitename = 'AA-One'")
     assert water.columns == ["sitename", "date", "SWC_F_MDS_1"] and water.where("SWC_F_MDS_1 IS NULL").isEmpty()
+
+
+def test_first_lines_of_many_small_files_take_few_tasks(spark, tmp_path):
+    for i in range(120):
+        (tmp_path / f"FLX_AA-{i:03d}_a.csv").write_text(f"TIMESTAMP,{'ab'[i % 2]}\n20010101,{i}\n")
+    paths = [r.path for r in R.list_files(spark, str(tmp_path)).collect()]
+    spark.sparkContext.setJobGroup("first-lines", "")
+    headers = R.file_headers(spark, paths)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("first-lines") for s in tracker.getJobInfo(j).stageIds}
+    assert sum(tracker.getStageInfo(s).numTasks for s in stages) < len(paths)
+    assert {line: len(files) for line, files in headers.items()} == {"TIMESTAMP,a": 60, "TIMESTAMP,b": 60}
+
+
+def test_first_lines_do_not_depend_on_the_length_of_files(spark, tmp_path):
+    texts = {"a": b"\xef\xbb\xbfx,y\r\n1,2\r\n", "b": b"x,y", "c": b"", "d": b"z\rw\n", "e e": b"z\n" * 5, "f": b"\n1\n"}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.csv").write_bytes(text)
+    paths = [r.path for r in R.list_files(spark, str(tmp_path)).collect()]
+    found = [R.file_headers(spark, paths, small) for small in (0, 6, 1 << 20)]
+    assert found[0] == found[1] == found[2]
+    assert {line: len(files) for line, files in found[0].items()} == {"x,y": 2, "z": 2, "": 1}
