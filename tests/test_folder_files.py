@@ -63,3 +63,15 @@ def test_csv_files_by_either_way(spark, tmp_path, monkeypatch, machines):
     assert {tuple(r) for r in back.collect()} == {("1.5", 'x,"y', "a"), (None, "z", "a"), ("NaN", None, "b")}
     sinks.write_folders(df.where("false").select("site", F.lit("x").alias("value")), ["site"], str(tmp_path / "csv"))
     assert not list((tmp_path / "csv").rglob("part-*"))
+
+
+def test_no_reader_compares_folders(spark, tmp_path):
+    df = spark.createDataFrame([(i, "2001-01-01", 0.5) for i in range(5)], "sitename INT, date STRING, spline DOUBLE")
+    checks_files.csv_files(df, ["sitename"], str(tmp_path / "veg"))
+    of_path = F.regexp_extract("_metadata.file_path", "sitename=([^/]+)/", 1)
+    for site, compared in ((of_path, False), (F.col("sitename"), True)):
+        out = checks_files.R.read_vegetation_index(spark, str(tmp_path / "veg"), site=site)
+        assert {(int(r.sitename), r.fapar) for r in out.collect()} == {(i, 0.5) for i in range(5)}
+        # columns of folders need a comparison of all folders on the driver
+        plan = out._jdf.queryExecution().analyzed().toString()
+        assert any("Relation" in line and "sitename#" in line for line in plan.splitlines()) == compared
