@@ -32,7 +32,8 @@ def test_bounded_gaps_are_filled_like_others(spark):
     for site in [None, *range(9)]:
         for i in range(rng.choice([1, 2, 40, 700])):
             a, b = (None if site == 4 or rng.random() < 0.7 else rng.random() for _ in range(2))
-            rows.append((site, dt.date(2001, 1, 1) + dt.timedelta(days=i), a, b, None if i % 3 else 2.0))
+            row = (site, dt.date(2001, 1, 1) + dt.timedelta(days=i), a, b, None if i % 3 else 2.0)
+            rows += [row] * (1 if site is None or site % 2 else 2)  # a site may be listed twice
     df = spark.createDataFrame(rows, "sitename LONG, date DATE, a DOUBLE, b DOUBLE, rain DOUBLE")
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
